@@ -128,9 +128,11 @@ def usage_mom(usage: DataFrame, cfg: Config = Config()) -> DataFrame:
     )
 
 
-def usage_series(usage: DataFrame) -> DataFrame:
-    """Monthly detail rows for charts; filter by account, order by month_dt."""
-    return usage.select(
+def usage_series(usage: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Monthly rows for charts; an account with too short a history shows none."""
+    lengths = usage.groupBy("account_id").agg(F.count(F.lit(1)).alias("_n"))
+    enough = lengths.where(F.col("_n") >= cfg.min_usage_months).select("account_id")
+    return usage.join(enough, "account_id", "left_semi").select(
         "account_id", "month", "month_dt", "api_calls", "active_users", "content_entries_created"
     )
 
@@ -145,6 +147,13 @@ def latest_sdk_distribution(usage: DataFrame) -> DataFrame:
     return counts.withColumn("display_class", sdk_class(F.col("sdk_version"))).orderBy("sdk_version")
 
 
+def latest_versions(usage: DataFrame) -> DataFrame:
+    """Version of each account's last month, also where it is missing."""
+    return usage.groupBy("account_id").agg(
+        latest(F.col("sdk_version"), "month_dt", "ord").alias("sdk_version")
+    )
+
+
 def sdk_class(version: Column) -> Column:
     return (
         F.when(F.startswith(version, F.lit("v3")), "danger")

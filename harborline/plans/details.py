@@ -88,13 +88,10 @@ def account_detail(
     reaches the scans of stored tables."""
     mine = F.col("account_id") == account_id
     one = scored.where(mine)
-    has_trend = one.where(F.col("decline_severity") != "insufficient_data").select("account_id")
     return {
         "header": account_headers(one),
         "breakdown": breakdown_long(one).orderBy(F.desc("contribution"), "ord"),
-        # Too short a history shows no series.
-        "usage": usage_series(usage.where(mine)).join(F.broadcast(has_trend), "account_id", "left_semi")
-        .orderBy("month_dt"),
+        "usage": usage_series(usage.where(mine)).orderBy("month_dt"),
         "tickets": ticket_timeline(tickets.where(mine)),
         "notes": note_rows(notes).where(mine).orderBy("ord"),
     }
