@@ -21,6 +21,11 @@ def round_product(x: Column, digits: int) -> Column:
     return F.rint(x * scale) / scale
 
 
+def round_product_sql(x: str, digits: int) -> str:
+    """``round_product`` as SQL text, for expressions built in bulk."""
+    return f"(rint(({x}) * 1e{digits}D) / 1e{digits}D)"
+
+
 def _exact_scaled_integer(x: Column, digits: int) -> Column:
     """Nearest integer to |x|·10^digits, ties to even, from x's exact value."""
     scale = F.lit(float(10**digits))

@@ -24,10 +24,18 @@ def contains_any(lowered: Column, words) -> Column:
     return F.coalesce(any_of([F.contains(lowered, F.lit(w)) for w in words]), F.lit(False))
 
 
-def occurrences(text: Column, phrase: str) -> Column:
+def quote(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_any_sql(lowered: str, words) -> str:
+    return "(" + " OR ".join(f"contains({lowered}, {quote(w)})" for w in words) + ")"
+
+
+def occurrences_sql(text: str, phrase: str) -> str:
     """Non-overlapping occurrences of a phrase, counted from the left."""
-    removed = F.replace(text, F.lit(phrase), F.lit(""))
-    return ((F.length(text) - F.length(removed)) / F.lit(len(phrase))).cast("bigint")
+    return f"(length({text}) - length(replace({text}, {quote(phrase)}, ''))) div {len(phrase)}"
 
 
 def whole_word(words) -> str:

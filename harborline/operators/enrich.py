@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from harborline.config import Config
 from harborline.functions.num import fixed_text, money_text
 from harborline.operators import prompts as p
+from harborline.operators.nps import with_comments
 from harborline.operators.notes import INTELLIGENCE, note_intelligence, text_intelligence
 
 Client = Callable[[str], str]
@@ -262,8 +263,9 @@ def _percent(column: str) -> Column:
     return F.when(value == 0, "0").otherwise(fixed_text(value * F.lit(100), 1))
 
 
-def silent_churn(summarised: DataFrame, factory) -> DataFrame:
+def silent_churn(summarised: DataFrame, nps: DataFrame, factory) -> DataFrame:
     """Silent-churn assessment per account, with a constant fallback."""
+    summarised = with_comments(summarised, nps)
     prompt = p.fill(
         p.SILENT_CHURN_TASK, account_name=F.col("account_name"),
         nps_score=F.coalesce(F.col("nps_score").cast("string"), F.lit("N/A")),

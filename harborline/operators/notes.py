@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 
 from harborline import config as c
 from harborline.config import Config
-from harborline.functions.text import contains_any, first_group, occurrences, strip
+from harborline.functions.text import (
+    contains_any_sql,
+    first_group,
+    occurrences_sql,
+    quote,
+    strip,
+)
 
 # Java switches: line end is '\n' only, white space and word edges are Unicode.
 _UNICODE = "(?dU)"
@@ -107,21 +113,22 @@ _WORD_SETS = {
 }
 
 
-def _bits(lowered: Column, words) -> Column:
-    total = F.lit(0)
-    for i, word in enumerate(words):
-        total = total + F.when(F.contains(lowered, F.lit(word)), F.lit(1 << i)).otherwise(F.lit(0))
-    return total
+def _bits(text: str, words) -> str:
+    return " + ".join(
+        f"if(contains({text}, {quote(word)}), {1 << i}, 0)" for i, word in enumerate(words)
+    )
+
+
+def note_marks(text: str) -> list[Column]:
+    """Mergeable marks of one note; ``text`` is its lower-cased, non-null column."""
+    marks = {name: contains_any_sql(text, words) for name, words in _FLAGS.items()}
+    marks |= {name: _bits(text, words) for name, words in _WORD_SETS.items()}
+    missed = " + ".join(occurrences_sql(text, phrase) for phrase in c.MISSED_QBR_PHRASES)
+    return [F.expr(sql).alias(name) for name, sql in (marks | {"missed_qbrs": missed}).items()]
 
 
-def note_marks(lowered: Column) -> dict[str, Column]:
-    """Mergeable marks of one note's lower-cased text."""
-    marks = {name: contains_any(lowered, words) for name, words in _FLAGS.items()}
-    marks |= {name: _bits(lowered, words) for name, words in _WORD_SETS.items()}
-    missed = F.lit(0).cast("bigint")
-    for phrase in c.MISSED_QBR_PHRASES:
-        missed = missed + occurrences(lowered, phrase)
-    return marks | {"missed_qbrs": missed}
+def with_lowered(notes: DataFrame, column: str) -> DataFrame:
+    return notes.withColumn("_text", F.lower(F.coalesce(F.col(column), F.lit(""))))
 
 
 def _mark_aggregates() -> list[Column]:
@@ -185,19 +192,24 @@ INTELLIGENCE = [
 
 def text_intelligence(texts: DataFrame, text_column: str, keys: list[str]) -> DataFrame:
     """Keyword intelligence of each text on its own."""
-    lowered = F.lower(F.coalesce(F.col(text_column), F.lit("")))
-    return _interpret(texts.select(*keys, *[m.alias(n) for n, m in note_marks(lowered).items()])
-                      ).select(*keys, *INTELLIGENCE)
+    marked = with_lowered(texts, text_column).select(*keys, *note_marks("_text"))
+    return _interpret(marked).select(*keys, *INTELLIGENCE)
+
+
+def marked_notes(notes: DataFrame) -> DataFrame:
+    """Notes with their keyword marks in place of their text, so that matching
+    them to accounts moves a few numbers per note and not the text."""
+    others = [name for name in notes.columns if name != "raw_text"]
+    return with_lowered(notes, "raw_text").select(*others, *note_marks("_text"))
 
 
 def note_intelligence(notes: DataFrame) -> DataFrame:
-    """Keyword intelligence per account over all its notes (``matched_account_id``)."""
-    lowered = F.lower(F.coalesce(F.col("raw_text"), F.lit("")))
-    marked = notes.where(F.col("matched_account_id").isNotNull()).select(
-        F.col("matched_account_id").alias("account_id"),
-        *[mark.alias(name) for name, mark in note_marks(lowered).items()],
-    )
-    merged = marked.groupBy("account_id").agg(*_mark_aggregates())
+    """Keyword intelligence per account over all its notes (``matched_account_id``);
+    takes notes with their text, or already marked."""
+    if "missed_qbrs" not in notes.columns:
+        notes = marked_notes(notes)
+    known = notes.where(F.col("matched_account_id").isNotNull())
+    merged = known.groupBy(F.col("matched_account_id").alias("account_id")).agg(*_mark_aggregates())
     return _interpret(merged).select("account_id", *INTELLIGENCE, "note_count")
 
 

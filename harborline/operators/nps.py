@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.config import NPS_NEGATIVE, NPS_POSITIVE
-from harborline.functions.order import latest
 from harborline.functions.text import contains_any
+from harborline.operators.clean import nps_band
 
 NO_ANSWER_DETRACTOR = 0.3
 NO_ANSWER_DETERIORATION = 0.2
@@ -54,30 +54,47 @@ def deterioration_risk(score: Column, kind: Column) -> Column:
 
 def nps_summary(nps: DataFrame) -> DataFrame:
     """The last answer of each account (by ``ord``) and what follows from it.
-    An answer without a score counts as no answer."""
-    answered = nps.where(F.col("score").isNotNull())
-    # Derived before the aggregate, so long comments shrink to flags early.
-    kind = contradiction_type(F.col("score"), F.col("verbatim_comment"))
-    row = F.struct(
-        "score",
-        F.coalesce("nps_category", F.lit("nan")).alias("nps_category"),
-        F.col("verbatim_comment").alias("comment"),
-        "is_non_english",
-        kind.alias("contradiction_type"),
+    An answer without a score counts as no answer.
+
+    Score and flags travel as one number, so the aggregate keeps two numbers per
+    account in a hash table and no comment text is sorted or shuffled."""
+    score, comment = F.col("score"), F.col("verbatim_comment")
+    kind = contradiction_type(score, comment)
+    answer = (
+        score.cast("bigint") * 16
+        + F.col("is_non_english").cast("bigint") + (comment != "").cast("bigint") * 2
+        + F.when(kind == HIGH_BUT_NEGATIVE, 4).when(kind == LOW_BUT_POSITIVE, 8).otherwise(0)
     )
-    last = answered.groupBy("account_id").agg(latest(row, "ord").alias("a"))
-    return last.select(
-        "account_id", "a.*",
-        (F.col("a.comment") != "").alias("has_comment"),
-        F.col("a.contradiction_type").isNotNull().alias("contradiction_detected"),
-        contradiction_detail(F.col("a.score"), F.col("a.contradiction_type")).alias(
-            "contradiction_detail"
-        ),
-        detractor_risk(F.col("a.score")).alias("nps_detractor"),
-        deterioration_risk(F.col("a.score"), F.col("a.contradiction_type")).alias(
-            "nps_deterioration"
-        ),
+    answered = nps.where(score.isNotNull()).select("account_id", "ord", answer.alias("answer"))
+    last = answered.groupBy("account_id").agg(
+        F.max("ord").alias("nps_ord"), F.max_by("answer", "ord").alias("answer")
+    )
+
+    def flag(bit: int) -> Column:
+        return F.col("answer").bitwiseAND(F.lit(bit)) != 0
+
+    df = last.select(
+        "account_id", "nps_ord", F.shiftright("answer", 4).cast("int").alias("score"),
+        flag(1).alias("is_non_english"), flag(2).alias("has_comment"),
+        F.when(flag(4), HIGH_BUT_NEGATIVE).when(flag(8), LOW_BUT_POSITIVE).alias("contradiction_type"),
+    )
+    score, kind = F.col("score"), F.col("contradiction_type")
+    return df.withColumns({
+        "nps_category": F.coalesce(nps_band(score), F.lit("nan")),
+        "contradiction_detected": kind.isNotNull(),
+        "contradiction_detail": contradiction_detail(score, kind),
+        "nps_detractor": detractor_risk(score),
+        "nps_deterioration": deterioration_risk(score, kind),
+    })
+
+
+def with_comments(scored: DataFrame, nps: DataFrame) -> DataFrame:
+    """Adds the text of each account's last answer, '' without one."""
+    texts = nps.select(
+        "account_id", F.col("ord").alias("nps_ord"), F.col("verbatim_comment").alias("comment")
     )
+    joined = scored.join(texts, ["account_id", "nps_ord"], "left")
+    return joined.withColumn("comment", F.coalesce("comment", F.lit("")))
 
 
 def nps_histogram(nps: DataFrame) -> DataFrame:

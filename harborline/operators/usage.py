@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.config import Config
-from harborline.functions.num import round_product
+from harborline.functions.num import round_product, round_product_sql
 from harborline.functions.order import latest, with_positions
 
 # Metric column, short name in results, weight in the overall
@@ -28,89 +28,77 @@ def usage_positions(usage: DataFrame, cfg: Config) -> DataFrame:
     )
 
 
-def relative_change(first: Column, second: Column) -> Column:
-    return F.when(first == 0, F.when(second == 0, F.lit(0.0)).otherwise(F.lit(1.0))).otherwise(
-        F.try_divide(second - first, first)
+def _change_sql(name: str) -> str:
+    """Relative change of the second half to the first, safe for a zero start."""
+    first, second = f"{name}_first", f"{name}_second"
+    return (
+        f"CASE WHEN {first} = 0 THEN if({second} = 0, 0D, 1D) "
+        f"ELSE try_divide({second} - {first}, {first}) END AS {name}_raw"
     )
 
 
-def direction(change: Column) -> Column:
-    return F.when(change > 0.05, "up").when(change < -0.05, "down").otherwise("flat")
+def _direction_sql(change: str) -> str:
+    return f"CASE WHEN {change} > 0.05D THEN 'up' WHEN {change} < -0.05D THEN 'down' ELSE 'flat' END"
 
 
-def severity(overall: Column, cfg: Config) -> Column:
-    drop = F.abs(F.least(overall, F.lit(0.0)))
+def _severity_sql(overall: str, cfg: Config) -> str:
+    drop = f"abs(least({overall}, 0D))"
     return (
-        F.when(overall.isNull(), "stable")
-        .when(drop >= cfg.decline_severe, "severe")
-        .when(drop >= cfg.decline_moderate, "moderate")
-        .when(drop >= cfg.decline_mild, "mild")
-        .when(overall >= 0, "growing")
-        .otherwise("stable")
+        f"CASE WHEN {overall} IS NULL THEN 'stable' "
+        f"WHEN {drop} >= {cfg.decline_severe}D THEN 'severe' "
+        f"WHEN {drop} >= {cfg.decline_moderate}D THEN 'moderate' "
+        f"WHEN {drop} >= {cfg.decline_mild}D THEN 'mild' "
+        f"WHEN {overall} >= 0 THEN 'growing' ELSE 'stable' END"
     )
 
 
-def usage_risk(decline_severity: Column, overall_change: Column) -> Column:
-    return (
-        F.when(decline_severity == "mild", F.lit(0.3))
-        .when(decline_severity == "moderate", F.lit(0.6))
-        .when(
-            decline_severity == "severe",
-            F.least(F.lit(1.0), F.lit(0.7) + F.abs(overall_change) * F.lit(0.5)),
-        )
-        .otherwise(F.lit(0.0))
-    )
+USAGE_RISK_SQL = """CASE decline_severity WHEN 'mild' THEN 0.3D WHEN 'moderate' THEN 0.6D
+    WHEN 'severe' THEN least(1D, 0.7D + abs(overall_change) * 0.5D) ELSE 0D END"""
 
 
 def usage_summary(usage: DataFrame, cfg: Config = Config()) -> DataFrame:
     """One row per account with usage. ``latest_sdk`` is known from one month on;
     the trend columns and ``trend_sdk`` need ``min_usage_months`` months."""
-    half = F.floor(F.col("series_length") / 2)
-    early = F.col("pos") <= half
-    aggregates = [
-        F.count(F.lit(1)).alias("months"),
-        latest(F.col("sdk_version"), "month_dt", "ord").alias("latest_sdk"),
-        latest(F.col("month"), "month_dt", "ord").alias("latest_month"),
-        F.min_by("month", F.struct("month_dt", "ord")).alias("first_month"),
-    ]
+    early = "pos <= series_length div 2"
+    halves = []
     for metric, name, _ in TREND_METRICS:
-        aggregates += [
-            F.avg(F.when(early, F.col(metric))).alias(f"{name}_first"),
-            F.avg(F.when(~early, F.col(metric))).alias(f"{name}_second"),
+        halves += [
+            f"avg(if({early}, {metric}, NULL)) AS {name}_first",
+            f"avg(if({early}, NULL, {metric})) AS {name}_second",
         ]
-    df = usage_positions(usage, cfg).groupBy("account_id").agg(*aggregates)
-
-    df = df.withColumns({
-        f"{name}_raw": relative_change(F.col(f"{name}_first"), F.col(f"{name}_second"))
-        for _, name, _ in TREND_METRICS
-    })
-    overall = F.lit(0.0)
-    for _, name, weight in TREND_METRICS:
-        overall = overall + round_product(F.col(f"{name}_raw"), 4) * F.lit(weight)
-    df = df.withColumns({"_overall": overall, "_enough": F.col("months") >= cfg.min_usage_months})
-
-    trend = F.col("_enough")
-    columns = [
-        F.col("account_id"), F.col("months"), F.col("latest_sdk"), F.col("latest_month"),
-        F.col("first_month"),
-    ]
-    for _, name, _ in TREND_METRICS:
-        columns += [
-            F.when(trend, round_product(F.col(f"{name}_first"), 1)).alias(f"{name}_first_avg"),
-            F.when(trend, round_product(F.col(f"{name}_second"), 1)).alias(f"{name}_second_avg"),
-            F.when(trend, round_product(F.col(f"{name}_raw"), 4)).alias(f"{name}_change"),
-            F.when(trend, direction(F.col(f"{name}_raw"))).alias(f"{name}_direction"),
-        ]
-    columns += [
-        F.when(trend, round_product(F.col("_overall"), 4)).otherwise(F.lit(0.0)).alias("overall_change"),
-        F.when(trend, severity(F.col("_overall"), cfg))
-        .otherwise(F.lit("insufficient_data")).alias("decline_severity"),
-        F.when(trend, F.col("latest_sdk")).otherwise(F.lit("unknown")).alias("trend_sdk"),
-    ]
-    out = df.select(*columns)
-    return out.withColumn(
-        "usage_decline", usage_risk(F.col("decline_severity"), F.col("overall_change"))
+    per_account = usage_positions(usage, cfg).groupBy("account_id").agg(
+        *[F.expr(sql) for sql in (
+            "count(1) AS months",
+            "max_by(sdk_version, struct(month_dt, ord)) AS latest_sdk",
+            "max_by(month, struct(month_dt, ord)) AS latest_month",
+            "min_by(month, struct(month_dt, ord)) AS first_month",
+            *halves,
+        )]
+    )
+    names = [name for _, name, _ in TREND_METRICS]
+    changed = per_account.selectExpr("*", *[_change_sql(name) for name in names])
+    overall = "0D + " + " + ".join(
+        f"{round_product_sql(f'{name}_raw', 4)} * {weight}D" for _, name, weight in TREND_METRICS
+    )
+    weighed = changed.selectExpr(
+        "*", f"{overall} AS _overall", f"months >= {cfg.min_usage_months} AS _enough"
+    )
+    trends = []
+    for name in names:
+        for column, sql in (
+            ("first_avg", round_product_sql(f"{name}_first", 1)),
+            ("second_avg", round_product_sql(f"{name}_second", 1)),
+            ("change", round_product_sql(f"{name}_raw", 4)),
+            ("direction", _direction_sql(f"{name}_raw")),
+        ):
+            trends.append(f"if(_enough, {sql}, NULL) AS {name}_{column}")
+    out = weighed.selectExpr(
+        "account_id", "months", "latest_sdk", "latest_month", "first_month", *trends,
+        f"if(_enough, {round_product_sql('_overall', 4)}, 0D) AS overall_change",
+        f"if(_enough, {_severity_sql('_overall', cfg)}, 'insufficient_data') AS decline_severity",
+        "if(_enough, latest_sdk, 'unknown') AS trend_sdk",
     )
+    return out.selectExpr("*", f"{USAGE_RISK_SQL} AS usage_decline")
 
 
 def usage_mom(usage: DataFrame, cfg: Config = Config()) -> DataFrame:

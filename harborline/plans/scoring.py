@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.config import Config
-from harborline.functions.num import clamp_unit, round_product
+from harborline.functions.num import clamp_unit, round_product, round_product_sql
+from harborline.functions.text import quote
 from harborline.operators.nps import (
     NO_ANSWER_DETERIORATION,
     NO_ANSWER_DETRACTOR,
@@ -73,7 +74,7 @@ def _with_defaults(df: DataFrame, cfg: Config) -> DataFrame:
         *[_or(name, 0) for name in COUNTS], _or("volume_change", 0.0), "avg_resolution_hours",
         # survey
         F.col("score").alias("nps_score"), _or("nps_category", "No Response"),
-        _or("comment", ""), _or("is_non_english", False), _or("has_comment", False),
+        "nps_ord", _or("is_non_english", False), _or("has_comment", False),
         _or("contradiction_detected", False), "contradiction_type", "contradiction_detail",
         # notes
         _or("note_count", 0), _or("sentiment", "unknown"), _or("sentiment_modifier", 0.0),
@@ -104,26 +105,21 @@ def tier_of(total: Column, cfg: Config) -> Column:
     )
 
 
-def _signal(name: str) -> Column:
-    return F.coalesce(F.col(name), F.lit(0.0))
-
-
 def with_score(signals: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Adds risk_score, risk_tier, score_breakdown and top_risk_drivers. The tier
-    is taken from the unrounded sum."""
-    total = F.lit(0.0)
-    entries = []
+    is taken from the unrounded sum; a missing signal counts as 0."""
+    parts, entries = [], []
     for rank, (name, weight, label) in enumerate(cfg.signals):
-        contribution = _signal(name) * F.lit(weight)
-        total = total + contribution
-        entries.append(F.struct(
-            F.lit(rank).alias("ord"), F.lit(name).alias("signal"), F.lit(label).alias("label"),
-            round_product(_signal(name), 3).alias("raw_score"),
-            F.lit(weight).alias("weight"),
-            round_product(contribution, 4).alias("contribution"),
-        ))
+        value = f"coalesce({name}, 0D)"
+        parts.append(f"{value} * {weight}D")
+        entries.append(
+            f"named_struct('ord', {rank}, 'signal', {quote(name)}, 'label', {quote(label)}, "
+            f"'raw_score', {round_product_sql(value, 3)}, 'weight', {weight}D, "
+            f"'contribution', {round_product_sql(parts[-1], 4)})"
+        )
+    total = F.expr("0D + " + " + ".join(parts))
     df = signals.withColumns({
-        "_total": clamp_unit(total), "score_breakdown": F.array(*entries),
+        "_total": clamp_unit(total), "score_breakdown": F.expr(f"array({', '.join(entries)})"),
     })
     return df.withColumns({
         "risk_score": round_product(F.col("_total"), 4),

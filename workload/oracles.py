@@ -123,7 +123,7 @@ CTES = {
     "acc": """
 SELECT account_id, trim(account_name) AS account_name, arr, trim(plan_tier) AS plan_tier,
        trim(industry) AS industry, trim(csm_name) AS csm_name, trim(region) AS region, ord,
-       contract_end_date, date_diff('day', DATE '2026-06-09', contract_end_date) AS days_to_renewal,
+       contract_end_date, CAST(date_diff('day', DATE '2026-06-09', contract_end_date) AS INT) AS days_to_renewal,
        contract_end_date BETWEEN DATE '2026-05-10' AND DATE '2026-09-07' AS in_renewal_window
 FROM fx_accounts""",
     "us": """
@@ -419,7 +419,7 @@ _RAW = {
     "reconcile_id": f"SELECT x.ord, x.account_id AS account_id, acc.account_id AS matched_account_id, acc.account_name AS matched_account_name FROM ({_EXTRACT}) x JOIN acc ON acc.account_id = x.account_id WHERE x.account_id <> 0",
     "account_scores": "SELECT account_id, account_name, CAST(arr AS DOUBLE) AS arr, plan_tier, industry, region, csm_name, CAST(contract_end_date AS VARCHAR) AS contract_end_date, days_to_renewal, risk_score, risk_tier, " + ", ".join(_signal_names) + " FROM sc",
     "account_scores_window": "SELECT account_id, risk_score, risk_tier, " + ", ".join(_signal_names) + " FROM sc WHERE in_renewal_window",
-    "top_drivers": "SELECT account_id, driver_rank, signal, label, raw_score, weight, contribution FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY contribution DESC, ord) AS driver_rank FROM br WHERE contribution > 0) x WHERE driver_rank <= 5",
+    "top_drivers": "SELECT account_id, CAST(driver_rank AS INT) AS driver_rank, signal, label, raw_score, weight, contribution FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY contribution DESC, ord) AS driver_rank FROM br WHERE contribution > 0) x WHERE driver_rank <= 5",
     "breakdown_long": "SELECT account_id, ord, signal, label, raw_score, weight, contribution, CASE WHEN contribution > 0.1 THEN 'danger' WHEN contribution > 0.05 THEN 'warning' ELSE 'info' END AS display_class FROM br WHERE contribution > 0",
     "tier_totals": _TIERS,
     "kpis": f"SELECT count(*) FILTER (risk_tier = 'High') AS high_risk_accounts, count(*) FILTER (risk_tier = 'Medium') AS medium_risk_accounts, CAST(coalesce(sum(arr) FILTER (risk_tier IN ('High', 'Medium')), 0) AS DOUBLE) AS arr_at_risk, CAST(sum(CAST(risk_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_risk_score FROM {_IN_VIEW}",
@@ -437,7 +437,7 @@ _RAW = {
     "arr_deprecated": "SELECT CAST(coalesce(sum(arr) FILTER (is_deprecated_sdk), 0) AS DOUBLE) AS arr_on_deprecated, count(*) FILTER (is_deprecated_sdk) AS accounts_on_deprecated FROM sc",
     "cohorts": "SELECT * FROM (SELECT 'silent_churn' AS cohort, account_id, risk_tier, risk_score FROM sc WHERE nps_score >= 7 AND decline_severity IN ('mild', 'moderate', 'severe') UNION ALL SELECT 'sdk_cluster', account_id, risk_tier, risk_score FROM sc WHERE is_deprecated_sdk UNION ALL SELECT 'contradiction', account_id, risk_tier, risk_score FROM sc WHERE contradiction_detected UNION ALL SELECT 'merger', account_id, risk_tier, risk_score FROM sc WHERE list_contains(factors, 'M&A activity') UNION ALL SELECT 'champion_at_risk', account_id, risk_tier, risk_score FROM sc WHERE champion_status = 'at_risk') x",
     "account_360": """
-SELECT acc.account_id, 1 AS account_rows, coalesce(u, 0) AS usage_rows, coalesce(t, 0) AS ticket_rows,
+SELECT acc.account_id, CAST(1 AS BIGINT) AS account_rows, coalesce(u, 0) AS usage_rows, coalesce(t, 0) AS ticket_rows,
        coalesce(n, 0) AS nps_rows, coalesce(m, 0) AS note_rows
 FROM acc LEFT JOIN (SELECT account_id, count(*) AS u FROM us GROUP BY 1) a ON a.account_id = acc.account_id
 LEFT JOIN (SELECT account_id, count(*) AS t FROM tk GROUP BY 1) b ON b.account_id = acc.account_id

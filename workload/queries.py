@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from harborline.config import SIGNALS
 from harborline.operators import enrich, nps, product, tickets, usage
-from harborline.operators.notes import note_intelligence, note_signals
+from harborline.operators.notes import marked_notes, note_intelligence, note_signals
 from harborline.operators.reconcile import match_by_id, reconcile_notes
 from harborline.plans import details, reports
 from harborline.plans.scoring import score_accounts
@@ -145,7 +145,7 @@ def account_scores_window(i: Inputs) -> DataFrame:
 
 def account_scores_reconciled(i: Inputs) -> DataFrame:
     """From raw note text to scores, with the notes matched by id or name."""
-    notes = reconcile_notes(i.notes, i.accounts, i.cfg)
+    notes = reconcile_notes(marked_notes(i.notes), i.accounts, i.cfg)
     scored = score_accounts(i.accounts, i.usage, i.tickets, i.nps, notes, i.cfg, window_only=False)
     return scored.select("account_id", "note_count", "risk_score", "risk_tier", *SIGNAL_NAMES)
 
@@ -223,7 +223,7 @@ def explanation_fallback(i: Inputs) -> DataFrame:
 
 
 def silent_churn(i: Inputs) -> DataFrame:
-    return enrich.silent_churn(details.with_summaries(i.scored), no_client).select(
+    return enrich.silent_churn(details.with_summaries(i.scored), i.nps, no_client).select(
         "account_id", "is_silent_churn", "confidence", "pattern_type", _joined("evidence"),
         "recommended_investigation",
     )
