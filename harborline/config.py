@@ -57,7 +57,8 @@ NPS_POSITIVE = (
 )
 
 # Marks of a comment that is not English.
-FOREIGN_CHARACTERS = "[一-鿿]|[àâäéèêëîïôùûüçñ¿¡]"
+FOREIGN_SCRIPT = "一-鿿"
+FOREIGN_LETTERS = "àâäéèêëîïôùûüçñ¿¡"
 FOREIGN_WORDS = (
     "est", "mais", "pour", "notre", "équipe", "produit", "l'interface",
     "soporte", "español", "inexistente", "producto", "bueno", "pero",

@@ -53,48 +53,58 @@ def account_signals(
     return _with_defaults(df, cfg)
 
 
-def _or(name: str, default) -> Column:
-    return F.coalesce(F.col(name), F.lit(default)).alias(name)
+# What an account without any row in a source gets.
+_DEFAULTS = {
+    "decline_severity": "'insufficient_data'", "overall_change": "0D",
+    "trend_sdk": "'unknown'", "current_sdk": "'unknown'",
+    "volume_change": "0D", "nps_category": "'No Response'",
+    "is_non_english": "false", "has_comment": "false", "contradiction_detected": "false",
+    "note_count": "0L", "sentiment": "'unknown'", "sentiment_modifier": "0D",
+    "competitors": "cast(array() AS array<string>)",
+    "risk_factors": "cast(array() AS array<string>)", "renewal_signal": "'unknown'",
+    "usage_decline": "0D", "competitor_mention": "0D", "p1_tickets": "0D",
+    "nps_detractor": f"{NO_ANSWER_DETRACTOR}D", "open_tickets": "0D",
+    "executive_escalation": "0D", "champion_loss": "0D",
+    "nps_deterioration": f"{NO_ANSWER_DETERIORATION}D",
+} | {count: "0L" for count in COUNTS}
+
+
+def _default(name: str, source: str | None = None) -> str:
+    return f"coalesce({source or name}, {_DEFAULTS[name]}) AS {name}"
 
 
 def _with_defaults(df: DataFrame, cfg: Config) -> DataFrame:
-    has_usage = F.col("months").isNotNull()
-    linked = F.coalesce(F.col("linked_tickets"), F.lit(0))
-    empty = F.array().cast("array<string>")
-    current = F.when(has_usage, F.col("latest_sdk")).otherwise("unknown")
-    trend_sdk = F.coalesce(F.when(~has_usage, F.lit("unknown")), F.col("trend_sdk"))
-    return df.select(
+    # Only accounts with usage have a version, and with it any product risk.
+    version = F.col("latest_sdk")
+    linked = F.coalesce("linked_tickets", F.lit(0))
+    of_usage = df.withColumns({
+        "_deprecated": is_deprecated(version, cfg), "_risky": is_risky(version, cfg),
+        "_sdk_risk": sdk_signal(F.col("trend_sdk"), cfg),
+        "_product_risk": F.when(F.col("months") > 0, product_risk(version, linked, cfg)),
+    })
+    return of_usage.selectExpr(
         *ACCOUNT_COLUMNS,
-        # usage
-        _or("months", 0), _or("decline_severity", "insufficient_data"),
-        F.when(has_usage, F.col("overall_change")).otherwise(F.lit(0.0)).alias("overall_change"),
+        "coalesce(months, 0L) AS months",
+        *[_default(n) for n in ("decline_severity", "overall_change", "trend_sdk")],
+        _default("current_sdk", "latest_sdk"),
         "api_calls_change", "active_users_change", "content_entries_change", "workflows_change",
-        trend_sdk.alias("trend_sdk"), current.alias("current_sdk"),
-        # tickets
-        *[_or(name, 0) for name in COUNTS], _or("volume_change", 0.0), "avg_resolution_hours",
-        # survey
-        F.col("score").alias("nps_score"), _or("nps_category", "No Response"),
-        "nps_ord", _or("is_non_english", False), _or("has_comment", False),
-        _or("contradiction_detected", False), "contradiction_type", "contradiction_detail",
-        # notes
-        _or("note_count", 0), _or("sentiment", "unknown"), _or("sentiment_modifier", 0.0),
-        F.coalesce("competitors", empty).alias("competitors"),
-        F.coalesce("risk_factors", empty).alias("risk_factors"),
-        _or("renewal_signal", "unknown"), F.col("champion_status"),
-        # product
-        (has_usage & is_deprecated(current, cfg)).alias("is_deprecated_sdk"),
-        (has_usage & is_risky(current, cfg)).alias("is_risky_sdk"),
+        *[_default(n) for n in (*COUNTS, "volume_change")], "avg_resolution_hours",
+        "score AS nps_score", "nps_ord", "contradiction_type", "contradiction_detail",
+        *[_default(n) for n in (
+            "nps_category", "is_non_english", "has_comment", "contradiction_detected",
+            "note_count", "sentiment", "sentiment_modifier", "competitors", "risk_factors",
+            "renewal_signal",
+        )],
+        "champion_status", "_deprecated AS is_deprecated_sdk", "_risky AS is_risky_sdk",
         # the twelve signals
-        _or("usage_decline", 0.0), _or("competitor_mention", 0.0), _or("p1_tickets", 0.0),
-        _or("nps_detractor", NO_ANSWER_DETRACTOR), _or("open_tickets", 0.0),
-        _or("executive_escalation", 0.0),
-        F.coalesce("budget_concern_risk", F.lit(0.0)).alias("budget_concern"),
-        _or("champion_loss", 0.0), _or("nps_deterioration", NO_ANSWER_DETERIORATION),
-        F.when(has_usage, sdk_signal(F.col("trend_sdk"), cfg)).otherwise(F.lit(0.0))
-        .alias("sdk_deprecation_risk"),
-        F.when(has_usage, product_risk(F.col("latest_sdk"), linked, cfg)).otherwise(F.lit(0.0))
-        .alias("product_risk_impact"),
-        F.coalesce("missed_qbrs_risk", F.lit(0.0)).alias("missed_qbrs"),
+        *[_default(n) for n in (
+            "usage_decline", "competitor_mention", "p1_tickets", "nps_detractor", "open_tickets",
+            "executive_escalation", "champion_loss", "nps_deterioration",
+        )],
+        "coalesce(budget_concern_risk, 0D) AS budget_concern",
+        "_sdk_risk AS sdk_deprecation_risk",
+        "coalesce(_product_risk, 0D) AS product_risk_impact",
+        "coalesce(missed_qbrs_risk, 0D) AS missed_qbrs",
     )
 
 
