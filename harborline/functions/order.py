@@ -12,15 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _PIECE = ("_piece_major", "_piece_minor")
+MAX_BROADCAST_SPLITS = 200_000
+
+
+# No more keys than this are ever broadcast as heavy.
+MAX_HEAVY_KEYS = 1_000_000
 
 
 def heavy_keys(df: DataFrame, key: str, heavy_rows: int) -> DataFrame:
-    """Keys with more than ``heavy_rows`` rows: at most rows / heavy_rows of them,
-    which is what makes broadcasting this table safe."""
+    """Keys with more than ``heavy_rows`` rows and more than a millionth of all
+    rows. Fewer than a million keys can exceed that share, whatever the data, so
+    the table is safe to broadcast."""
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return F.broadcast(
-        counted.where(F.col("_rows") > heavy_rows).select(key, F.lit(True).alias("_heavy"))
-    )
+    share = df.agg(F.count(F.lit(1)) / F.lit(MAX_HEAVY_KEYS)).scalar()
+    heavy = counted.where((F.col("_rows") > heavy_rows) & (F.col("_rows") > share))
+    return F.broadcast(heavy.select(key, F.lit(True).alias("_heavy")))
 
 
 def piece_columns(major: str, ord_col: str, heavy_rows: int) -> dict[str, Column]:
@@ -89,7 +95,7 @@ def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
 
     Must be applied to a file scan. Rows of one input split are numbered
     consecutively by Spark; one row per split gives each split its starting
-    position, and that table is as long as the number of splits."""
+    position. That table is broadcast while it is known to be short."""
     split = ("_path", "_start")
     marked = df.withColumns({
         "_path": F.col("_metadata.file_path"),
@@ -99,8 +105,12 @@ def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
     splits = marked.groupBy(*split).agg(F.min("_row").alias("_low"), F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
+    # A file is cut into pieces of a task's size and one remainder.
+    most_splits = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    if most_splits <= MAX_BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
     return (
-        marked.join(F.broadcast(starts), list(split))
+        marked.join(starts, list(split))
         .withColumn(name, F.col("_offset") + F.col("_row") - F.col("_low"))
         .drop(*split, "_row", "_low", "_offset")
     )

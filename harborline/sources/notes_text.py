@@ -23,7 +23,7 @@ def read_note_records(spark: SparkSession, path) -> DataFrame:
         F.split("value", NOTE_SEPARATOR).alias("pieces"),
     ).withColumn("separators", F.size("pieces") - 1)
 
-    # One row per input split: small enough to broadcast at any input size.
+    # One row per input split.
     per_split = lines.groupBy("path", "start").agg(F.sum("separators").alias("_n"))
     in_order = Window.orderBy("path", "start")
     before = F.sum("_n").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
@@ -34,8 +34,10 @@ def read_note_records(spark: SparkSession, path) -> DataFrame:
 
     in_split = Window.partitionBy("path", "start").orderBy("row")
     earlier = F.sum("separators").over(in_split.rowsBetween(Window.unboundedPreceding, -1))
+    # The window has already placed the lines by split, so this join moves only
+    # the offsets.
     numbered = lines.withColumn("earlier", F.coalesce(earlier, F.lit(0))).join(
-        F.broadcast(offsets), ["path", "start"]
+        offsets, ["path", "start"]
     )
     pieces = numbered.select(
         "path", "start", "row", "offset", "earlier", F.posexplode("pieces").alias("pos", "piece")

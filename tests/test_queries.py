@@ -20,9 +20,14 @@ def con():
     return connect(SF)
 
 
+@pytest.fixture(scope="module")
+def inputs(spark):
+    return Inputs(spark, SF)
+
+
 @pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
-def test_oracle(spark, con, name):
-    assert differences(entry_point.queries()[name](spark, SF), con, entry_point.oracle_sql()[name]) is None
+def test_oracle(inputs, con, name):
+    assert differences(QUERIES[name](inputs), con, entry_point.oracle_sql()[name]) is None
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
@@ -38,8 +43,8 @@ def test_entry(spark):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - PYTHON_STAGE))
-def test_plan_stays_in_the_jvm_without_cross_joins(spark, name):
-    plan = QUERIES[name](Inputs(spark, SF))._jdf.queryExecution().executedPlan().toString()
+def test_plan_stays_in_the_jvm_without_cross_joins(inputs, name):
+    plan = QUERIES[name](inputs)._jdf.queryExecution().executedPlan().toString()
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "MapInPandas", "ArrowEvalPython", "BatchEvalPython"):
         assert bad not in plan, bad
 
