@@ -24,7 +24,7 @@ def heavy_keys(df: DataFrame, key: str, heavy_rows: int) -> DataFrame:
     rows. Fewer than a million keys can exceed that share, whatever the data, so
     the table is safe to broadcast."""
     counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    share = df.agg(F.count(F.lit(1)) / F.lit(MAX_HEAVY_KEYS)).scalar()
+    share = counted.agg(F.sum("_rows") / F.lit(MAX_HEAVY_KEYS)).scalar()
     heavy = counted.where((F.col("_rows") > heavy_rows) & (F.col("_rows") > share))
     return F.broadcast(heavy.select(key, F.lit(True).alias("_heavy")))
 

@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode white space plus the four ASCII separators that trimming also removes.
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The white space that trimming removes.
+_BLANKS = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, _EDGE, "")
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def any_of(conditions) -> Column:
@@ -45,5 +48,6 @@ def whole_word(words) -> str:
 
 
 def first_group(text: Column, pattern: str, group: int = 1) -> Column:
-    """Captured group of the first match, NULL if there is none."""
-    return F.when(F.rlike(text, F.lit(pattern)), F.regexp_extract(text, pattern, group))
+    """Captured group of the first match, NULL if there is none. The group must
+    hold at least one character whenever the pattern matches."""
+    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))

@@ -76,7 +76,8 @@ def owner_in(text: Column, owners=c.OWNERS) -> Column:
         F.when(F.rlike(text, F.lit(rf"(?iuU)\b{first}\b")), F.lit(owner))
         for first, owner in by_first.items()
     ]
-    return F.coalesce(*by_name, *alone)
+    any_first = F.rlike(text, F.lit(rf"(?iuU)\b(?:{'|'.join(by_first)})\b"))
+    return F.coalesce(*by_name, F.when(any_first, F.coalesce(*alone)))
 
 
 def extract_fields(records: DataFrame, cfg: Config = Config()) -> DataFrame:

@@ -16,7 +16,10 @@ from harborline.operators.clean import clean_accounts, clean_nps, clean_tickets,
 from harborline.operators.notes import extract_fields
 from harborline.plans.scoring import score_accounts
 
-TABLES = ("region", "nation", "customer", "part", "orders", "events", "documents")
+TABLES = {
+    "fx_accounts": ("region", "nation", "customer", "part"), "fx_usage": ("events",),
+    "fx_tickets": ("orders",), "fx_nps": ("documents",), "fx_notes": ("documents",),
+}
 
 VIEWS = {
     "fx_accounts": """
@@ -101,31 +104,34 @@ class Inputs:
 
     def __post_init__(self) -> None:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
-        for name in TABLES:
-            self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        for name, sql in VIEWS.items():
-            self.spark.sql(sql).createOrReplaceTempView(name)
-        self._raw = {name: self.spark.table(name) for name in VIEWS}
+
+    def _raw(self, view: str) -> DataFrame:
+        for table in TABLES[view]:
+            path = f"{self.sf_dir}/{table}.parquet"
+            self.spark.read.parquet(path).createOrReplaceTempView(table)
+        if view == "fx_notes":
+            self._raw("fx_accounts").createOrReplaceTempView("fx_accounts")
+        return self.spark.sql(VIEWS[view])
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return clean_accounts(self._raw["fx_accounts"], self.cfg)
+        return clean_accounts(self._raw("fx_accounts"), self.cfg)
 
     @cached_property
     def usage(self) -> DataFrame:
-        return clean_usage(self._raw["fx_usage"])
+        return clean_usage(self._raw("fx_usage"))
 
     @cached_property
     def tickets(self) -> DataFrame:
-        return clean_tickets(self._raw["fx_tickets"])
+        return clean_tickets(self._raw("fx_tickets"))
 
     @cached_property
     def nps(self) -> DataFrame:
-        return clean_nps(self._raw["fx_nps"])
+        return clean_nps(self._raw("fx_nps"))
 
     @cached_property
     def note_records(self) -> DataFrame:
-        return self._raw["fx_notes"]
+        return self._raw("fx_notes")
 
     @cached_property
     def notes(self) -> DataFrame:
