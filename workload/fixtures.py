@@ -104,11 +104,14 @@ class Inputs:
 
     def __post_init__(self) -> None:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
+        self._tables: dict[str, DataFrame] = {}
 
     def _raw(self, view: str) -> DataFrame:
-        for table in TABLES[view]:
-            path = f"{self.sf_dir}/{table}.parquet"
-            self.spark.read.parquet(path).createOrReplaceTempView(table)
+        for name in TABLES[view]:
+            if name not in self._tables:
+                self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            # Views are per session and another Inputs may have replaced them.
+            self._tables[name].createOrReplaceTempView(name)
         if view == "fx_notes":
             self._raw("fx_accounts").createOrReplaceTempView("fx_accounts")
         return self.spark.sql(VIEWS[view])

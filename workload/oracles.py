@@ -412,6 +412,13 @@ _RAW = {
     "sdk_latest_distribution": "SELECT latest_sdk AS sdk_version, count(*) AS accounts, CASE WHEN starts_with(latest_sdk, 'v3') THEN 'danger' WHEN latest_sdk = 'v4.0.0' THEN 'warning' WHEN latest_sdk = 'v4.1.0' THEN 'info' ELSE 'success' END AS display_class FROM uh GROUP BY latest_sdk",
     "version_impacts": _IMPACTS,
     "event_impacts": _EVENTS,
+    "event_listing": f"""
+SELECT version, date, type, title, affects, severity,
+       CASE WHEN severity IN ('critical', 'high', 'medium') THEN severity ELSE 'other' END AS severity_class,
+       CAST(coalesce(n, 0) AS BIGINT) AS accounts_hit
+FROM (VALUES {_EVENT_ROWS}) e(version, date, type, title, affects, severity)
+LEFT JOIN (SELECT event_version, title AS t, sum(accounts) AS n FROM ({_EVENTS}) h GROUP BY event_version, title) x
+  ON x.event_version = e.version AND x.t = e.title""",
     "product_risk": "SELECT account_id, current_sdk, is_deprecated_sdk, is_risky_sdk, linked_tickets, sdk_deprecation_risk, product_risk_impact FROM sc",
     "note_extract": _EXTRACT,
     "note_intelligence": "SELECT account_id, sentiment, competitors, array_to_string(factors, '; ') AS risk_factors, exec_f AS executive_involved, budget_f AS budget_concern, renewal_signal, champion_status, missed_qbrs, note_count FROM ni",
@@ -421,6 +428,8 @@ _RAW = {
     "account_scores_window": "SELECT account_id, risk_score, risk_tier, " + ", ".join(_signal_names) + " FROM sc WHERE in_renewal_window",
     "top_drivers": "SELECT account_id, CAST(driver_rank AS INT) AS driver_rank, signal, label, raw_score, weight, contribution FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY contribution DESC, ord) AS driver_rank FROM br WHERE contribution > 0) x WHERE driver_rank <= 5",
     "breakdown_long": "SELECT account_id, ord, signal, label, raw_score, weight, contribution, CASE WHEN contribution > 0.1 THEN 'danger' WHEN contribution > 0.05 THEN 'warning' ELSE 'info' END AS display_class FROM br WHERE contribution > 0",
+    "tier_counts": "SELECT t.risk_tier, count(v.account_id) AS accounts FROM (VALUES ('High'), ('Medium'), ('Low')) t(risk_tier) LEFT JOIN (SELECT * FROM sc WHERE days_to_renewal BETWEEN -30 AND 90) v ON v.risk_tier = t.risk_tier GROUP BY t.risk_tier",
+    "arr_by_tier": "SELECT t.risk_tier, CAST(coalesce(sum(v.arr), 0) AS DOUBLE) AS arr FROM (VALUES ('High'), ('Medium'), ('Low')) t(risk_tier) LEFT JOIN (SELECT * FROM sc WHERE days_to_renewal BETWEEN -30 AND 90) v ON v.risk_tier = t.risk_tier GROUP BY t.risk_tier",
     "tier_totals": _TIERS,
     "kpis": f"SELECT count(*) FILTER (risk_tier = 'High') AS high_risk_accounts, count(*) FILTER (risk_tier = 'Medium') AS medium_risk_accounts, CAST(coalesce(sum(arr) FILTER (risk_tier IN ('High', 'Medium')), 0) AS DOUBLE) AS arr_at_risk, CAST(sum(CAST(risk_score AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS avg_risk_score FROM {_IN_VIEW}",
     "portfolio_summary": f"SELECT total_accounts, high_risk_count, CAST(high_risk_arr AS DOUBLE) AS high_risk_arr, medium_risk_count, CAST(medium_risk_arr AS DOUBLE) AS medium_risk_arr, low_risk_count FROM ({_SUMMARY}) p",

@@ -255,6 +255,7 @@ QUERIES = {
     "sdk_latest_distribution": lambda i: usage.latest_sdk_distribution(i.usage),
     "version_impacts": version_impacts,
     "event_impacts": lambda i: product.event_impacts(_latest_versions(i), i.cfg),
+    "event_listing": lambda i: product.event_listing(_latest_versions(i), i.cfg),
     "product_risk": product_risk,
     "note_extract": note_extract,
     "note_intelligence": _note_intelligence,
@@ -266,6 +267,10 @@ QUERIES = {
     "account_scores_reconciled": account_scores_reconciled,
     "top_drivers": lambda i: reports.drivers_long(i.scored),
     "breakdown_long": lambda i: reports.breakdown_long(i.scored),
+    "tier_counts": lambda i: reports.tier_totals(_in_view(i)).select("risk_tier", "accounts"),
+    "arr_by_tier": lambda i: reports.tier_totals(_in_view(i)).select(
+        "risk_tier", F.col("arr").cast("double").alias("arr")
+    ),
     "tier_totals": lambda i: reports.tier_totals(i.scored).drop("ord").withColumns(_double("arr")),
     "kpis": lambda i: reports.kpis(_in_view(i)).withColumns(_double("arr_at_risk")),
     "portfolio_summary": lambda i: reports.portfolio_summary(_in_view(i)).withColumns(
