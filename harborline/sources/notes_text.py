@@ -53,12 +53,9 @@ def read_note_records(spark: SparkSession, path) -> DataFrame:
 def _without_headers(records: DataFrame) -> DataFrame:
     """Drops blank records, a leading header record per file, and short records."""
     filled = records.where(F.col("raw_text") != "")
-    first = filled.groupBy("path").agg(F.min("ord").alias("first_ord"))
-    is_header = (F.col("ord") == F.col("first_ord")) & F.contains(
-        "raw_text", F.lit(NOTE_FILE_HEADER)
-    )
-    return (
-        filled.join(first, "path")
-        .where(~is_header & (F.length("raw_text") >= NOTE_MIN_LENGTH))
-        .select("ord", "raw_text")
-    )
+    first = filled.groupBy("path").agg(F.min("ord").alias("ord"))
+    titled = filled.where(F.contains("raw_text", F.lit(NOTE_FILE_HEADER))).select("path", "ord")
+    headers = titled.join(first, ["path", "ord"]).select("ord")
+    # Joined by record number, not by file: one file may hold all records.
+    kept = filled.join(headers, "ord", "left_anti")
+    return kept.where(F.length("raw_text") >= NOTE_MIN_LENGTH).select("ord", "raw_text")

@@ -105,3 +105,30 @@ def test_reconcile(spark):
         "no_identifier", "fuzzy_name"]
     assert [got[i].matched_account_id for i in (1, 2, 3, 4, 9)] == [1001, 1001, 1002, 1004, 0]  # last twin's id
     assert got[1].match_confidence == 100.0 and got[5].match_confidence == 0.0 and got[1].matched_account_name == "BrightPath Solutions"
+
+
+def test_reconcile_matches_brute_force_on_derived_notes(spark):
+    """Every note of the smallest data set, against scoring every pair."""
+    from harborline.functions.similarity import name_score
+    from workload.fixtures import Inputs
+
+    i = Inputs(spark, "/root/testdata/sf0.001")
+    accounts = {r.account_id: r.account_name for r in i.accounts.collect()}
+    got = by_key(reconcile_notes(i.notes, i.accounts), "ord")
+    best = {}
+    for note in i.notes.collect():
+        r = got[note.ord]
+        if note.account_id and note.account_id in accounts:
+            assert (r.match_method, r.matched_account_id) == ("id_direct", note.account_id)
+            continue
+        if not note.account_name_raw:
+            assert r.match_method == "no_identifier" and r.matched_account_id is None
+            continue
+        name = note.account_name_raw.strip().lower()
+        if name not in best:
+            scores = {a: name_score(name, n.lower()) for a, n in accounts.items()}
+            top = max(scores.values())
+            best[name] = (min(a for a, s in scores.items() if s == top), top)
+        account, top = best[name]
+        want = ("fuzzy_name", account, top) if top >= 75 else ("unmatched", None, 0.0)
+        assert (r.match_method, r.matched_account_id, r.match_confidence) == want

@@ -1,9 +1,12 @@
 """Every registered query against its SQL oracle, and the shape of the plans."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry_point
 from tests.compare import connect, differences
+from harborline.plans.scoring import score_accounts
 from workload.fixtures import Inputs
 from workload.queries import QUERIES
 
@@ -49,23 +52,27 @@ def test_plan_stays_in_the_jvm_without_cross_joins(inputs, name):
         assert bad not in plan, bad
 
 
-def test_scoring_plan_exchanges_each_fact_once_per_key(spark):
-    """Without size-based broadcasts: one exchange by account per aggregated fact
-    and one for the accounts; joining them adds none."""
+def test_scoring_plan_shuffles_each_source_once(spark, inputs):
+    """Without size-based broadcasts, accounts, tickets, survey and notes are each
+    shuffled once, the facts as partial aggregates, and the joins add nothing."""
+    tables = []
+    for name in ("accounts", "usage", "tickets", "nps", "known_notes"):
+        df = getattr(inputs, name)
+        tables.append(spark.createDataFrame(df.limit(5).collect(), df.schema))
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        i = Inputs(spark, SF)
-        tables = {}
-        for name in ("accounts", "usage", "tickets", "nps", "known_notes"):
-            df = getattr(i, name)
-            tables[name] = spark.createDataFrame(df.limit(5).collect(), df.schema)
-        from harborline.plans.scoring import score_accounts
-        plan = score_accounts(*tables.values(), window_only=False)._jdf.queryExecution().executedPlan().toString()
+        scored = score_accounts(*tables, window_only=False)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
-    initial = plan.split("== Initial Plan ==")[-1]
-    by_account = [line for line in initial.splitlines() if "Exchange hashpartitioning(account_id" in line or "Exchange hashpartitioning(matched_account_id" in line]
-    # accounts, tickets, survey, notes; usage: heavy-key count, pieces, aggregate,
-    # and the two links of heavy pieces, which are empty without heavy keys.
-    assert len(by_account) <= 10
+    joins = re.findall(r"SortMergeJoin \[account_id#(\d+)L\], \[account_id#(\d+)L\], LeftOuter", plan)
+    assert len(joins) == 4 and len({left for left, _ in joins}) == 1
+    notes, nps, tickets, _usage = (right for _, right in joins)
+    for key in (joins[0][0], nps, tickets):
+        assert plan.count(f"Exchange hashpartitioning(account_id#{key}L, ") == 1
+    assert plan.count("Exchange hashpartitioning(matched_account_id#") == 1
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if f"Exchange hashpartitioning(account_id#{tickets}L" in line or "hashpartitioning(matched_account_id#" in line:
+            assert "partial_" in lines[i + 1]

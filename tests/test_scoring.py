@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from harborline.config import SIGNALS, Config
 from harborline.operators import enrich
 from harborline.plans import details, reports
-from harborline.plans.scoring import ranked, score_accounts, top_drivers, with_score
+from harborline.plans.scoring import ranked, score_accounts, with_score
 from tests.conftest import by_key
 from workload.fixtures import Inputs
 
