@@ -40,6 +40,27 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+# Fixed values. Code points on which the Unicode tables of the tokenizers library differ from
+# those of the regex module: these letters and numbers count as symbols there, ...
+NEWER_LETTERS = (
+    "\\u0558\\u058b-\\u058c\\u088f\\u0c5c\\u0cdc\\u208f\\u209d-\\u209f\\ua7cf\\ua7dd\\ua7e2\\ua7f1\\uab6c-\\uab6d"
+    "\\U000107bb-\\U000107bf\\U00010940-\\U00010959\\U00010ec5-\\U00010ec7\\U00010ed9-\\U00010eee\\U00011b0a"
+    "\\U00011db0-\\U00011ddb\\U00011df1\\U00016ebb-\\U00016ed3\\U00016ff2-\\U00016ff3\\U000187f8-\\U000187ff"
+    "\\U00018cd6-\\U00018cda\\U00018d09-\\U00018d20\\U00018d80-\\U00018df2\\U00018e00-\\U00019191\\U000191a0-\\U000191d2"
+    "\\U0001b123-\\U0001b128\\U0001b168\\U0001d6a6\\U0001df1f-\\U0001df24\\U0001df2b-\\U0001df81\\U0001df90-\\U0001df96"
+    "\\U0001dfcd-\\U0001dfff\\U0001e6c0-\\U0001e6de\\U0001e6e0-\\U0001e6e2\\U0001e6e4-\\U0001e6e5\\U0001e6e7-\\U0001e6ed"
+    "\\U0001e6f0-\\U0001e6f4\\U0001e6fe-\\U0001e6ff\\U0002b73a-\\U0002b73f\\U0002b81e\\U0002cea2-\\U0002cead"
+    "\\U000323b0-\\U00033479\\U0003d000-\\U0003fc3f"
+)
+# ... and these capitals have small letters there that Python's str.lower does not know.
+NEWER_SMALL = {
+    0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5,
+    0xA7DA: 0xA7DB, 0xA7DC: 0x019B,
+    **{c: c + 0x20 for c in range(0x10D50, 0x10D66)},
+    **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)},
+}
+
+
 class Bpe:
     """The tokenizer that a vocabulary file describes."""
 
@@ -70,7 +91,13 @@ class Bpe:
             self.strings[i] = string
         self.bytes = byte_symbols()
         # The Replace step only unites white space, which no word contains.
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        pattern = split["pattern"]["Regex"]
+        self.words = regex.compile(pattern).findall
+        newer = NEWER_LETTERS
+        self.newer = regex.compile(f"[{newer}{''.join(map(chr, NEWER_SMALL))}]").search
+        plain = pattern.replace("[\\p{L}]", f"[\\p{{L}}--[{newer}]]").replace("[\\p{N}]", f"[\\p{{N}}--[{newer}]]")
+        plain = plain.replace("[^\\s\\p{L}\\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{newer}]]")
+        self.words_with_newer = regex.compile(plain, regex.V1).findall
         found = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, found)) + ")").split if found else None
         self.cache = _Words(self)
@@ -116,6 +143,8 @@ class Bpe:
         else:
             # Letter by letter, so a final sigma has no form of its own.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if self.newer(text):
+                return b"".join(map(self.cache.__getitem__, self.words_with_newer(text.translate(NEWER_SMALL))))
         return b"".join(map(self.cache.__getitem__, self.words(text)))
 
     def encode(self, text: str) -> bytes:
