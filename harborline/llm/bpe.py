@@ -15,21 +15,23 @@ columns pass through, and the two new columns replace columns of the same name.
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from harborline.llm.tables import add_columns
 
 MAX_VOCABULARY_BYTES = 64 * 1024 * 1024
 #: Words whose ids one Python worker remembers; then it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -81,15 +83,20 @@ class Bpe:
         self.vocabulary: dict[str, int] = model["vocab"]
         self.suffix = model["end_of_word_suffix"] or ""
         ids = self.vocabulary
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: by the id of the left symbol: the right symbol's id to the rank of the merge
+        self.ranks: list[dict[int, int]] = [{} for _ in range(max(ids.values()) + 1)]
+        self.merged_id: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.ranks[ids[left]][ids[right]] = rank
+            self.merged_id.append(ids[left + right])
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.strings = [""] * (max([*ids.values(), *self.special.values()]) + 1)
         for string, i in [*ids.items(), *self.special.items()]:
             self.strings[i] = string
-        self.bytes = byte_symbols()
+        symbols = byte_symbols()
+        self.inner = [ids.get(x) for x in symbols]
+        self.final = [ids.get(x + self.suffix) for x in symbols]
         # The Replace step only unites white space, which no word contains.
         pattern = split["pattern"]["Regex"]
         self.words = regex.compile(pattern).findall
@@ -104,38 +111,45 @@ class Bpe:
 
     def merged(self, word: str) -> bytes:
         """The ids of one word, as little-endian unsigned 32-bit integers."""
-        letters = [self.bytes[b] for b in word.encode()]
-        letters[-1] += self.suffix
-        ids = [self.vocabulary.get(x, -1) for x in letters]
-        ids = [i for i in ids if i >= 0]
-        n, merges = len(ids), self.merges
+        letters = word.encode()
+        inner, ranks, merged_id = self.inner, self.ranks, self.merged_id
+        ids = [inner[b] for b in letters]
+        ids[-1] = self.final[letters[-1]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        n = len(ids)
         queue = []
-        for at in range(n - 1):
-            merge = merges.get((ids[at], ids[at + 1]))
-            if merge:
-                queue.append((merge[0], at, merge[1]))
+        left = ids[0] if ids else 0
+        for at in range(1, n):
+            right = ids[at]
+            rank = ranks[left].get(right)
+            if rank is not None:
+                queue.append(rank << 40 | at - 1)  # ordered by rank, then by place
+            left = right
         if queue:
-            heapq.heapify(queue)
+            heapify(queue)
             after, before = list(range(1, n + 1)), list(range(-1, n - 1))
             while queue:
-                rank, at, new = heapq.heappop(queue)
+                entry = heappop(queue)
+                rank, at = entry >> 40, entry & 0xFFFFFFFFFF
                 right = after[at]
-                if ids[at] < 0 or right >= n or merges.get((ids[at], ids[right]), (-1,))[0] != rank:
+                if ids[at] < 0 or right >= n or ranks[ids[at]].get(ids[right]) != rank:
                     continue  # stale: one of the pair has merged since
-                ids[at], ids[right] = new, -1
+                ids[at] = new = merged_id[rank]
+                ids[right] = -1
                 after[at] = right = after[right]
                 if right < n:
                     before[right] = at
-                    merge = merges.get((new, ids[right]))
-                    if merge:
-                        heapq.heappush(queue, (merge[0], at, merge[1]))
+                    rank = ranks[new].get(ids[right])
+                    if rank is not None:
+                        heappush(queue, rank << 40 | at)
                 left = before[at]
                 if left >= 0:
-                    merge = merges.get((ids[left], new))
-                    if merge:
-                        heapq.heappush(queue, (merge[0], left, merge[1]))
+                    rank = ranks[ids[left]].get(new)
+                    if rank is not None:
+                        heappush(queue, rank << 40 | left)
             ids = [i for i in ids if i >= 0]
-        return np.array(ids, "<u4").tobytes()
+        return pack(f"<{len(ids)}I", *ids)
 
     def _plain(self, text: str) -> bytes:
         if text.isascii():
@@ -198,22 +212,29 @@ def load(spark: SparkSession, path: str) -> Broadcast:
 def encode(df: DataFrame, spec: Broadcast, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds the ids of each text as binary: little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encoded(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = _bpe(spec)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t) if t else b"" for t in texts], dtype=object)
+        return [pa.array([bpe.encode(t) if t else b"" for t in batch.column(text).to_pylist()], pa.binary())]
 
-    return df.withColumn(ids, encoded(F.col(text).cast("string")))
+    return add_columns(df, encoded, f"`{ids}` binary", text)
 
 
 def decode(df: DataFrame, spec: Broadcast, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Adds the text of each binary list of ids; null ids give the empty text."""
 
-    @F.pandas_udf("string")
-    def text_of_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def text_of_ids(batch: pa.RecordBatch) -> list[pa.Array]:
+        bpe = _bpe(spec)
+        return [pa.array([bpe.decode(x) if x else "" for x in batch.column(ids).to_pylist()], pa.string())]
+
+    return add_columns(df, text_of_ids, f"`{decoded}` string", ids)
+
+
+def encode_decode(df: DataFrame, spec: Broadcast, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both columns in one pass, so that the ids go through one Python worker only."""
+
+    def both(batch: pa.RecordBatch) -> list[pa.Array]:
         bpe = _bpe(spec)
-        for rows in batches:
-            yield pd.Series([bpe.decode(x) if x else "" for x in rows], dtype=object)
+        found = [bpe.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
+        return [pa.array(found, pa.binary()), pa.array([bpe.decode(x) for x in found], pa.string())]
 
-    return df.withColumn(decoded, text_of_ids(F.col(ids)))
+    return add_columns(df, both, f"`{ids}` binary, `{decoded}` string", text)

@@ -14,7 +14,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     spec = bpe.load(spark, public_tokenizers.path("word_bpe_49k.json"))
     docs = documents(spark, sf_dir).select("doc_id", text_of().alias("text"))
-    rows = bpe.decode(bpe.encode(docs, spec), spec)
+    rows = bpe.encode_decode(docs, spec)
     return rows.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),

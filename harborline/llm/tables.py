@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bytes of text that a Python worker turns into Python objects at a time.
+SLICE_BYTES = 4 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -43,3 +49,37 @@ def ascii_lower(column: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``SLICE_BYTES`` of the column, at least one row each."""
+    values = batch.column(column)
+    start, size = 0, 0
+    for i in range(batch.num_rows):
+        value = values[i]
+        size += value.as_buffer().size if value.is_valid else 0
+        if size >= SLICE_BYTES:
+            yield batch.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def add_columns(
+    df: DataFrame, of: Callable[[pa.RecordBatch], list[pa.Array]], schema: str, sized_by: str
+) -> DataFrame:
+    """Adds the columns that ``of`` makes from a run of rows; they replace columns of the same
+    names. ``sized_by`` is the string or binary column by which runs are cut."""
+    new = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    taken = {name.lower() for name in new.names}
+    kept = [c for c in df.columns if c.lower() not in taken]
+    names = [*kept, *new.names]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, sized_by):
+                columns = [part.column(i) for i, c in enumerate(part.schema.names) if c.lower() not in taken]
+                yield pa.RecordBatch.from_arrays([*columns, *of(part)], names=names)
+
+    types = T.StructType([*(f for f in df.schema.fields if f.name.lower() not in taken), *new.fields])
+    return df.mapInArrow(work, types)
