@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe
+from harborline.llm import bpe, exact_dedup, secrets, sharding, url_filter
 from harborline.llm.tables import documents, text_of
 
 
@@ -23,6 +23,76 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = exact_dedup.exact_groups(exact_dedup.digests(documents(spark, sf_dir)))
+    return groups.select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
+        F.col("digest").alias("text_sha256"),
+    )
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(documents(spark, sf_dir))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules_table(spark))
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, found = secrets.scan_all(documents(spark, sf_dir), secrets.empty_ledger(spark))
+    spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,order:bigint,kind:string,end:bigint>>"))
+    listed = lambda xs: F.array_join(
+        F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
+    )
+    base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select(
+        F.col("path").alias("doc_id"),
+        *(
+            F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+            for k in secrets.BASE
+        ),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"),
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op7_sharding": op7_sharding,
+    "op8_url_filter": op8_url_filter,
+    "op10_secrets": op10_secrets,
+}
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_exact_dedup": f"""
+        SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+               doc_id = max(doc_id) OVER same AS kept, sha256({LOWER}) AS text_sha256
+        FROM documents WINDOW same AS (PARTITION BY {LOWER})
+    """,
+    "op8_url_filter": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), parts AS (
+            SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw,
+                   regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
+            FROM rest
+        ), hosts AS (
+            SELECT page_id, path,
+                   translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+            FROM parts
+        ), rules(verdict, host, path) AS (
+            VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'),
+                   ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+        ), met AS (
+            SELECT h.page_id, h.host, h.path, r.host || r.path AS rule, r.verdict,
+                   row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS place
+            FROM hosts h LEFT JOIN rules r
+              ON (h.host = r.host OR h.host LIKE '%.' || r.host) AND starts_with(h.path, r.path)
+        )
+        SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM met WHERE place = 1
+    """,
+}
