@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, exact_dedup, secrets, sharding, url_filter
+from harborline.llm import bpe, decontaminate, exact_dedup, secrets, sharding, toxicity, url_filter
 from harborline.llm.tables import documents, text_of
 
 
@@ -31,6 +31,13 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item found in it."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontaminate.with_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(documents(spark, sf_dir))
 
@@ -39,6 +46,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), url_filter.rules_table(spark))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(toxicity.training_rows(docs, labels))
+    return toxicity.score(docs, model).select(
+        "doc_id", (toxicity.fold() == 2).alias("held_out"), "score",
+        (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "threshold", "rejected",
+    )
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, found = secrets.scan_all(documents(spark, sf_dir), secrets.empty_ledger(spark))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,order:bigint,kind:string,end:bigint>>"))
@@ -59,8 +76,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
 }
 

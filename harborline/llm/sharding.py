@@ -3,8 +3,9 @@
 1. Every row becomes a row id, its id, its size and a key: a hash of its text, then a hash of
    its id and row id. Equal texts are neighbours in key order, and a group of any size can still be
    cut between its rows. Texts are not shuffled; the narrow table is written once.
-2. ``SAMPLE`` rows are drawn with a chance that grows with their size (the smallest values of
-   ``-ln(u) / size``, where u is a hash of the key), and their quantiles are the splitters.
+2. About ``SAMPLE`` rows are drawn with a chance that grows with their size (those with
+   ``-ln(u) / size`` below ``SAMPLE / total``, where u is a hash of the key), and their quantiles
+   are the splitters. The draw has that size whatever the table's, and no task sends more.
 3. Records are dealt to the key ranges between splitters. Ranges that hold more than ``OVERFULL``
    times their share are subdivided by splitters drawn from their own rows, until none is left.
 4. The exact sizes of the ranges, a fixed number of rows, give each range its offset, and a
@@ -45,10 +46,10 @@ def keyed(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataF
     return written(rows.withColumn("key", F.concat("group", own)), "keyed")
 
 
-def _sample(rows: DataFrame, n: int) -> list[str]:
-    """The keys of ``n`` rows, drawn by size; ``n`` is fixed, so the driver's share is bounded."""
+def _sample(rows: DataFrame, n: int, total: int) -> list[str]:
+    """The keys of about ``n`` rows of all ``total`` bytes, drawn by size."""
     u = (F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    drawn = rows.select("key", (-F.log(u) / F.col("size")).alias("race")).orderBy("race", "key").limit(n)
+    drawn = rows.where(-F.log(u) / F.col("size") <= n / max(total, 1))
     return sorted(r.key for r in drawn.select("key").collect())
 
 
@@ -71,7 +72,8 @@ def _range_of(splitters: list[str]) -> Column:
 
 def range_partitioned(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPLE) -> tuple[DataFrame, list]:
     """The rows with their range, and (range, bytes, rows) of all ranges in key order."""
-    splitters = _quantiles(_sample(rows, sample), ranges)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    splitters = _quantiles(_sample(rows, sample, total), ranges)
     while True:
         dealt = rows.withColumn("range", _range_of(splitters))
         sizes = (
@@ -79,12 +81,12 @@ def range_partitioned(rows: DataFrame, ranges: int = RANGES, sample: int = SAMPL
             .agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), F.min("key").alias("low"), F.max("key").alias("high"))
             .orderBy("range").collect()
         )
-        share = sum(r.bytes for r in sizes) / ranges
+        share = total / ranges
         more: set[str] = set()
         for r in sizes:
             if r.bytes > OVERFULL * share and r.low < r.high and r.rows > 64:
                 inside = rows.where((F.col("key") >= r.low) & (F.col("key") <= r.high))
-                more.update(k for k in _quantiles(_sample(inside, 4096), int(r.bytes / share) + 1) if r.low < k <= r.high)
+                more.update(k for k in _quantiles(_sample(inside, 4096, r.bytes), int(r.bytes / share) + 1) if r.low < k <= r.high)
         if more <= set(splitters):
             return dealt, sizes
         splitters = sorted({*splitters, *more})
