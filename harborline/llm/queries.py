@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, decontaminate, exact_dedup, secrets, sharding, toxicity, url_filter
+from harborline.llm import bpe, decontaminate, exact_dedup, minhash, secrets, sharding, toxicity, url_filter
 from harborline.llm.tables import documents, text_of
 
 
@@ -31,6 +31,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "class_id", "class_size", "kept", "n_links"
+    )
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and benchmark item found in it."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -76,6 +82,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_minhash": op5_minhash,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
     "op8_url_filter": op8_url_filter,
