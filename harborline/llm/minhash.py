@@ -10,14 +10,14 @@ than reading it; a text with an empty coordinate raises its limit until all are
 
 1. One pass makes, for each row, a digest of its words, the band keys of its signature and
    the sorted element hashes. Rows with the same words are one text from here on.
-2. Texts meet in an equality join on (band, key). Within a bucket the texts are compared to a
-   few pivots, never all pairs: rounds take new pivots among the texts that no pivot has
-   matched, and compare them with all texts of the bucket, matched ones too, so chains of
-   links across pivots are found. Rounds end when every text of a bucket has matched or been a
-   pivot, however large the bucket is. Nothing is capped.
+2. Texts meet in an equality join on the band's key. Within a bucket the texts are compared to
+   a pivot, never all pairs: the smallest text that no earlier pivot is connected with meets all
+   texts of other components in the bucket, earlier pivots' ones too, so links across pivots
+   are found. Rounds end when every text of a bucket is connected with one of its pivots,
+   however large the bucket is. Nothing is capped.
 3. Each pair is verified once on its exact sets; links are those of at least ``THRESHOLD``.
-4. Connected components of the links are the classes, by taking the smallest label among
-   neighbours and their labels until nothing changes.
+4. Connected components of the links, computed anew in each round, are the classes: every text
+   takes the smallest label among its neighbours and their labels until nothing changes.
 
 With 40 bands of 7 rows a pair of similarity 0.8 meets in a band with probability 0.9999.
 
@@ -45,8 +45,6 @@ THRESHOLD = 0.8
 WORDS = 5
 BANDS = 40
 ROWS = 7
-#: Pivots of a bucket in one round.
-PIVOTS = 4
 #: Element by rank cells that are drawn at once.
 CHUNK = 400_000
 #: Cells below rank 1: [0, 2^-LOW), then doubling.
@@ -153,7 +151,7 @@ class Signatures:
 
 def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signatures.reshape(len(signatures), bands, rows)
-    key = np.full(parts.shape[:2], GOLDEN, np.uint64)
+    key = np.broadcast_to(mixed(np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN), parts.shape[:2])
     for r in range(rows):
         key = mixed(key * np.uint64(3) + parts[:, :, r])
     return key
@@ -187,102 +185,95 @@ def signed(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
     return add_columns(df, made, "digest string, bands array<long>, elements array<int>", text)
 
 
-def _pivots(buckets: DataFrame) -> DataFrame:
-    """Up to ``PIVOTS`` unmatched texts of each bucket: the smallest of each of so many hash classes."""
-    return (
-        buckets.where("open")
-        .groupBy("band", "key", F.pmod(F.xxhash64("band", "digest"), F.lit(PIVOTS)).alias("part"))
-        .agg(F.min("digest").alias("pivot")).drop("part")
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """low, high, linked: whether the exact sets of a pair are alike."""
+    both = (
+        pairs.join(sets.select(F.col("text").alias("low"), F.col("elements").alias("a")), "low")
+        .join(sets.select(F.col("text").alias("high"), F.col("elements").alias("b")), "high")
     )
+    common = F.size(F.array_intersect("a", "b"))
+    return both.select("low", "high", (common >= threshold * (F.size("a") + F.size("b") - common)).alias("linked"))
 
 
-def links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """low, high: the verified links between distinct texts (digest, bands, elements)."""
-    keyed = texts.select("digest", F.posexplode("bands").alias("band", "key"))
-    shared = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    buckets = written(keyed.join(shared, ["band", "key"], "left_semi").withColumn("open", F.lit(True)), "buckets")
-    sets = written(
-        texts.select("digest", "elements").join(buckets.select("digest").distinct(), "digest", "left_semi"), "sets"
+def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """text, label of every text (text, bands, elements) that is linked to another; the label is
+    the smallest text of its component."""
+    keyed = texts.select("text", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    buckets = written(
+        keyed.join(shared, "key", "left_semi").select("key", "text", F.col("text").alias("label"), F.lit(True).alias("open")), "buckets"
     )
-    verified = None
+    sets = written(texts.select("text", "elements").join(buckets.select("text").distinct(), "text", "left_semi"), "sets")
+    verified, labels = None, None
     while True:
-        pivots = written(_pivots(buckets), "pivots")
-        if pivots.isEmpty():
-            break
-        met = buckets.select("band", "key", "digest").join(pivots, ["band", "key"]).where(F.col("digest") != F.col("pivot"))
-        pairs = met.select(F.least("digest", "pivot").alias("low"), F.greatest("digest", "pivot").alias("high")).distinct()
+        pivots = buckets.where("open").groupBy("key").agg(F.min(F.struct("text", "label")).alias("pivot"))
+        met = buckets.join(pivots, "key").where(F.col("label") != F.col("pivot.label"))
+        pairs = met.select(F.least("text", "pivot.text").alias("low"), F.greatest("text", "pivot.text").alias("high")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["low", "high"], "left_anti")
-        both = (
-            pairs.join(sets.select(F.col("digest").alias("low"), F.col("elements").alias("a")), "low")
-            .join(sets.select(F.col("digest").alias("high"), F.col("elements").alias("b")), "high")
-        )
-        common = F.size(F.array_intersect("a", "b"))
-        checked = both.select("low", "high", (common >= threshold * (F.size("a") + F.size("b") - common)).alias("linked"))
+        checked = _verified(pairs, sets, threshold)
         verified = written(checked if verified is None else verified.unionByName(checked), "verified")
-        matched = (
-            met.withColumn("low", F.least("digest", "pivot")).withColumn("high", F.greatest("digest", "pivot"))
-            .join(verified.where("linked"), ["low", "high"], "left_semi")
-            .select("band", "key", "digest").distinct().withColumn("done", F.lit(True))
+        labels = components(verified.where("linked"))
+        known = labels.select("text", F.col("label").alias("own"))
+        of_pivot = labels.select(F.col("text").alias("pivot_text"), F.col("label").alias("pivot_label"))
+        state = (
+            buckets.join(known, "text", "left")
+            .join(pivots.select("key", F.col("pivot.text").alias("pivot_text")), "key")
+            .join(of_pivot, "pivot_text", "left")
+            .select("key", "text", F.coalesce("own", "text").alias("label"), "open", F.coalesce("pivot_label", "pivot_text").alias("done"))
+            .withColumn("open", F.col("open") & (F.col("label") != F.col("done")))
         )
-        closed = matched.unionByName(pivots.select("band", "key", F.col("pivot").alias("digest"), F.lit(True).alias("done"))).distinct()
-        state = buckets.join(closed, ["band", "key", "digest"], "left").withColumn("open", F.col("open") & F.col("done").isNull())
-        # Buckets without an open text are finished.
-        busy = state.where("open").select("band", "key").distinct()
-        buckets = written(state.drop("done").join(busy, ["band", "key"], "left_semi"), "buckets")
-    if verified is None:
-        return texts.select(F.col("digest").alias("low"), F.col("digest").alias("high")).limit(0)
-    return verified.where("linked").select("low", "high")
+        busy = state.where("open").select("key").distinct()
+        buckets = written(state.drop("done").join(busy, "key", "left_semi"), "buckets")
+        if buckets.isEmpty():
+            return labels
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """digest, label of every text with a link; the label is the smallest digest of its component."""
+    """text, label of every text with an edge (low, high); the label is the smallest text of its
+    component."""
     edges = written(
         edges.select(F.col("low").alias("a"), F.col("high").alias("b"))
         .union(edges.select(F.col("high").alias("a"), F.col("low").alias("b"))), "edges",
     )
     labels = written(
-        edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("digest"), F.least("a", "b").alias("label")), "labels"
+        edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("text"), F.least("a", "b").alias("label")), "labels"
     )
     while True:
         near = (
-            edges.join(labels.withColumnRenamed("digest", "b"), "b")
-            .groupBy(F.col("a").alias("digest")).agg(F.min("label").alias("near"))
+            edges.join(labels.withColumnRenamed("text", "b"), "b")
+            .groupBy(F.col("a").alias("text")).agg(F.min("label").alias("near"))
         )
-        lowered = labels.join(near, "digest").select("digest", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        lowered = labels.join(near, "text").select("text", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         # A text also takes its label's label, which halves the way along a chain.
-        jump = labels.select(F.col("digest").alias("label"), F.col("label").alias("further"))
+        jump = labels.select(F.col("text").alias("label"), F.col("label").alias("further"))
         new = written(
-            lowered.join(jump, "label", "left").select("digest", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels"
+            lowered.join(jump, "label", "left").select("text", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels"
         )
-        changed = new.where(F.col("label") != F.col("old")).isEmpty()
+        settled = new.where(F.col("label") != F.col("old")).isEmpty()
         labels = new.drop("old")
-        if changed:
+        if settled:
             return labels
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", row: str | None = None, threshold: float = THRESHOLD, **signature) -> DataFrame:
-    """row, id, class_id (the smallest id of the class), class_size, kept and n_links, the number
-    of verified links of the row's text, for every row."""
+    """row, id, class_id (the smallest id of the class), class_size and kept for every row."""
     row_id = F.monotonically_increasing_id() if row is None else F.col(row)
     own = df.select(row_id.alias("row"), F.col(id_column).alias("id"), text_of(text).alias("text"))
     table = written(signed(own, "text", **signature).drop("text"), "signatures")
-    first = table.groupBy("digest").agg(F.min("row").alias("row"))
-    texts = table.join(first, ["digest", "row"], "left_semi").where(F.size("bands") > 0)
-    found = links(texts, threshold)
-    labels = components(found)
-    degree = (
-        found.select(F.col("low").alias("digest")).union(found.select(F.col("high").alias("digest")))
-        .groupBy("digest").agg(F.count(F.lit(1)).alias("n_links"))
+    first = table.groupBy("digest").agg(F.min("row").alias("text"))
+    texts = (
+        table.where(F.size("bands") > 0).select("row", "bands", "elements")
+        .join(first.select(F.col("text").alias("row")), "row", "left_semi").withColumnRenamed("row", "text")
     )
-    of_text = labels.join(degree, "digest", "left")
+    labels = components_of_texts(texts, threshold)
     rows = written(
-        table.select("row", "id", "digest").join(of_text, "digest", "left")
-        .select("row", "id", F.coalesce("label", "digest").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links")),
+        table.select("row", "id", "digest").join(first, "digest").join(labels, "text", "left")
+        .select("row", "id", F.coalesce("label", "text").alias("label")),
         "rows",
     )
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
     of_class = rows.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
     return rows.join(of_class, "label").select(
-        "row", "id", F.col("best.id").alias("class_id"), "class_size", "n_links", (F.col("best.row") == F.col("row")).alias("kept")
+        "row", "id", F.col("best.id").alias("class_id"), "class_size", (F.col("best.row") == F.col("row")).alias("kept")
     )

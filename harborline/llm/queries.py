@@ -33,7 +33,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(documents(spark, sf_dir)).select(
-        F.col("id").alias("doc_id"), "class_id", "class_size", "kept", "n_links"
+        F.col("id").alias("doc_id"), "class_id", "class_size", "kept"
     )
 
 
