@@ -48,7 +48,7 @@ BLOCK_BYTES = 12 * 1024 * 1024
 SHARD_WORDS = 1_500_000
 SHARD_BIGRAMS = 3_000_000
 #: L: the weight of the bigram's share.
-MIX = 0.3
+MIX = 0.5
 #: Steps of a quantised log10 in one unit.
 STEPS = 2048
 
