@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, secrets, sharding, toxicity, url_filter
+from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, secrets, sharding, suffix_dedup, toxicity, url_filter
 from harborline.llm.tables import documents, text_of
 
 
@@ -27,6 +27,13 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(exact_dedup.digests(documents(spark, sf_dir)))
     return groups.select(
@@ -86,6 +93,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_minhash": op5_minhash,
     "op6_decontaminate": op6_decontaminate,
