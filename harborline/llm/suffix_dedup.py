@@ -10,8 +10,8 @@ same anchor form a run, and a run with its text is a segment of less than two wi
    learns which occur elsewhere; all other windows occur once.
 3. Segments. Every block sends its distinct segments with repeated anchors, each once, to the shard of
    the anchor. A shard keeps each distinct segment once: equal ones are repeated as a whole. The
-   rest goes in batches into a logarithmic family of suffix arrays: a batch's array, sorted by prefix
-   doubling, is merge-scanned with every level for common prefixes of a window's length, and levels of
+   rest goes in batches into a logarithmic family of suffix arrays: a batch's array, sorted by ranks of
+   prefixes that double or triple in length, is merge-scanned with every level for common prefixes of a window's length, and levels of
    like size merge, so each window is sorted again a logarithmic number of times.
    Anchors found in more than ``HOT_BLOCKS`` blocks go another, equally exact way, so that no
    shard grows with them: each block sends the distinct 128-bit hashes of their windows, dealt out by that hash.
@@ -43,8 +43,8 @@ BLOCK_BYTES = 8 * 1024 * 1024
 #: Window starts that are worked on at once.
 STEP = 1 << 19
 SHARD_ANCHORS = 1_000_000
-#: Bytes of text for which there is one segment shard.
-SHARD_BYTES = 16 * 1024 * 1024
+#: Bytes of text for which there is one segment shard; few shards then need a second batch.
+SHARD_BYTES = 4 * 1024 * 1024
 BATCH_BYTES = 4 * 1024 * 1024
 HOT_BLOCKS = 128
 
@@ -190,7 +190,7 @@ def _answer_hashes(group: pa.Table) -> list[np.ndarray]:
 
 
 def _window_ranks(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Keys that order the windows like their bytes, by doubling the length of ranked prefixes."""
+    """Keys that order the windows like their bytes, by ranking ever longer prefixes."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)]).astype(np.uint64)
     keys = np.zeros(n, np.uint64)
@@ -198,12 +198,19 @@ def _window_ranks(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
         keys = keys << np.uint64(8) | padded[i : i + n]
     length = 8
     while True:
-        rank = np.unique(keys, return_inverse=True)[1].astype(np.uint64)
-        rank = np.concatenate([rank, np.zeros(LENGTH, np.uint64)])
-        if 2 * length > LENGTH:
-            return rank[starts] << np.uint64(32) | rank[starts + LENGTH - length]
-        keys = rank[:n] << np.uint64(32) | rank[length : n + length]
-        length *= 2
+        distinct, rank = np.unique(keys, return_inverse=True)
+        rank = np.concatenate([rank.astype(np.uint64), np.zeros(LENGTH, np.uint64)])
+        # Three ranks fit a key while there are few of them, else two do.
+        parts = 3 if len(distinct) < 1 << 21 else 2
+        bits = np.uint64(64 // parts)
+        last = parts * length >= LENGTH
+        at = starts if last else np.arange(n)
+        keys = rank[at]
+        for i in range(1, parts):
+            keys = keys << bits | rank[at + (min(i * length, LENGTH - length) if last else i * length)]
+        if last:
+            return keys
+        length *= parts
 
 
 class Family:
