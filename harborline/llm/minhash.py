@@ -11,10 +11,11 @@ than reading it; a text with an empty coordinate raises its limit until all are
 1. One pass makes, for each row, a digest of its words, the band keys of its signature and
    the sorted element hashes. Rows with the same words are one text from here on.
 2. Texts meet in an equality join on the band's key. Within a bucket the texts are compared to
-   a pivot, never all pairs: the smallest text that no earlier pivot is connected with meets all
-   texts of other components in the bucket, earlier pivots' ones too, so links across pivots
-   are found. Rounds end when every text of a bucket is connected with one of its pivots,
-   however large the bucket is. Nothing is capped.
+   pivots: the smallest text that no earlier pivot is connected with meets all texts of other
+   components in the bucket, earlier pivots' ones too, so links across pivots are found. One
+   pivot settles a bucket of copies; for what it leaves open, the number of pivots doubles in
+   each round. Rounds end when every text of a bucket is connected with one of its pivots,
+   however large it is. Nothing is capped.
 3. Each pair is verified once on its exact sets; links are those of at least ``THRESHOLD``.
 4. Connected components of the links, computed anew in each round, are the classes: every text
    takes the smallest label among its neighbours and their labels until nothing changes.
@@ -204,25 +205,29 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
         keyed.join(shared, "key", "left_semi").select("key", "text", F.col("text").alias("label"), F.lit(True).alias("open")), "buckets"
     )
     sets = written(texts.select("text", "elements").join(buckets.select("text").distinct(), "text", "left_semi"), "sets")
-    verified, labels = None, None
+    verified, parts = None, 1
     while True:
-        pivots = buckets.where("open").groupBy("key").agg(F.min(F.struct("text", "label")).alias("pivot"))
+        pivots = written(
+            buckets.where("open").groupBy("key", F.pmod(F.xxhash64("text"), F.lit(parts)).alias("part"))
+            .agg(F.min(F.struct("text", "label")).alias("pivot")).select("key", "pivot"),
+            "pivots",
+        )
+        parts *= 2
         met = buckets.join(pivots, "key").where(F.col("label") != F.col("pivot.label"))
         pairs = met.select(F.least("text", "pivot.text").alias("low"), F.greatest("text", "pivot.text").alias("high")).distinct()
         if verified is not None:
             pairs = pairs.join(verified, ["low", "high"], "left_anti")
         checked = _verified(pairs, sets, threshold)
-        verified = written(checked if verified is None else verified.unionByName(checked), "verified")
+        checked = written(checked, "verified")
+        verified = checked if verified is None else verified.unionByName(checked)
         labels = components(verified.where("linked"))
         known = labels.select("text", F.col("label").alias("own"))
-        of_pivot = labels.select(F.col("text").alias("pivot_text"), F.col("label").alias("pivot_label"))
-        state = (
-            buckets.join(known, "text", "left")
-            .join(pivots.select("key", F.col("pivot.text").alias("pivot_text")), "key")
-            .join(of_pivot, "pivot_text", "left")
-            .select("key", "text", F.coalesce("own", "text").alias("label"), "open", F.coalesce("pivot_label", "pivot_text").alias("done"))
-            .withColumn("open", F.col("open") & (F.col("label") != F.col("done")))
+        buckets = buckets.join(known, "text", "left").select("key", "text", F.coalesce("own", "text").alias("label"), "open")
+        of_pivot = (
+            pivots.select("key", F.col("pivot.text").alias("text")).join(known, "text", "left")
+            .select("key", F.coalesce("own", "text").alias("label"), F.lit(True).alias("done")).distinct()
         )
+        state = buckets.join(of_pivot, ["key", "label"], "left").withColumn("open", F.col("open") & F.col("done").isNull())
         busy = state.where("open").select("key").distinct()
         buckets = written(state.drop("done").join(busy, "key", "left_semi"), "buckets")
         if buckets.isEmpty():
