@@ -13,12 +13,12 @@ than reading it; a text with an empty coordinate raises its limit until all are
 2. Texts meet in an equality join on the band's key. Within a bucket the texts are compared to
    pivots: the smallest text that no earlier pivot is connected with meets all texts of other
    components in the bucket, earlier pivots' ones too, so links across pivots are found. One
-   pivot settles a bucket of copies; for what it leaves open, the number of pivots doubles in
+   pivot settles a bucket of copies; for what it leaves open, the number of pivots grows fourfold
    each round. Rounds end when every text of a bucket is connected with one of its pivots,
    however large it is. Nothing is capped.
 3. Each pair is verified once on its exact sets; links are those of at least ``THRESHOLD``.
-4. Connected components of the links, computed anew in each round, are the classes: every text
-   takes the smallest label among its neighbours and their labels until nothing changes.
+4. Connected components of the links are the classes. Each round contracts them: texts move to
+   their smallest neighbour until no edge is left, and only new edges between components go on.
 
 With 40 bands of 7 rows a pair of similarity 0.8 meets in a band with probability 0.9999.
 
@@ -187,24 +187,25 @@ def signed(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = RO
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """low, high, linked: whether the exact sets of a pair are alike."""
+    """The pairs (low, high) with linked: whether their exact sets are alike."""
     both = (
-        pairs.join(sets.select(F.col("text").alias("low"), F.col("elements").alias("a")), "low")
-        .join(sets.select(F.col("text").alias("high"), F.col("elements").alias("b")), "high")
+        pairs.join(sets.select(F.col("text").alias("low"), F.col("elements").alias("low_set")), "low")
+        .join(sets.select(F.col("text").alias("high"), F.col("elements").alias("high_set")), "high")
     )
-    common = F.size(F.array_intersect("a", "b"))
-    return both.select("low", "high", (common >= threshold * (F.size("a") + F.size("b") - common)).alias("linked"))
+    common = F.size(F.array_intersect("low_set", "high_set"))
+    return both.select(*pairs.columns, (common >= threshold * (F.size("low_set") + F.size("high_set") - common)).alias("linked"))
 
 
 def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """text, label of every text (text, bands, elements) that is linked to another; the label is
-    the smallest text of its component."""
+    """text, label of every text (text, bands, elements) that shares a key with another; linked
+    texts share a label."""
     keyed = texts.select("text", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = written(
         keyed.join(shared, "key", "left_semi").select("key", "text", F.col("text").alias("label"), F.lit(True).alias("open")), "buckets"
     )
     sets = written(texts.select("text", "elements").join(buckets.select("text").distinct(), "text", "left_semi"), "sets")
+    labels = written(sets.select("text", F.col("text").alias("label")), "members")
     verified, parts = None, 1
     while True:
         pivots = written(
@@ -212,21 +213,27 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
             .agg(F.min(F.struct("text", "label")).alias("pivot")).select("key", "pivot"),
             "pivots",
         )
-        parts *= 2
+        parts *= 4
         met = buckets.join(pivots, "key").where(F.col("label") != F.col("pivot.label"))
-        pairs = met.select(F.least("text", "pivot.text").alias("low"), F.greatest("text", "pivot.text").alias("high")).distinct()
+        own = F.struct("text", "label")
+        pairs = met.select(F.least(own, "pivot").alias("a"), F.greatest(own, "pivot").alias("b")).distinct().select(
+            F.col("a.text").alias("low"), F.col("b.text").alias("high"), F.col("a.label").alias("a"), F.col("b.label").alias("b")
+        )
         if verified is not None:
             pairs = pairs.join(verified, ["low", "high"], "left_anti")
-        checked = _verified(pairs, sets, threshold)
-        checked = written(checked, "verified")
-        verified = checked if verified is None else verified.unionByName(checked)
-        labels = components(verified.where("linked"))
-        known = labels.select("text", F.col("label").alias("own"))
-        buckets = buckets.join(known, "text", "left").select("key", "text", F.coalesce("own", "text").alias("label"), "open")
+        checked = written(_verified(pairs, sets, threshold), "verified")
+        done = checked.select("low", "high")
+        verified = done if verified is None else verified.unionByName(done)
+        # What was joined before is one node by now, so each round's graph is small.
+        joined = components(checked.where("linked").select(F.col("a").alias("low"), F.col("b").alias("high")).distinct())
+        moved = joined.select(F.col("text").alias("label"), F.col("label").alias("now"))
+        now = F.coalesce("now", "label").alias("label")
+        labels = written(labels.join(moved, "label", "left").select("text", now), "members")
         of_pivot = (
-            pivots.select("key", F.col("pivot.text").alias("text")).join(known, "text", "left")
-            .select("key", F.coalesce("own", "text").alias("label"), F.lit(True).alias("done")).distinct()
+            pivots.select("key", F.col("pivot.label").alias("label")).join(moved, "label", "left")
+            .select("key", now, F.lit(True).alias("done")).distinct()
         )
+        buckets = buckets.join(moved, "label", "left").select("key", "text", now, "open")
         state = buckets.join(of_pivot, ["key", "label"], "left").withColumn("open", F.col("open") & F.col("done").isNull())
         busy = state.where("open").select("key").distinct()
         buckets = written(state.drop("done").join(busy, "key", "left_semi"), "buckets")
@@ -235,30 +242,25 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """text, label of every text with an edge (low, high); the label is the smallest text of its
-    component."""
-    edges = written(
-        edges.select(F.col("low").alias("a"), F.col("high").alias("b"))
-        .union(edges.select(F.col("high").alias("a"), F.col("low").alias("b"))), "edges",
-    )
-    labels = written(
-        edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("text"), F.least("a", "b").alias("label")), "labels"
-    )
-    while True:
-        near = (
-            edges.join(labels.withColumnRenamed("text", "b"), "b")
-            .groupBy(F.col("a").alias("text")).agg(F.min("label").alias("near"))
-        )
-        lowered = labels.join(near, "text").select("text", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        # A text also takes its label's label, which halves the way along a chain.
-        jump = labels.select(F.col("text").alias("label"), F.col("label").alias("further"))
-        new = written(
-            lowered.join(jump, "label", "left").select("text", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels"
+    """text, label of every text with an edge (low, high); texts of a component share a label, the
+    smallest of them.
+
+    Each round moves every text to its smallest neighbour and contracts the edges, so at least half of
+    the texts with edges vanish, and a star of any size takes one round."""
+    edges = written(edges.select("low", "high"), "edges")
+    nodes = edges.select(F.col("low").alias("text")).union(edges.select(F.col("high").alias("text"))).distinct()
+    labels = written(nodes.select("text", F.col("text").alias("label")), "labels")
+    while not edges.isEmpty():
+        both = edges.union(edges.select("high", "low"))
+        parent = written(both.groupBy(F.col("low").alias("label")).agg(F.least(F.col("label"), F.min("high")).alias("now")), "parents")
+        labels = written(labels.join(parent, "label", "left").select("text", F.coalesce("now", "label").alias("label")), "labels")
+        edges = written(
+            edges.join(parent.select(F.col("label").alias("low"), F.col("now").alias("a")), "low")
+            .join(parent.select(F.col("label").alias("high"), F.col("now").alias("b")), "high")
+            .where("a != b").select(F.col("a").alias("low"), F.col("b").alias("high")).distinct(),
+            "edges",
         )
-        settled = new.where(F.col("label") != F.col("old")).isEmpty()
-        labels = new.drop("old")
-        if settled:
-            return labels
+    return labels
 
 
 def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", row: str | None = None, threshold: float = THRESHOLD, **signature) -> DataFrame:
