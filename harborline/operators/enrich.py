@@ -21,7 +21,7 @@ from harborline.config import Config
 from harborline.functions.num import fixed_text, money_text
 from harborline.operators import prompts as p
 from harborline.operators.nps import with_comments
-from harborline.operators.notes import INTELLIGENCE, note_intelligence, text_intelligence
+from harborline.operators.notes import INTELLIGENCE, note_intelligence
 
 Client = Callable[[str], str]
 ATTEMPTS = 3
@@ -74,9 +74,12 @@ def ask(client: Client | None, prompt: str, as_json: bool, sleep=time.sleep) ->
 
 
 def with_replies(
-    df: DataFrame, prompt: Column, factory: Callable[[], Client | None], as_json: bool = True
+    df: DataFrame, prompt: Column, factory: Callable[[], Client | None] | None, as_json: bool = True
 ) -> DataFrame:
-    """Adds ``reply`` (NULL where no valid answer came). Rows keep their partition."""
+    """Adds ``reply`` (NULL where no valid answer came). Rows keep their partition. Without a
+    factory there is no Python stage."""
+    if factory is None:
+        return df.withColumn("reply", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
@@ -111,7 +114,7 @@ def account_texts(notes: DataFrame, cfg: Config = Config()) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("ord", "raw_text")))
     return pieces.groupBy("account_id", "part").agg(
         F.array_join(F.transform(ordered, lambda n: n["raw_text"]), "\n\n").alias("note_text"),
-        F.count(F.lit(1)).alias("note_count"),
+        F.count(F.lit(1)).alias("note_count"), F.min("ord").alias("first_ord"),
     )
 
 
@@ -119,7 +122,13 @@ def model_note_intelligence(
     notes: DataFrame, accounts: DataFrame, factory, cfg: Config = Config()
 ) -> DataFrame:
     """One row per account in the shape of ``note_intelligence``, from a text model
-    where it answers and from keywords where it does not."""
+    where it answers and from keywords where it does not.
+
+    An account in several parts is the model's only if every part was answered; otherwise, and
+    without a factory, it is ``note_intelligence`` over all its notes, whatever the parts' size."""
+    keyword = note_intelligence(notes).join(accounts.select("account_id").distinct(), "account_id", "left_semi")
+    if factory is None:
+        return keyword
     texts = account_texts(notes, cfg).join(
         accounts.select("account_id", "account_name", "plan_tier", "arr", "contract_end_date"),
         "account_id",
@@ -129,10 +138,9 @@ def model_note_intelligence(
         plan_tier=F.col("plan_tier"), arr=money_text(F.col("arr")),
         contract_end=F.col("contract_end_date"), note_text=F.col("note_text"),
     )
-    keys = ["account_id", "part", "note_count"]
-    asked = with_replies(texts.select(*keys, "note_text", prompt.alias("_text")), F.col("_text"), factory)
+    keys = ["account_id", "part", "note_count", "first_ord"]
+    asked = with_replies(texts.select(*keys, prompt.alias("_text")), F.col("_text"), factory)
     answered = asked.withColumn("m", _parsed(INTELLIGENCE_SCHEMA))
-    own = text_intelligence(answered, "note_text", [*keys, "m"])
     empty = F.array().cast("array<string>")
     defaults = {
         "sentiment": F.lit("neutral"), "competitors": empty, "risk_factors": empty,
@@ -140,27 +148,24 @@ def model_note_intelligence(
         "renewal_signal": F.lit("neutral"), "champion_status": F.lit("unknown"),
         "missed_qbrs": F.lit(0).cast("bigint"), "action_items": empty, "key_quote": F.lit(""),
     }
-    per_part = own.select(*keys, *[
-        F.when(F.col("m").isNull(), F.col(n)).otherwise(F.coalesce(F.col(f"m.{n}"), defaults[n])).alias(n)
-        for n in INTELLIGENCE
+    per_part = answered.select(*keys, F.col("m").isNull().alias("failed"), *[
+        F.coalesce(F.col(f"m.{n}"), defaults[n]).alias(n) for n in INTELLIGENCE
     ])
-    return _merge_parts(per_part, notes)
+    merged = _merge_parts(per_part)
+    failed = merged.where("failed").select("account_id")
+    keyword = keyword.join(failed, "account_id", "left_semi")
+    return merged.where(~F.col("failed")).select(*keyword.columns).unionByName(keyword)
 
 
-def _merge_parts(per_part: DataFrame, notes: DataFrame) -> DataFrame:
-    """Parts to accounts. Flags, counts and statuses merge; lists of an account in
-    one part are kept as they are. For an account in several parts the competitor
-    names are made distinct first, and the free-text lists come from the fixed
-    keyword categories over all its notes, which stay small."""
+def _merge_parts(per_part: DataFrame) -> DataFrame:
+    """Parts to accounts by rules that leave a single part as it is, but for repeated list
+    entries: lists unite in the order of the notes, counts add up, the first quote stays."""
     def any_status(column: str, value: str) -> Column:
         return F.bool_or(F.col(column) == value)
 
-    rivals = (
-        per_part.select("account_id", F.explode("competitors").alias("name")).distinct()
-        .groupBy("account_id").agg(F.array_sort(F.collect_list("name")).alias("all_competitors"))
-    )
+    lists = ("competitors", "risk_factors", "action_items")
     merged = per_part.groupBy("account_id").agg(
-        F.count(F.lit(1)).alias("parts"), F.sum("note_count").alias("note_count"),
+        F.sum("note_count").alias("note_count"), F.bool_or("failed").alias("failed"),
         F.bool_or("executive_involved").alias("executive_involved"),
         F.bool_or("budget_concern").alias("budget_concern"),
         F.sum("missed_qbrs").alias("missed_qbrs"),
@@ -168,27 +173,16 @@ def _merge_parts(per_part: DataFrame, notes: DataFrame) -> DataFrame:
         .when(any_status("champion_status", "at_risk"), "at_risk")
         .when(any_status("champion_status", "active"), "active").otherwise("unknown")
         .alias("champion_status"),
-        *[
-            F.when(any_status(c, "mixed") | (any_status(c, "negative") & any_status(c, "positive")), "mixed")
-            .when(any_status(c, "negative"), "negative").when(any_status(c, "positive"), "positive")
-            .otherwise("neutral").alias(c)
-            for c in ("sentiment", "renewal_signal")
-        ],
-        F.first(F.struct("competitors", "risk_factors", "action_items", "key_quote")).alias("one"),
-    )
-    keyword = note_intelligence(notes).select("account_id", F.col("risk_factors").alias("keyword_factors"))
-    single = F.col("parts") == 1
-    empty = F.array().cast("array<string>")
-    joined = merged.join(rivals, "account_id", "left").join(keyword, "account_id", "left")
-    return joined.select(
-        "account_id", "sentiment",
-        F.when(single, F.col("one.competitors")).otherwise(F.coalesce("all_competitors", empty)).alias("competitors"),
-        F.when(single, F.col("one.risk_factors")).otherwise(F.coalesce("keyword_factors", empty)).alias("risk_factors"),
-        "executive_involved", "budget_concern", "renewal_signal", "champion_status", "missed_qbrs",
-        F.when(single, F.col("one.action_items")).otherwise(empty).alias("action_items"),
-        F.when(single, F.col("one.key_quote")).otherwise(F.lit("")).alias("key_quote"),
-        "note_count",
+        F.when(any_status("sentiment", "mixed") | (any_status("sentiment", "negative") & any_status("sentiment", "positive")), "mixed")
+        .when(any_status("sentiment", "negative"), "negative").when(any_status("sentiment", "positive"), "positive")
+        .otherwise("neutral").alias("sentiment"),
+        F.when(any_status("renewal_signal", "negative"), "negative").when(any_status("renewal_signal", "mixed"), "mixed")
+        .when(any_status("renewal_signal", "positive"), "positive").otherwise("neutral").alias("renewal_signal"),
+        F.array_sort(F.collect_list(F.struct("first_ord", *lists, "key_quote"))).alias("_parts"),
     )
+    return merged.withColumns({
+        name: F.array_distinct(F.flatten(F.col("_parts").getField(name))) for name in lists
+    }).withColumn("key_quote", F.col("_parts")[0]["key_quote"]).drop("_parts")
 
 
 def notes_overview(notes: DataFrame, factory, cfg: Config = Config()) -> DataFrame:

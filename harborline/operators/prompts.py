@@ -116,23 +116,23 @@ EXPLANATION_TEXT = """## Risk Assessment for {account_name}
 {product_risk_summary}
 
 ---
-*Note: Set GEMINI_API_KEY for AI-generated strategic analysis and recommendations.*"""
+*Note: Configure a text model for strategic analysis and recommendations.*"""
 
 PORTFOLIO_TEXT = """## Portfolio Summary
 
 - **{total_accounts}** accounts in the renewal window
 - **{high_risk_count} High Risk** accounts with **{high_risk_arr}** ARR at risk
-- **{medium_risk_count} Medium Risk** accounts with **{medium_risk_arr}** ARR at risk{two_blanks}
+- **{medium_risk_count} Medium Risk** accounts with **{medium_risk_arr}** ARR at risk  
 - **{low_risk_count} Low Risk** accounts on track for renewal
 
-*Set GEMINI_API_KEY for AI-generated strategic portfolio insights.*"""
+*Configure a text model for strategic portfolio insights.*"""
 
 # The silent-churn answer when no model answers.
 SILENT_CHURN_FALLBACK = {
     "is_silent_churn": False, "confidence": 0.0, "pattern_type": "analysis_unavailable",
-    "evidence": ["Gemini API not configured — manual review recommended"],
+    "evidence": ["Text model not configured — manual review recommended"],
     "counter_evidence": [],
-    "recommended_investigation": "Set GEMINI_API_KEY for automated silent churn detection",
+    "recommended_investigation": "Configure a text model for automated silent churn detection",
 }
 
 
@@ -156,5 +156,4 @@ def portfolio_values() -> dict[str, Column]:
     return {name: F.col(name) for name in counts} | {
         "high_risk_arr": money_text(F.col("high_risk_arr")),
         "medium_risk_arr": money_text(F.col("medium_risk_arr")),
-        "two_blanks": F.lit("  "),
     }

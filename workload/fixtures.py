@@ -72,10 +72,12 @@ SELECT CAST(o_orderkey AS VARCHAR(20)) AS ticket_id, o_custkey AS account_id,
 FROM orders""",
     "fx_nps": """
 SELECT CAST(floor(doc_id / 2) AS BIGINT) AS account_id, CAST((doc_id * 7) % 12 AS INT) AS score,
-       CASE doc_id % 7 WHEN 0 THEN 'Great team. ' || text WHEN 1 THEN 'Too expensive: ' || text
-            WHEN 2 THEN ' ' WHEN 3 THEN 'watching competitors closely'
-            WHEN 4 THEN ' ' || text || ' ' WHEN 5 THEN 'Best product, easily' END AS verbatim_comment,
+       CASE doc_id % 7 WHEN 0 THEN 'Great team. ' WHEN 1 THEN 'Too expensive: ' WHEN 3 THEN 'watching competitors closely '
+            WHEN 4 THEN ' ' WHEN 5 THEN 'Best product, easily ' ELSE '' END || text AS verbatim_comment,
        doc_id AS ord
+FROM documents
+UNION ALL
+SELECT CAST(floor(doc_id / 2) AS BIGINT), CAST((doc_id * 7) % 12 AS INT), CASE doc_id % 2 WHEN 0 THEN ' ' END, -1 - doc_id
 FROM documents""",
     "fx_notes": """
 SELECT doc_id AS ord, doc_id AS true_account_id,

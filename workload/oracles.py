@@ -378,7 +378,7 @@ SELECT account_id, '## Risk Assessment for ' || account_name || chr(10) || chr(1
   || '### CSM Intelligence' || chr(10) || csm_intelligence || chr(10) || chr(10)
   || '### Product Risk Impact' || chr(10) || product_risk_summary || chr(10) || chr(10)
   || '---' || chr(10)
-  || '*Note: Set GEMINI_API_KEY for AI-generated strategic analysis and recommendations.*' AS explanation
+  || '*Note: Configure a text model for strategic analysis and recommendations.*' AS explanation
 FROM sm"""
 _PORTFOLIO = f"""
 SELECT '## Portfolio Summary' || chr(10) || chr(10)
@@ -386,7 +386,7 @@ SELECT '## Portfolio Summary' || chr(10) || chr(10)
   || '- **' || high_risk_count || ' High Risk** accounts with **' || {_money('high_risk_arr')} || '** ARR at risk' || chr(10)
   || '- **' || medium_risk_count || ' Medium Risk** accounts with **' || {_money('medium_risk_arr')} || '** ARR at risk  ' || chr(10)
   || '- **' || low_risk_count || ' Low Risk** accounts on track for renewal' || chr(10) || chr(10)
-  || '*Set GEMINI_API_KEY for AI-generated strategic portfolio insights.*' AS narrative
+  || '*Configure a text model for strategic portfolio insights.*' AS narrative
 FROM ({_SUMMARY}) p"""
 
 _RAW = {
@@ -456,7 +456,7 @@ LEFT JOIN (SELECT true_account_id AS account_id, count(*) AS m FROM fx_notes GRO
     "enrich_notes_fallback": "SELECT account_id, sentiment, competitors, array_to_string(factors, '; ') AS risk_factors, exec_f AS executive_involved, budget_f AS budget_concern, renewal_signal, champion_status, missed_qbrs, note_count FROM ni WHERE account_id IN (SELECT account_id FROM acc)",
     "translate_comments": "SELECT account_id, ord, verbatim_comment AS translation, 'unknown' AS original_language, 'unknown' AS sentiment FROM np WHERE is_non_english",
     "notes_overview": "SELECT count(*) AS notes FROM fx_notes",
-    "silent_churn": "SELECT account_id, false AS is_silent_churn, 0.0::DOUBLE AS confidence, 'analysis_unavailable' AS pattern_type, 'Gemini API not configured — manual review recommended' AS evidence, 'Set GEMINI_API_KEY for automated silent churn detection' AS recommended_investigation FROM acc",
+    "silent_churn": "SELECT account_id, false AS is_silent_churn, 0.0::DOUBLE AS confidence, 'analysis_unavailable' AS pattern_type, 'Text model not configured — manual review recommended' AS evidence, 'Configure a text model for automated silent churn detection' AS recommended_investigation FROM acc",
     "explanation_fallback": _EXPLAIN,
     "portfolio_fallback": _PORTFOLIO,
 }

@@ -186,10 +186,6 @@ def stub_client():
     return client
 
 
-def no_client():
-    return None
-
-
 def enrich_notes(i: Inputs) -> DataFrame:
     facts = enrich.model_note_intelligence(i.known_notes, i.accounts, stub_client, i.cfg)
     return facts.select(
@@ -199,7 +195,7 @@ def enrich_notes(i: Inputs) -> DataFrame:
 
 
 def enrich_notes_fallback(i: Inputs) -> DataFrame:
-    facts = enrich.model_note_intelligence(i.known_notes, i.accounts, no_client, i.cfg)
+    facts = enrich.model_note_intelligence(i.known_notes, i.accounts, None, i.cfg)
     return facts.select(
         "account_id", "sentiment", _joined("competitors"), _joined("risk_factors", "; "),
         "executive_involved", "budget_concern", "renewal_signal", "champion_status",
@@ -208,7 +204,7 @@ def enrich_notes_fallback(i: Inputs) -> DataFrame:
 
 
 def translate_comments(i: Inputs) -> DataFrame:
-    return enrich.translated_comments(i.nps, no_client).select(
+    return enrich.translated_comments(i.nps, None).select(
         "account_id", "ord", "translation", "original_language", "sentiment"
     )
 
@@ -219,11 +215,11 @@ def notes_overview(i: Inputs) -> DataFrame:
 
 
 def explanation_fallback(i: Inputs) -> DataFrame:
-    return enrich.explanations(details.with_summaries(i.scored), no_client)
+    return enrich.explanations(details.with_summaries(i.scored), None)
 
 
 def silent_churn(i: Inputs) -> DataFrame:
-    return enrich.silent_churn(details.with_summaries(i.scored), i.nps, no_client).select(
+    return enrich.silent_churn(details.with_summaries(i.scored), i.nps, None).select(
         "account_id", "is_silent_churn", "confidence", "pattern_type", _joined("evidence"),
         "recommended_investigation",
     )
@@ -232,7 +228,7 @@ def silent_churn(i: Inputs) -> DataFrame:
 def portfolio_fallback(i: Inputs) -> DataFrame:
     seen = _in_view(i)
     return enrich.portfolio_narrative(
-        reports.portfolio_summary(seen), reports.top_high_risk(seen), no_client
+        reports.portfolio_summary(seen), reports.top_high_risk(seen), None
     )
 
 
