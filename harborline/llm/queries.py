@@ -79,12 +79,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda xs: F.array_join(
         F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
     )
+    of_kind = lambda kind: lambda s: s["kind"] == kind
     base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
     return found.select(
         F.col("path").alias("doc_id"),
         *(
-            F.size(F.filter(spans, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-            for k in secrets.BASE
+            F.size(F.filter(spans, of_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE
         ),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"),
     )

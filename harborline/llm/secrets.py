@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from harborline.llm.tables import text_of, written
+from harborline.llm.tables import small_table, text_of, written
 
 
 class Rule(NamedTuple):
@@ -61,7 +61,7 @@ LEDGER = T.StructType([
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], LEDGER)
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER))
 
 
 def blobs(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,7 +104,7 @@ def spans_of(rule: Rule, text: str = "text") -> Column:
 def scan(versions: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     """The ledger rows of all blob and rule-version pairs that the ledger lacks."""
     spark = versions.sparkSession
-    wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    wanted = small_table(spark, [(r.kind, r.version) for r in rules], "kind string, version int")
     done = (
         ledger.join(F.broadcast(wanted), ["kind", "version"], "left_semi")
         .groupBy("blob").agg(F.collect_set("kind").alias("done"))
@@ -131,7 +131,7 @@ def findings(paths: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
 
     The spans are gathered by blob first, so a blob with many paths is one row of the join."""
     order = F.array_position(F.array(*(F.lit(r.kind) for r in rules)), F.col("kind"))
-    current = paths.sparkSession.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    current = small_table(paths.sparkSession, [(r.kind, r.version) for r in rules], "kind string, version int")
     hits = (
         ledger.join(F.broadcast(current), ["kind", "version"], "left_semi")
         .where(F.size("spans") > 0)

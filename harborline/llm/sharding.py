@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harborline.llm.tables import written
+from harborline.llm.tables import small_table, written
 
 RANGES = 512
 SAMPLE = 64 * RANGES
@@ -102,7 +102,7 @@ def shards(df: DataFrame, n: int = 40, id_column: str = "doc_id", text: str = "t
         offsets.append((r.range, at))
         at += r.bytes
     spark = df.sparkSession
-    starts = spark.createDataFrame(offsets, "range long, offset long")
+    starts = small_table(spark, offsets, "range long, offset long")
     in_order = Window.partitionBy("range").orderBy("key", "row")
     placed = dealt.join(F.broadcast(starts), "range").withColumn(
         "before", F.col("offset") + F.sum("size").over(in_order) - F.col("size")

@@ -37,6 +37,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few literal rows, without a Python task."""
+    types = T.StructType.fromDDL(schema)
+    if not rows:
+        return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in types))
+    columns = [F.array(*map(F.lit, values)).cast(T.ArrayType(f.dataType)).alias(f.name) for f, values in zip(types, zip(*rows))]
+    return spark.range(1).select(F.explode(F.arrays_zip(*columns)).alias("row")).select("row.*")
+
+
 def text_of(column: str = "text") -> Column:
     """The text as string, null as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

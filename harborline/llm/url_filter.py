@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm.tables import ascii_lower
+from harborline.llm.tables import ascii_lower, small_table
 
 RULES = (
     ("block", "net", "/"),
@@ -31,7 +31,7 @@ RULES = (
 
 
 def rules_table(spark: SparkSession, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([tuple(r) for r in rules], "verdict string, host string, path string")
+    return small_table(spark, [tuple(r) for r in rules], "verdict string, host string, path string")
 
 
 def with_host_and_path(df: DataFrame, url: str = "url") -> DataFrame:

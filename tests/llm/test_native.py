@@ -158,6 +158,19 @@ def test_secrets_by_brute_force(spark):
     assert ledger.count() == len({t for _, t in texts(both)}) * len(secrets.RULES)
 
 
+def test_secrets_query(spark):
+    want = []
+    for i, t in texts(documents(spark, SF)):
+        spans = [(k, a, b) for a, _, k, b in secret_spans(t)]
+        base = [x for x in spans if x[0] in secrets.BASE]
+        listed = lambda xs: ",".join(f"{k}:{a}:{b}" for k, a, b in xs)
+        counts = [sum(k == kind for k, _, _ in base) for kind in secrets.BASE]
+        want.append((i, *counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
+    rows = QUERIES["op10_secrets"](spark, SF)
+    assert rows.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+
+
 def test_secret_ledger_scans_only_unseen_pairs(spark):
     docs = documents(spark, SF).select("doc_id", "text")
     ledger, first = secrets.scan_all(docs, secrets.empty_ledger(spark))
