@@ -13,8 +13,8 @@ than reading it; a text with an empty coordinate raises its limit until all are
 2. Texts meet in an equality join on the band's key. Within a bucket the texts are compared to
    pivots: the smallest text that no earlier pivot is connected with meets all texts of other
    components in the bucket, earlier pivots' ones too, so links across pivots are found. One
-   pivot settles a bucket of copies; for what it leaves open, the number of pivots grows fourfold
-   each round. Rounds end when every text of a bucket is connected with one of its pivots,
+   pivot settles a bucket of copies; for what it leaves open, there are four times as many pivots
+   each round, up to a fixed number. Rounds end when every text of a bucket is connected with one of its pivots,
    however large it is. Nothing is capped.
 3. Each pair is verified once on its exact sets; links are those of at least ``THRESHOLD``.
 4. Connected components of the links are the classes. Each round contracts them: texts move to
@@ -46,6 +46,8 @@ THRESHOLD = 0.8
 WORDS = 5
 BANDS = 40
 ROWS = 7
+#: Pivots of a bucket in one round, at most.
+PIVOTS = 64
 #: Element by rank cells that are drawn at once.
 CHUNK = 400_000
 #: Cells below rank 1: [0, 2^-LOW), then doubling.
@@ -213,10 +215,18 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
             .agg(F.min(F.struct("text", "label")).alias("pivot")).select("key", "pivot"),
             "pivots",
         )
-        parts *= 4
-        met = buckets.join(pivots, "key").where(F.col("label") != F.col("pivot.label"))
-        own = F.struct("text", "label")
-        pairs = met.select(F.least(own, "pivot").alias("a"), F.greatest(own, "pivot").alias("b")).distinct().select(
+        parts = min(4 * parts, PIVOTS)
+        # A bucket's few pivots travel as one list, and a text unites the lists of its buckets before
+        # pairs are formed: texts that share many buckets with a pivot form the pair once.
+        of_bucket = pivots.groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
+        met = (
+            buckets.join(of_bucket, "key")
+            .select("text", "label", F.filter("pivots", lambda p: p["label"] != F.col("label")).alias("pivots"))
+            .where(F.size("pivots") > 0).groupBy("text", "label")
+            .agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
+            .select(F.struct("text", "label").alias("own"), F.explode("pivots").alias("pivot"))
+        )
+        pairs = met.select(F.least("own", "pivot").alias("a"), F.greatest("own", "pivot").alias("b")).distinct().select(
             F.col("a.text").alias("low"), F.col("b.text").alias("high"), F.col("a.label").alias("a"), F.col("b.label").alias("b")
         )
         if verified is not None:
