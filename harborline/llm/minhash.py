@@ -15,7 +15,9 @@ than reading it; a text with an empty coordinate raises its limit until all are
    components in the bucket, earlier pivots' ones too, so links across pivots are found. One
    pivot settles a bucket of copies; for what it leaves open, there are four times as many pivots
    each round, up to a fixed number. Rounds end when every text of a bucket is connected with one of its pivots,
-   however large it is. Nothing is capped.
+   however large it is. Nothing is capped. From the second round on, texts and pivots carry sketches, the
+   counts of their elements by hash group: the sum of the smaller counts bounds the common elements
+   from above, so a pair whose bound is too low is no link and is left out before it becomes a row.
 3. Each pair is verified once on its exact sets; links are those of at least ``THRESHOLD``.
 4. Connected components of the links are the classes. Each round contracts them: texts move to
    their smallest neighbour until no edge is left, and only new edges between components go on.
@@ -48,6 +50,8 @@ BANDS = 40
 ROWS = 7
 #: Pivots of a bucket in one round, at most.
 PIVOTS = 64
+#: Groups of a sketch, at most, while a group has few elements.
+MOST_GROUPS = 1024
 #: Element by rank cells that are drawn at once.
 CHUNK = 400_000
 #: Cells below rank 1: [0, 2^-LOW), then doubling.
@@ -171,21 +175,70 @@ def weighted_shingles(words: np.ndarray, length: int, counted: bool) -> tuple[np
     return tuple(np.unique(value, return_counts=True))
 
 
+def sketch(elements: np.ndarray) -> bytes:
+    """Counts of 32-bit hashes by their remainder to a power of two, about four a group for usual
+    texts. Empty, which bounds nothing, if a count does not fit a byte."""
+    groups = 1 << max(4, (max(min(len(elements) // 4, MOST_GROUPS), len(elements) // 64) - 1).bit_length())
+    counts = np.bincount(elements & np.uint32(groups - 1), minlength=groups)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def may_link(own: bytes, others: list[bytes], threshold: float) -> np.ndarray:
+    """Which of the others can have a similarity of the threshold or more, by the sketches' bound."""
+    possible = np.ones(len(others), bool)
+    if not own:
+        return possible
+    of_size = {}
+    for i, other in enumerate(others):
+        if other:
+            of_size.setdefault(len(other), []).append(i)
+    mine = np.frombuffer(own, np.uint8).astype(np.int32)
+    for size, index in of_size.items():
+        groups = min(size, len(mine))
+        theirs = np.frombuffer(b"".join([others[i] for i in index]), np.uint8).astype(np.int32)
+        theirs = theirs.reshape(len(index), -1, groups).sum(axis=1)
+        same = mine.reshape(-1, groups).sum(axis=0)
+        common = np.minimum(theirs, same).sum(axis=1)
+        possible[index] = common >= threshold * (same.sum() + theirs.sum(axis=1) - common)
+    return possible
+
+
+def _possible(met: DataFrame, threshold: float) -> DataFrame:
+    """Rows (text, label, sketch, pivots) with the pivots that may be linked, without sketches."""
+
+    def work(batches):
+        for batch in batches:
+            pivots = batch.column("pivots")
+            at, inner = pivots.offsets.to_numpy(), pivots.values
+            own, sketches = batch.column("sketch").to_pylist(), inner.field("sketch").to_pylist()
+            kept = [may_link(own[i], sketches[at[i] : at[i + 1]], threshold) for i in range(batch.num_rows)]
+            ends = np.concatenate([[0], np.cumsum([k.sum() for k in kept])]).astype(np.int32)
+            chosen = pa.array(np.flatnonzero(np.concatenate(kept)) + at[0])
+            few = pa.StructArray.from_arrays([inner.field(c).take(chosen) for c in ("text", "label")], names=["text", "label"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("text"), batch.column("label"), pa.ListArray.from_arrays(pa.array(ends), few)], names=["text", "label", "pivots"]
+            )
+
+    return met.mapInArrow(work, "text long, label long, pivots array<struct<text: long, label: long>>").where(F.size("pivots") > 0)
+
+
 def signed(df: DataFrame, text: str = "text", bands: int = BANDS, rows: int = ROWS, words: int = WORDS, counted: bool = False) -> DataFrame:
-    """Adds digest (of the words), bands (keys) and elements (32-bit hashes, sorted)."""
+    """Adds digest (of the words), bands (keys), elements (32-bit hashes, sorted) and their sketch."""
 
     def made(batch: pa.RecordBatch) -> list[pa.Array]:
         maker = Signatures(bands * rows)
         found = [word_hashes(t or "") for t in batch.column(text).to_pylist()]
         sets = [weighted_shingles(w, words, counted) for w in found]
         keys = band_keys(maker.of(sets), bands, rows).view(np.int64)
+        short = [np.unique((e >> np.uint64(32)).astype(np.uint32)) for e, _ in sets]
         return [
             pa.array([hashlib.blake2b(w.tobytes(), digest_size=16).hexdigest() for w in found]),
             pa.array([k if len(e) else [] for k, (e, _) in zip(keys, sets)], pa.list_(pa.int64())),
-            pa.array([np.unique((e >> np.uint64(32)).astype(np.uint32)).view(np.int32) for e, _ in sets], pa.list_(pa.int32())),
+            pa.array([x.view(np.int32) for x in short], pa.list_(pa.int32())),
+            pa.array([sketch(x) for x in short], pa.binary()),
         ]
 
-    return add_columns(df, made, "digest string, bands array<long>, elements array<int>", text)
+    return add_columns(df, made, "digest string, bands array<long>, elements array<int>, sketch binary", text)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -199,30 +252,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """text, label of every text (text, bands, elements) that shares a key with another; linked
-    texts share a label."""
+    """text, label of every text (text, bands, elements, sketch) that shares a key with another;
+    linked texts share a label."""
     keyed = texts.select("text", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     buckets = written(
         keyed.join(shared, "key", "left_semi").select("key", "text", F.col("text").alias("label"), F.lit(True).alias("open")), "buckets"
     )
-    sets = written(texts.select("text", "elements").join(buckets.select("text").distinct(), "text", "left_semi"), "sets")
+    sets = written(texts.select("text", "elements", "sketch").join(buckets.select("text").distinct(), "text", "left_semi"), "sets")
     labels = written(sets.select("text", F.col("text").alias("label")), "members")
-    verified, parts = None, 1
+    verified, parts, carried = None, 1, []
     while True:
         pivots = written(
             buckets.where("open").groupBy("key", F.pmod(F.xxhash64("text"), F.lit(parts)).alias("part"))
-            .agg(F.min(F.struct("text", "label")).alias("pivot")).select("key", "pivot"),
+            .agg(F.min(F.struct("text", "label", *carried)).alias("pivot")).select("key", "pivot"),
             "pivots",
         )
         parts = min(4 * parts, PIVOTS)
         # A bucket's few pivots travel as one list, and a text unites the lists of its buckets before
         # pairs are formed: texts that share many buckets with a pivot form the pair once.
         of_bucket = pivots.groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
-        met = (
+        mates = (
             buckets.join(of_bucket, "key")
-            .select("text", "label", F.filter("pivots", lambda p: p["label"] != F.col("label")).alias("pivots"))
-            .where(F.size("pivots") > 0).groupBy("text", "label")
+            .select("text", "label", *carried, F.filter("pivots", lambda p: p["label"] != F.col("label")).alias("pivots"))
+            .where(F.size("pivots") > 0)
+        )
+        met = (
+            (_possible(mates, threshold) if carried else mates).groupBy("text", "label")
             .agg(F.array_distinct(F.flatten(F.collect_set("pivots"))).alias("pivots"))
             .select(F.struct("text", "label").alias("own"), F.explode("pivots").alias("pivot"))
         )
@@ -243,10 +299,13 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
             pivots.select("key", F.col("pivot.label").alias("label")).join(moved, "label", "left")
             .select("key", now, F.lit(True).alias("done")).distinct()
         )
-        buckets = buckets.join(moved, "label", "left").select("key", "text", now, "open")
+        buckets = buckets.join(moved, "label", "left").select("key", "text", now, "open", *carried)
         state = buckets.join(of_pivot, ["key", "label"], "left").withColumn("open", F.col("open") & F.col("done").isNull())
         busy = state.where("open").select("key").distinct()
-        buckets = written(state.drop("done").join(busy, "key", "left_semi"), "buckets")
+        left = state.drop("done").join(busy, "key", "left_semi")
+        if not carried:
+            left, carried = left.join(sets.select("text", "sketch"), "text"), ["sketch"]
+        buckets = written(left.select("key", "text", "label", "open", *carried), "buckets")
         if buckets.isEmpty():
             return labels
 
@@ -280,7 +339,7 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", row: s
     table = written(signed(own, "text", **signature).drop("text"), "signatures")
     first = table.groupBy("digest").agg(F.min("row").alias("text"))
     texts = (
-        table.where(F.size("bands") > 0).select("row", "bands", "elements")
+        table.where(F.size("bands") > 0).select("row", "bands", "elements", "sketch")
         .join(first.select(F.col("text").alias("row")), "row", "left_semi").withColumnRenamed("row", "text")
     )
     labels = components_of_texts(texts, threshold)

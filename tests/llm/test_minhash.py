@@ -103,3 +103,39 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60) if i != 30], "low long, high long")
     labels = dict(map(tuple, minhash.components(edges).collect()))
     assert set(labels.values()) == {0, 31} and len(labels) == 61
+
+
+def test_sketches_bound_similarity():
+    """No pair of the threshold is ruled out, at any size; most unlike pairs of small sets are."""
+    rng = np.random.default_rng(5)
+    spared = 0
+    for n in (1, 5, 70, 300, 9000):
+        for share in (0.5, 0.7, 0.8, 0.9, 1.0):
+            common = rng.integers(0, 2**32, n, dtype=np.uint32)
+            sets = [np.unique(np.concatenate([common[: int(n * share)], rng.integers(0, 2**32, n - int(n * share), dtype=np.uint32)])) for _ in range(20)]
+            sets += [common, np.unique(common)[: n // 2 + 1]]
+            sketches = [minhash.sketch(np.unique(s)) for s in sets]
+            for a, own in zip(sets, sketches):
+                possible = minhash.may_link(own, sketches, 0.8)
+                for b, may in zip(sets, possible):
+                    shared = len(np.intersect1d(a, b))
+                    alike = shared >= 0.8 * (len(np.unique(a)) + len(np.unique(b)) - shared)
+                    assert may or not alike
+                    spared += not may
+    assert spared > 3000
+    crowded = np.full(300, 16, np.uint32)
+    assert minhash.sketch(crowded) == b"" and minhash.may_link(b"", [b"", minhash.sketch(common)], 0.8).all()
+
+
+def test_copies_edited_to_every_degree(spark):
+    """Variants from close to far of one text share buckets for several rounds."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(1, 14)):
+            words[at] = f"x{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    found = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.id, r.class_id, r.class_size) for r in found) == brute_classes(rows)
