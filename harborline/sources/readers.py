@@ -26,10 +26,11 @@ MISSING = (
 
 def read_csv(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """All columns as text, missing markers as NULL, plus the input position
-    ``ord``. Set ``multi_line`` only for files with line breaks inside quotes:
-    such files cannot be split."""
+    ``ord``. All files need the columns in the order of the first one; another header
+    raises when it is read. Set ``multi_line`` only for files with line breaks inside
+    quotes: such files cannot be split."""
     raw = (
-        spark.read.option("header", True).option("escape", '"')
+        spark.read.option("header", True).option("escape", '"').option("enforceSchema", False)
         .option("multiLine", multi_line).csv(path)
     )
     columns = raw.columns

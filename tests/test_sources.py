@@ -80,3 +80,14 @@ def test_sinks(spark, tmp_path):
     assert back.where(F.col("risk_tier") == "High").count() == 2
     write_by_account(df, str(tmp_path / "rows"), ["ord"])
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 3
+
+
+def test_files_of_another_column_order_raise(spark, tmp_path):
+    """Spark matches columns by position; a header in another order must not pass unseen."""
+    (tmp_path / "a.csv").write_text("account_id,month,value\n1,2024-01,5\n")
+    (tmp_path / "b.csv").write_text("account_id,month,value\n2,2024-02,6\n")
+    same = read_csv(spark, str(tmp_path))
+    assert same.count() == 2 and {r["value"] for r in same.select("value").collect()} == {"5", "6"}
+    (tmp_path / "c.csv").write_text("month,account_id,value\n2024-03,3,7\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(tmp_path)).collect()
