@@ -13,8 +13,8 @@ than reading it; a text with an empty coordinate raises its limit until all are
 2. Texts meet in an equality join on the band's key. Within a bucket the texts are compared to
    pivots: the smallest text that no earlier pivot is connected with meets all texts of other
    components in the bucket, earlier pivots' ones too, so links across pivots are found. One
-   pivot settles a bucket of copies; for what it leaves open, there are four times as many pivots
-   each round, up to a fixed number. Rounds end when every text of a bucket is connected with one of its pivots,
+   pivot settles a bucket of copies; for what it leaves open, each further round takes the smallest text
+   of up to ``PIVOTS`` open components. Rounds end when every text of a bucket is connected with one of its pivots,
    however large it is. Nothing is capped. From the second round on, texts and pivots carry sketches, the
    counts of their elements by hash group: the sum of the smaller counts bounds the common elements
    from above, so a pair whose bound is too low is no link and is left out before it becomes a row.
@@ -38,7 +38,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.tables import add_columns, text_of, written
@@ -48,7 +48,7 @@ THRESHOLD = 0.8
 WORDS = 5
 BANDS = 40
 ROWS = 7
-#: Pivots of a bucket in one round, at most.
+#: Pivots of a bucket in one round after the first, at most.
 PIVOTS = 64
 #: Groups of a sketch, at most, while a group has few elements.
 MOST_GROUPS = 1024
@@ -210,8 +210,8 @@ def _possible(met: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             pivots = batch.column("pivots")
             at, inner = pivots.offsets.to_numpy(), pivots.values
-            own, sketches = batch.column("sketch").to_pylist(), inner.field("sketch").to_pylist()
-            kept = [may_link(own[i], sketches[at[i] : at[i + 1]], threshold) for i in range(batch.num_rows)]
+            own, sketches = batch.column("sketch").to_pylist(), inner.field("sketch")
+            kept = [may_link(own[i], sketches[at[i] : at[i + 1]].to_pylist(), threshold) for i in range(batch.num_rows)]
             ends = np.concatenate([[0], np.cumsum([k.sum() for k in kept])]).astype(np.int32)
             chosen = pa.array(np.flatnonzero(np.concatenate(kept)) + at[0])
             few = pa.StructArray.from_arrays([inner.field(c).take(chosen) for c in ("text", "label")], names=["text", "label"])
@@ -251,6 +251,16 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select(*pairs.columns, (common >= threshold * (F.size("low_set") + F.size("high_set") - common)).alias("linked"))
 
 
+def _pivots(buckets: DataFrame, carried: list[str]) -> DataFrame:
+    """key, pivot: of each bucket the smallest open text, or, once sketches are carried, the smallest
+    texts of its first ``PIVOTS`` open components. Either is cut down before rows are shuffled by key."""
+    opened, text = buckets.where("open"), F.min(F.struct("text", "label", *carried)).alias("pivot")
+    if not carried:
+        return opened.groupBy("key").agg(text)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("pivot.text"))
+    return opened.groupBy("key", "label").agg(text).withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", "pivot")
+
+
 def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """text, label of every text (text, bands, elements, sketch) that shares a key with another;
     linked texts share a label."""
@@ -261,14 +271,9 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
     )
     sets = written(texts.select("text", "elements", "sketch").join(buckets.select("text").distinct(), "text", "left_semi"), "sets")
     labels = written(sets.select("text", F.col("text").alias("label")), "members")
-    verified, parts, carried = None, 1, []
+    verified, carried = None, []
     while True:
-        pivots = written(
-            buckets.where("open").groupBy("key", F.pmod(F.xxhash64("text"), F.lit(parts)).alias("part"))
-            .agg(F.min(F.struct("text", "label", *carried)).alias("pivot")).select("key", "pivot"),
-            "pivots",
-        )
-        parts = min(4 * parts, PIVOTS)
+        pivots = written(_pivots(buckets, carried), "pivots")
         # A bucket's few pivots travel as one list, and a text unites the lists of its buckets before
         # pairs are formed: texts that share many buckets with a pivot form the pair once.
         of_bucket = pivots.groupBy("key").agg(F.array_sort(F.collect_list("pivot")).alias("pivots"))
@@ -295,18 +300,19 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
         moved = joined.select(F.col("text").alias("label"), F.col("label").alias("now"))
         now = F.coalesce("now", "label").alias("label")
         labels = written(labels.join(moved, "label", "left").select("text", now), "members")
-        of_pivot = (
+        settled = (
             pivots.select("key", F.col("pivot.label").alias("label")).join(moved, "label", "left")
-            .select("key", now, F.lit(True).alias("done")).distinct()
+            .groupBy("key").agg(F.collect_set(now).alias("done"))
+        )
+        # Buckets without a pivot have had no open text, and leave here.
+        left = (
+            buckets.join(moved, "label", "left").select("key", "text", now, "open", *carried).join(settled, "key")
+            .withColumn("open", F.col("open") & ~F.array_contains("done", F.col("label"))).drop("done")
         )
-        buckets = buckets.join(moved, "label", "left").select("key", "text", now, "open", *carried)
-        state = buckets.join(of_pivot, ["key", "label"], "left").withColumn("open", F.col("open") & F.col("done").isNull())
-        busy = state.where("open").select("key").distinct()
-        left = state.drop("done").join(busy, "key", "left_semi")
         if not carried:
             left, carried = left.join(sets.select("text", "sketch"), "text"), ["sketch"]
         buckets = written(left.select("key", "text", "label", "open", *carried), "buckets")
-        if buckets.isEmpty():
+        if buckets.where("open").isEmpty():
             return labels
 
 
