@@ -15,7 +15,10 @@ than reading it; a text with an empty coordinate raises its limit until all are
    components in the bucket, earlier pivots' ones too, so links across pivots are found. One
    pivot settles a bucket of copies; for what it leaves open, each further round takes the smallest text
    of up to ``PIVOTS`` open components. Rounds end when every text of a bucket is connected with one of its pivots,
-   however large it is. Nothing is capped. From the second round on, texts and pivots carry sketches, the
+   however large it is. Then no pair of two texts is left but those where neither was a pivot of the bucket: where
+   two components have more than one text each in a bucket, all these are compared, blocks of texts against
+   blocks, each pair in the first bucket it shares. That is every pair the rounds left out, so it takes one
+   pass: components its links join have no further pair to compare. Nothing is capped. From the second round on, texts and pivots carry sketches, the
    counts of their elements by hash group: the sum of the smaller counts bounds the common elements
    from above, so a pair whose bound is too low is no link and is left out before it becomes a row.
 3. Each pair is verified once on its exact sets; links are those of at least ``THRESHOLD``.
@@ -38,7 +41,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harborline.llm.tables import add_columns, text_of, written
@@ -50,6 +53,8 @@ BANDS = 40
 ROWS = 7
 #: Pivots of a bucket in one round after the first, at most.
 PIVOTS = 64
+#: Elements of the texts of one block, about, when what the pivots left is compared.
+BLOCK_ELEMENTS = 1 << 17
 #: Groups of a sketch, at most, while a group has few elements.
 MOST_GROUPS = 1024
 #: Element by rank cells that are drawn at once.
@@ -261,6 +266,89 @@ def _pivots(buckets: DataFrame, carried: list[str]) -> DataFrame:
     return opened.groupBy("key", "label").agg(text).withColumn("place", place).where(F.col("place") <= PIVOTS).select("key", "pivot")
 
 
+def _moved(joined: DataFrame) -> tuple[DataFrame, Column]:
+    """Labels with what they are now, and the column that takes over the new ones."""
+    return joined.select(F.col("text").alias("label"), F.col("label").alias("now")), F.coalesce("now", "label").alias("label")
+
+
+def links_between(key: int, one: list[dict], other: list[dict], threshold: float) -> set[tuple[int, int]]:
+    """Linked labels, low and high, of two lists of texts (label, keys, elements) of the bucket
+    ``key``. A pair is compared in the bucket of the smallest key that it shares, so once in all."""
+    labels = np.array([x["label"] for x in other], np.int64)
+    earlier = {}
+    for i, x in enumerate(other):
+        for k in x["keys"]:
+            if k < key:
+                earlier.setdefault(k, []).append(i)
+    sets = [np.array(x["elements"], np.int32).view(np.uint32) for x in other]
+    sketches = [sketch(x) for x in sets]
+    found = set()
+    for x in one:
+        due = labels != x["label"]
+        for k in x["keys"]:
+            due[earlier.get(k, [])] = False
+        open_ = np.flatnonzero(due)
+        if not len(open_):
+            continue
+        own = np.array(x["elements"], np.int32).view(np.uint32)
+        for i in open_[may_link(sketch(own), [sketches[i] for i in open_], threshold)]:
+            pair = (min(x["label"], int(labels[i])), max(x["label"], int(labels[i])))
+            if pair not in found:
+                common = len(np.intersect1d(own, sets[i], assume_unique=True))
+                if common >= threshold * (len(own) + len(sets[i]) - common):
+                    found.add(pair)
+    return found
+
+
+def _links_without_pivot(buckets: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame | None:
+    """The linked labels (low, high) among the texts that no pivot has compared, or None without such texts.
+
+    Each component with a text in a bucket has a pivot there, and a pivot has met all texts of the
+    bucket, so a pair is left only between components with two texts or more in it."""
+    placed = buckets.join(labels, "text")
+    several = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    mixed_ones = several.groupBy("key").agg(F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    rest = written(placed.join(several.join(mixed_ones, "key", "left_semi"), ["key", "label"], "left_semi"), "rest")
+    if rest.isEmpty():
+        return None
+    # The sets of texts that share a bucket, not the whole table again.
+    used = written(sets.select("text", "elements").join(rest.groupBy("text").agg(F.collect_list("key").alias("keys")), "text"), "compared")
+    # A component that fills blocks has its own, which do not meet each other; small ones share blocks.
+    parts = (
+        rest.join(used.select("text", F.size("elements").alias("size")), "text").groupBy("key", "label").agg(F.sum("size").alias("size"))
+        .withColumn("own", F.col("size") >= BLOCK_ELEMENTS).withColumn("of", F.when(F.col("own"), F.col("label")).otherwise(F.lit(0)))
+    )
+    cut = written(parts.groupBy("key", "own", "of").agg(F.ceil(F.sum("size") / BLOCK_ELEMENTS).alias("blocks")), "cut")
+    ids = cut.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("part"), "own", "of").select(
+        "key", F.struct("own", "of", "part").alias("id")
+    )
+    a, b = F.col("a"), F.col("b")
+    alone = a["own"] & b["own"] & (a["of"] == b["of"])
+    units = ids.withColumnRenamed("id", "a").join(ids.withColumnRenamed("id", "b"), "key").where((a <= b) & ~alone)
+    block = F.struct("own", "of", F.pmod(F.xxhash64("text"), F.col("blocks")).alias("part")).alias("id")
+    blocks = written(
+        rest.join(parts.select("key", "label", "own", "of"), ["key", "label"]).join(cut, ["key", "own", "of"])
+        .select("key", "text", "label", block).join(used, "text")
+        .groupBy("key", "id").agg(F.collect_list(F.struct("label", "keys", "elements")).alias("texts")),
+        "blocks",
+    )
+    met = (
+        units.join(blocks.select("key", F.col("id").alias("a"), F.col("texts").alias("one")), ["key", "a"])
+        .join(blocks.select("key", F.col("id").alias("b"), F.col("texts").alias("other")), ["key", "b"]).select("key", "one", "other")
+    )
+
+    def work(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, one, other = (batch.column(c)[i].as_py() for c in ("key", "one", "other"))
+                links = sorted(links_between(key, one, other, threshold))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["low", "high"]
+                )
+
+    return written(met.mapInArrow(work, "low long, high long").distinct(), "links")
+
+
 def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """text, label of every text (text, bands, elements, sketch) that shares a key with another;
     linked texts share a label."""
@@ -271,7 +359,7 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
     )
     sets = written(texts.select("text", "elements", "sketch").join(buckets.select("text").distinct(), "text", "left_semi"), "sets")
     labels = written(sets.select("text", F.col("text").alias("label")), "members")
-    verified, carried = None, []
+    shared_buckets, verified, carried = buckets.select("key", "text"), None, []
     while True:
         pivots = written(_pivots(buckets, carried), "pivots")
         # A bucket's few pivots travel as one list, and a text unites the lists of its buckets before
@@ -297,8 +385,7 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
         verified = done if verified is None else verified.unionByName(done)
         # What was joined before is one node by now, so each round's graph is small.
         joined = components(checked.where("linked").select(F.col("a").alias("low"), F.col("b").alias("high")).distinct())
-        moved = joined.select(F.col("text").alias("label"), F.col("label").alias("now"))
-        now = F.coalesce("now", "label").alias("label")
+        moved, now = _moved(joined)
         labels = written(labels.join(moved, "label", "left").select("text", now), "members")
         settled = (
             pivots.select("key", F.col("pivot.label").alias("label")).join(moved, "label", "left")
@@ -313,7 +400,12 @@ def components_of_texts(texts: DataFrame, threshold: float = THRESHOLD) -> DataF
             left, carried = left.join(sets.select("text", "sketch"), "text"), ["sketch"]
         buckets = written(left.select("key", "text", "label", "open", *carried), "buckets")
         if buckets.where("open").isEmpty():
-            return labels
+            break
+    found = _links_without_pivot(shared_buckets, sets, labels, threshold)
+    if found is None:
+        return labels
+    moved, now = _moved(components(found))
+    return written(labels.join(moved, "label", "left").select("text", now), "members")
 
 
 def components(edges: DataFrame) -> DataFrame:

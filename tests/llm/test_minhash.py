@@ -139,3 +139,54 @@ def test_copies_edited_to_every_degree(spark):
         rows.append((i, " ".join(words)))
     found = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter((r.id, r.class_id, r.class_size) for r in found) == brute_classes(rows)
+
+
+def signed_texts(spark, sets, bands):
+    """Texts with chosen elements and band keys; a missing key is one of its own."""
+    width = max(map(len, bands.values()))
+    rows = []
+    for t, elements in sets.items():
+        keys = [*bands[t], *[None] * (width - len(bands[t]))]
+        own = sorted(np.array(sorted(elements), np.uint32).view(np.int32).tolist())
+        rows.append((t, [k if k is not None else -(100 * t + i + 1) for i, k in enumerate(keys)], own, bytearray(minhash.sketch(np.array(sorted(elements), np.uint32)))))
+    return spark.createDataFrame(rows, "text long, bands array<long>, elements array<int>, sketch binary")
+
+
+@pytest.mark.parametrize("block", [1 << 17, 150])
+def test_link_between_texts_that_are_no_pivots(spark, monkeypatch, block):
+    """p~x, x~y and y~q, but q~y meet in a bucket of their own, so p and q are the pivots of the common one."""
+    monkeypatch.setattr(minhash, "BLOCK_ELEMENTS", block)
+    p, x, q, y = 1, 2, 3, 4
+    sets = {t: set(range(10 * at, 10 * at + 100)) for t, at in ((p, 0), (x, 1), (y, 2), (q, 3))}
+    table = signed_texts(spark, sets, {p: [7, None], x: [7, None], q: [7, 8], y: [7, 8]})
+    assert {r.label for r in minhash.components_of_texts(table).collect()} == {p}
+
+
+@pytest.mark.parametrize("block", [1 << 17, 2000])
+def test_two_dense_groups_joined_by_a_single_link(spark, monkeypatch, block):
+    """All texts share a bucket, each group a second one; one pair of the last texts of the groups is alike."""
+    monkeypatch.setattr(minhash, "BLOCK_ELEMENTS", block)
+    rng = np.random.default_rng(7)
+    for linked in (True, False):
+        sets, bands = {}, {}
+        for group in range(2):
+            for i in range(30):
+                # The last texts of the groups are moved towards each other.
+                middle = i == 29
+                at = (10 if group == 0 else 20 if linked else 40) if middle else (0 if group == 0 else 30 if linked else 50)
+                t = 2 * i + group
+                sets[t] = set(range(at, at + 100)) if middle else set(range(at, at + 100)) - {at + int(rng.integers(40, 60))}
+                bands[t] = [7, 8 + group]
+        found = {r.text: r.label for r in minhash.components_of_texts(signed_texts(spark, sets, bands)).collect()}
+        names = list(sets)
+        parent = dict(zip(names, names))
+
+        def root(t):
+            while parent[t] != t:
+                t = parent[t]
+            return t
+
+        for a, b in brute_links([sets[t] for t in names]):
+            parent[max(root(names[a]), root(names[b]))] = min(root(names[a]), root(names[b]))
+        assert found == {t: root(t) for t in names}
+        assert len(set(found.values())) == (1 if linked else 2)
