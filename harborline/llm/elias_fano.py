@@ -141,7 +141,12 @@ class BigramTrie:
 
     def lookup(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The codes of the bigrams; 0 where a bigram is not stored."""
-        out = np.zeros(len(words), np.uint16)
+        found = self.find(contexts, words)
+        return np.where(found >= 0, self.codes[np.maximum(found, 0)], np.uint16(0)) if len(self.codes) else np.zeros(len(words), np.uint16)
+
+    def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The numbers of the bigrams in their level; -1 where a bigram is not stored."""
+        out = np.full(len(words), -1, np.int64)
         if not self.contexts.n or not len(words):
             return out
         # Queries come grouped by context: a context is searched once.
@@ -159,5 +164,5 @@ class BigramTrie:
         found = self.successors.successor(target)
         inside = np.flatnonzero(found < after[mine])
         hit = inside[self.successors.access(found[inside]) == target[inside]]
-        out[at[hit]] = self.codes[found[hit]]
+        out[at[hit]] = found[hit]
         return out

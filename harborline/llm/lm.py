@@ -1,9 +1,10 @@
-"""Language-model scores of whole texts by an Elias-Fano bigram trie in shards.
+"""Language-model scores of whole texts by an Elias-Fano trie of bigrams and trigrams in shards.
 
 The model. p(w) = (c(w) + 1) / (N + V + 1) over training tokens, unknown words included, and
 p(w | v) = L c(v w) / c(v) + (1 - L) p(w), or p(w) where the context v does not occur in training.
-Both sum to at most one. A text is its words and then one end; the first word's context is a start.
-``MIX`` is L; the order is two, as a shuffle of all trigrams would not fit the disk allowed.
+p(w | u v) = L c(u v w) / c(u v) + (1 - L) p(w | v), or p(w | v) where u v does not occur in training and
+for the first word. All sum to at most one. A text is its words and then one end; the first word's context
+is a start. ``MIX`` is L. ``score`` is of order two, ``trigram_score`` of order three.
 
 The work, all of which grows with the corpus and is dealt out evenly:
 
@@ -16,7 +17,10 @@ The work, all of which grows with the corpus and is dealt out evenly:
    adds the counts up, builds the trie over the bigrams of the training texts (contexts, monotone
    pointers, successors, quantised log probabilities), maps it into memory, and answers every block
    with the codes of its bigrams by successor searches relative to their contexts.
-4. Scores. Each block scores its texts from the answers.
+   It answers also with the bigrams' numbers in the trie and their counts.
+4. Trigrams. The same once more, one level up: a context is the number of a bigram. Contexts that do not
+   occur in training are not sent.
+5. Scores. Each block scores its texts from the answers.
 
 A block sends a word or bigram once, however common it is, so neither a hot word nor a hot
 pair nor a large group of copies makes a shard large. Texts never leave their block's row.
@@ -197,16 +201,39 @@ class _Known:
 
 def _asked(known: _Known, pairs: np.ndarray, shards: int, share: int, start_count: int):
     """Context, word and their numbers, in the order in which they are sent, with the shards' cuts."""
-    context, word = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    context, word = _split(pairs)
     numbers = np.append(known.numbers + np.uint64(1), np.uint64(0))  # 0 is the start
-    counts = np.append(known.counts, start_count)
-    v, w = numbers[context], numbers[word]
+    return _dealt(numbers[context], numbers[word], np.append(known.counts, start_count)[context], shards, share)
+
+
+def _split(pairs: np.ndarray):
+    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _dealt(v: np.ndarray, w: np.ndarray, totals: np.ndarray, shards: int, share: int):
     key = mixed(v + np.uint64(0x9E3779B97F4A7C15))
-    hot = counts[context] > share
+    hot = totals > share
     key[hot] = mixed(key[hot] + w[hot])
     shard = _range_shards(key, shards)
     order = np.lexsort((w, v, shard))
-    return order, v[order], w[order], counts[context][order], np.searchsorted(shard[order], np.arange(shards + 1))
+    return order, v[order], w[order], totals[order], np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _questions(block: int, v, w, totals, cuts, counts) -> pa.Table:
+    """A row for each shard: its contexts with their totals and sizes, the successors and their counts."""
+    top = max(v.max(initial=0), w.max(initial=0))
+    width = np.uint32 if top < np.uint64(2**32 - 2) else np.uint64
+    rows = []
+    for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if a < b:
+            first = np.flatnonzero(np.concatenate([[True], v[a + 1 : b] != v[a : b - 1]]))
+            sizes = np.diff(np.append(first, b - a)).astype(np.uint32)
+            rows.append((s, v[a:b][first].astype(width), totals[a:b][first], sizes, w[a:b].astype(width), counts[a:b]))
+    return pa.table({
+        "shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()),
+        "width": pa.array([np.dtype(width).itemsize] * len(rows), pa.int32()),
+        **{c: _binary(r[i + 1] for r in rows) for i, c in enumerate(("contexts", "totals", "sizes", "successors", "counts"))},
+    })
 
 
 def ask_bigrams(shards: int, share: int, start_count: int):
@@ -215,19 +242,59 @@ def ask_bigrams(shards: int, share: int, start_count: int):
         pairs, inverse = known.bigrams(True)
         counts = np.bincount(inverse[known.train()], minlength=len(pairs)).astype(np.uint32)
         order, v, w, totals, cuts = _asked(known, pairs, shards, share, start_count)
-        counts = counts[order]
-        width = np.uint32 if (known.numbers.max(initial=0) < np.uint64(2**32 - 2)) else np.uint64
-        rows = []
-        for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a < b:
-                first = np.flatnonzero(np.concatenate([[True], v[a + 1 : b] != v[a : b - 1]]))
-                sizes = np.diff(np.append(first, b - a)).astype(np.uint32)
-                rows.append((s, v[a:b][first].astype(width), totals[a:b][first], sizes, w[a:b].astype(width), counts[a:b]))
-        return pa.table({
-            "shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([known.block] * len(rows), pa.int64()),
-            "width": pa.array([np.dtype(width).itemsize] * len(rows), pa.int32()),
-            **{c: _binary(r[i + 1] for r in rows) for i, c in enumerate(("contexts", "totals", "sizes", "successors", "counts"))},
-        })
+        return _questions(known.block, v, w, totals, cuts, counts[order])
+
+    return ask
+
+
+def _codes(answers: pa.Table, kind: int, order: np.ndarray) -> np.ndarray:
+    """The codes of a level in the order of the block's own distinct pairs."""
+    own = answers.filter(pa.array(answers.column("kind").to_numpy() == kind))
+    by_shard = sorted(zip(*(own.column(c).to_pylist() for c in ("shard", "codes"))), key=lambda x: x[0])
+    codes = np.zeros(len(order), np.uint16)
+    if by_shard:
+        codes[order] = np.concatenate([np.frombuffer(x[1], np.uint16) for x in by_shard])
+    return codes
+
+
+def _nodes(answers: pa.Table, shards: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, from 1, and the counts of the block's distinct bigrams; 0 where not in training."""
+    own = answers.filter(pa.array(answers.column("kind").to_numpy() == 2))
+    by_shard = sorted(zip(*(own.column(c).to_pylist() for c in ("shard", "nodes", "totals"))), key=lambda x: x[0])
+    nodes, totals = np.zeros(len(order), np.uint64), np.zeros(len(order), np.int64)
+    found = []
+    for shard, places, _ in by_shard:
+        place = np.frombuffer(places, np.uint32).astype(np.uint64)
+        found.append(np.where(place > 0, (place - np.uint64(1)) * np.uint64(shards) + np.uint64(shard + 1), np.uint64(0)))
+    nodes[order] = np.concatenate(found)
+    totals[order] = np.concatenate([np.frombuffer(x[2], np.int64) for x in by_shard])
+    return nodes, totals
+
+
+def _trigrams(known: _Known, inverse: np.ndarray, nodes: np.ndarray):
+    """Places whose context of two words occurs in training, and the distinct trigrams (place of the
+    context among the block's bigrams, and word) with the trigram of each place."""
+    inside = np.ones(len(known.tokens), bool)
+    inside[np.cumsum(known.lengths) - known.lengths] = False
+    at = np.flatnonzero(inside)
+    at = at[nodes[inverse[at - 1]] > 0]
+    return at, *np.unique(inverse[at - 1].astype(np.uint64) << np.uint64(32) | known.tokens[at], return_inverse=True)
+
+
+def _asked_trigrams(known: _Known, triples: np.ndarray, nodes: np.ndarray, totals: np.ndarray, shards: int, share: int):
+    context, word = _split(triples)
+    return _dealt(nodes[context], known.numbers[word] + np.uint64(1), totals[context], shards, share)
+
+
+def ask_trigrams(shards: int, share: int, start_count: int):
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        known = _Known(block, answers.filter(pa.array(answers.column("kind").to_numpy() == 1)))
+        pairs, inverse = known.bigrams(True)
+        nodes, totals = _nodes(answers, shards, _asked(known, pairs, shards, share, start_count)[0])
+        at, triples, back = _trigrams(known, inverse, nodes)
+        counts = np.bincount(back[known.train()[at]], minlength=len(triples)).astype(np.uint32)
+        order, v, w, totals, cuts = _asked_trigrams(known, triples, nodes, totals, shards, share)
+        return _questions(known.block, v, w, totals, cuts, counts[order])
 
     return ask
 
@@ -242,7 +309,32 @@ def probability(codes: np.ndarray) -> np.ndarray:
 
 
 def answer_bigrams(group: pa.Table) -> pa.Table:
-    asked, totals = [], {}
+    """The codes of a shard's bigrams with their numbers in the trie, from 1, and their counts."""
+    asked, trie, counts = _answered(group)
+    found = [trie.find(x[0], x[1]) for x in asked]
+    return pa.table({
+        "block": group.column("block"), "shard": group.column("shard"),
+        "codes": _binary(_taken(trie.codes, f) for f in found), "nodes": _binary((f + 1).astype(np.uint32) for f in found),
+        "totals": _binary(_taken(counts, f) for f in found),
+    })
+
+
+def answer_trigrams(group: pa.Table) -> pa.Table:
+    asked, trie, _ = _answered(group)
+    return pa.table({
+        "block": group.column("block"), "shard": group.column("shard"),
+        "codes": _binary(trie.lookup(x[0], x[1]) for x in asked),
+    })
+
+
+def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at the places; 0 for places below 0."""
+    return np.append(values, values.dtype.type(0))[at]
+
+
+def _answered(group: pa.Table):
+    """What the blocks asked of a shard, the trie over all training counts, and the counts by number."""
+    asked = []
     columns = ("width", "contexts", "totals", "sizes", "successors", "counts")
     for width, contexts, total, sizes, successors, counts in zip(*(group.column(c).to_pylist() for c in columns)):
         kind = np.uint32 if width == 4 else np.uint64
@@ -258,14 +350,10 @@ def answer_bigrams(group: pa.Table) -> pa.Table:
     v, w, t = v[new], w[new], t[new]
     codes = quantised(np.log10(MIX * counts / t))
     head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else new
-    trie = BigramTrie.mapped(v[head], np.diff(np.append(head, len(v))), w, codes)
-    return pa.table({
-        "block": group.column("block"), "shard": group.column("shard"),
-        "codes": _binary(trie.lookup(x[0], x[1]) for x in asked),
-    })
+    return asked, BigramTrie.mapped(v[head], np.diff(np.append(head, len(v))), w, codes), counts
 
 
-SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
 
 
 def score_block(shards: int, share: int, start_count: int, total: int, distinct: int):
@@ -274,28 +362,31 @@ def score_block(shards: int, share: int, start_count: int, total: int, distinct:
         known = _Known(block, answers.filter(pa.array(kind == 1)))
         pairs, inverse = known.bigrams(True)
         order = _asked(known, pairs, shards, share, start_count)[0]
-        by_shard = sorted(zip(*(answers.filter(pa.array(kind == 2)).column(c).to_pylist() for c in ("shard", "codes"))), key=lambda x: x[0])
-        codes = np.empty(len(pairs), np.uint16)
-        codes[order] = np.concatenate([np.frombuffer(x[1], np.uint16) for x in by_shard])
+        codes = _codes(answers, 2, order)
+        nodes, totals = _nodes(answers, shards, order)
+        at, triples, back = _trigrams(known, inverse, nodes)
+        third = _codes(answers, 3, _asked_trigrams(known, triples, nodes, totals, shards, share)[0])
         single = (known.counts + 1) / (total + distinct + 1)
         seen = np.append(known.counts, start_count)[(pairs >> np.uint64(32)).astype(np.int64)] > 0
         mixed_in = np.where(seen, 1 - MIX, 1.0) * single[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
         starts = np.cumsum(known.lengths) - known.lengths
-        log = np.log10(mixed_in + probability(codes))[inverse]
+        second = (mixed_in + probability(codes))[inverse]
+        log = np.log10(second)
+        second[at] = probability(third)[back] + (1 - MIX) * second[at]
         n = len(known.ids)
         return pa.table({
             "id": pa.array(known.ids, pa.int64()), "held_out": pa.array(known.held),
             "n_tokens": pa.array(known.lengths), "n_known": pa.array(np.add.reduceat((known.counts > 0).astype(np.int64)[known.tokens], starts)),
             "train_tokens": pa.array([total] * n, pa.int64()),
             "base_score": pa.array(np.add.reduceat(np.log10(single)[known.tokens], starts)),
-            "score": pa.array(np.add.reduceat(log, starts)),
+            "score": pa.array(np.add.reduceat(log, starts)), "trigram_score": pa.array(np.add.reduceat(np.log10(second), starts)),
         })
 
     return scored
 
 
 def score(df: DataFrame, held: Column | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and trigram_score of every row.
 
     Texts for which ``held`` is true are scored but not learned from."""
     table = blocks(df, held_out(id_column) if held is None else held, id_column, text)
@@ -316,18 +407,24 @@ def score(df: DataFrame, held: Column | None = None, id_column: str = "doc_id",
     share = sums.tokens // (4 * shards)
     packed_texts = table.select("block", "ids", "held", "lengths", "n_words", "tokens")
     known = numbers.select("block", "shard", "ids", "counts")
-    bigrams = (
-        packed_texts.groupBy("block").cogroup(known.groupBy("block"))
-        .applyInArrow(
-            ask_bigrams(shards, share, sums.trained),
-            "shard int, block long, width int, contexts binary, totals binary, sizes binary, successors binary, counts binary",
-        )
-        .groupBy("shard").applyInArrow(answer_bigrams, "block long, shard int, codes binary")
+    settings = (shards, share, sums.trained)
+    asked = "shard int, block long, width int, contexts binary, totals binary, sizes binary, successors binary, counts binary"
+    bigrams = written(
+        packed_texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_bigrams(*settings), asked)
+        .groupBy("shard").applyInArrow(answer_bigrams, "block long, shard int, codes binary, nodes binary, totals binary"),
+        "bigrams",
     )
-    answers = known.select("block", F.lit(1).alias("kind"), "shard", "ids", "counts", F.lit(None).cast("binary").alias("codes")).unionByName(
-        bigrams.select("block", F.lit(2).alias("kind"), "shard", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("counts"), "codes")
+
+    def of_kind(answers: DataFrame, kind: int) -> DataFrame:
+        return answers.withColumn("kind", F.lit(kind))
+
+    answers = of_kind(known, 1).unionByName(of_kind(bigrams, 2), allowMissingColumns=True)
+    trigrams = (
+        packed_texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_trigrams(*settings), asked)
+        .groupBy("shard").applyInArrow(answer_trigrams, "block long, shard int, codes binary")
     )
+    answers = answers.unionByName(of_kind(trigrams, 3), allowMissingColumns=True)
     return (
         packed_texts.groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInArrow(score_block(shards, share, sums.trained, totals.total, totals.distinct), SCORES)
+        .applyInArrow(score_block(*settings, totals.total, totals.distinct), SCORES)
     )

@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from harborline.llm import lm
 from harborline.llm.elias_fano import BigramTrie, EliasFano
 from harborline.llm.queries import QUERIES
@@ -92,3 +94,44 @@ def test_edge_rows(spark):
 
     unlearned = lm.score(edge_rows(spark), F.lit(True)).collect()
     assert len(unlearned) == len(ROWS) and all(r.score == r.base_score == 0 and r.n_known == 0 for r in unlearned)
+
+
+def brute_trigrams(rows):
+    """The score of order three of every row, with the mixed score of order two below it."""
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+    tokens = [["start", *re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), None] for _, t in rows]
+    train = [t for t, h in zip(tokens, held) if not h]
+    single = Counter(w for t in train for w in t[1:])
+    pairs = Counter(p for t in train for p in zip(t, t[1:]))
+    triples = Counter(p for t in train for p in zip(t, t[1:], t[2:]))
+    contexts = Counter(w for t in train for w in t[:-1])
+    below = sum(single.values()) + len(single) + 1
+    out = []
+    for t in tokens:
+        score = 0
+        for i in range(1, len(t)):
+            v, w = t[i - 1 : i + 1]
+            p = (single[w] + 1) / below
+            p = lm.MIX * pairs[v, w] / contexts[v] + (1 - lm.MIX) * p if contexts[v] else p
+            seen = pairs[t[i - 2], v] if i > 1 else 0
+            score += math.log10(lm.MIX * triples[t[i - 2], v, w] / seen + (1 - lm.MIX) * p if seen else p)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_order_three_by_brute_force(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(lm, "BLOCK_BYTES", 30_000)
+        monkeypatch.setattr(lm, "SHARD_BIGRAMS", 5_000)
+    rows = texts(documents(spark, "/root/testdata/sf0.001"))
+    found = {r.doc_id: r for r in QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.001").collect()}
+    for (i, _), want in zip(rows, brute_trigrams(rows), strict=True):
+        assert found[i].trigram_score == pytest.approx(want, abs=found[i].n_tokens * 1.0 / lm.STEPS + 1e-6)
+
+
+def test_words_before_the_last_count(spark):
+    """Two texts that differ only two words before a word have the same bigrams, but not the same trigrams."""
+    rows = [(i, "a b c" if i % 2 else "x b d") for i in range(40)] + [(100, "a b d"), (101, "x b d")]
+    found = {r.id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
+    assert found[101].trigram_score > found[100].trigram_score + 0.2
