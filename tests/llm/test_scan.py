@@ -111,6 +111,15 @@ def test_toxicity_edge_cases(spark):
     assert toxicity.score(empty_rows(spark), model).count() == 0
 
 
+def test_a_repeated_id_does_not_exceed_the_training_limit(spark):
+    rows = [(1, f"text {i // 2}", "en") for i in range(200)] + [(i, "other", "de") for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)], "doc_id long, toxic int")
+    assert toxicity.training_rows(docs, labels, limit=50).count() == 50
+    own = [(r.id, r.text) for r in toxicity.training_rows(docs, labels).collect()]
+    assert len(own) == len(set(own)) and sum(i == 1 for i, _ in own) == 100
+
+
 def test_scores_do_not_depend_on_the_batch():
     model = toxicity.Classifier()
     rows = [toxicity.buckets(t) for t in ("", "one", "one two", "a b c d e f g " * 50, "", "idiot")]
