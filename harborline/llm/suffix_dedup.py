@@ -13,7 +13,7 @@ same anchor form a run, and a run with its text is a segment of less than two wi
    rest goes in batches into a logarithmic family of suffix arrays: a batch's array, sorted by ranks of
    prefixes that double or triple in length, is merge-scanned with every level for common prefixes of a window's length, and levels of
    like size merge, so each window is sorted again a logarithmic number of times.
-   Anchors found in more than ``HOT_BLOCKS`` blocks go another, equally exact way, so that no
+   Anchors found in more than ``HOT_BLOCKS`` blocks go another way, exact but for collisions of hashes, so that no
    shard grows with them: each block sends the distinct 128-bit hashes of their windows, dealt out by that hash.
 4. Each block marks the bytes under repeated windows and returns its texts without them.
 
