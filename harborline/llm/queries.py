@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, secrets, sharding, suffix_dedup, toxicity, url_filter
+from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, secrets, sharding, spelling, suffix_dedup, toxicity, url_filter
 from harborline.llm.tables import documents, text_of
 
 
@@ -90,6 +90,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
@@ -101,10 +105,26 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op12_spelling": op12_spelling,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of the UTF-8 bytes of a text of code points below 256 that are ASCII or letters."""
+    octets = (
+        f"flatten(list_transform(string_split({text}, ''), lambda ch: CASE WHEN unicode(ch) < 128 "
+        "THEN [unicode(ch)::UBIGINT] ELSE [195::UBIGINT, (unicode(ch) - 64)::UBIGINT] END))"
+    )
+    shifted = "list_reduce([xor(c, b) & 255, 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, i: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))"
+    step = f"lambda c, b: xor(c >> 8, {shifted})"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), {step}), 4294967295::UBIGINT)"
+
+
+#: One byte for each letter that a spelling may have beside a to z, as ``levenshtein`` counts bytes in SQL.
+LETTERS = "".join(map(chr, range(0xC0, 0x100)))
+OCTETS = "".join(map(chr, range(33, 97))).replace("'", "''")
+
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -134,4 +154,36 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM met WHERE place = 1
     """,
+    "op12_spelling": f"""
+        WITH RECURSIVE runs AS (
+            SELECT doc_id, run, count(*) AS n FROM (
+                SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+            ) GROUP BY ALL
+        ), hashed AS (
+            SELECT run, n, {crc32_sql("coalesce(doc_id::VARCHAR, '') || ':' || run")} AS h FROM runs
+        ), spared AS (
+            SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2)
+                           ELSE run END AS word
+            FROM hashed
+        ), words AS (
+            SELECT word, translate(word, '{LETTERS}', '{OCTETS}') AS octets, sum(n)::BIGINT AS n FROM spared WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+        ), near AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n
+            FROM words a JOIN words b ON abs(length(a.word) - length(b.word)) <= 1 AND a.word <> b.word
+             AND (substr(a.word, 1, length(a.word) // 2) = substr(b.word, 1, length(a.word) // 2)
+                  OR right(a.word, length(a.word) - length(a.word) // 2) = right(b.word, length(a.word) - length(a.word) // 2))
+            WHERE levenshtein(a.octets, b.octets) = 1
+        ), best AS (
+            SELECT word, count(*) AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n
+            FROM near GROUP BY word
+        ), formed AS (
+            SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.other_n >= 2 * w.n THEN b.other END AS form,
+                   CASE WHEN b.other_n >= 2 * w.n THEN b.other_n END AS form_n
+            FROM words w LEFT JOIN best b USING (word)
+        ), steps(word, place, form) AS (
+            SELECT word, word, form FROM formed
+            UNION ALL SELECT s.word, f.word, f.form FROM (SELECT * FROM steps WHERE form IS NOT NULL) s JOIN formed f ON f.word = s.form
+        )
+        SELECT f.word, f.form, s.place AS root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.word = f.word AND s.form IS NULL
+    """,
 }
