@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, secrets, sharding, spelling, suffix_dedup, toxicity, url_filter
+from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, prefix_trie, secrets, sharding, spelling, suffix_dedup, toxicity, url_filter
 from harborline.llm.tables import documents, text_of
 
 
@@ -94,6 +94,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.words(documents(spark, sf_dir)))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_lm_score": op2_lm_score,
@@ -106,6 +110,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
     "op12_spelling": op12_spelling,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -186,4 +191,35 @@ ORACLES: dict[str, str] = {
         )
         SELECT f.word, f.form, s.place AS root, f.n, f.n_near, f.form_n FROM formed f JOIN steps s ON s.word = f.word AND s.form IS NULL
     """,
+    "op13_prefix_trie": f"""
+        WITH own AS (
+            SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS turns
+            FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+        ), heads AS (
+            SELECT *, ({crc32_sql("conv_id::VARCHAR")} % 9)::BIGINT AS h FROM own
+        ), rebuilt AS (
+            SELECT c.conv_id, list_concat(coalesce(b.turns[1:c.h], []), c.turns[c.h + 1:]) AS turns
+            FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 5
+        ), prefixes AS (
+            SELECT conv_id, len(turns) AS length, d, turns[1:d] AS path
+            FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+        ), nodes AS (
+            SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE length = d), '') AS ends
+            FROM prefixes GROUP BY d, path
+        ), children AS (
+            SELECT d - 1 AS d, path[1:d - 1] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL
+        ), sized AS (
+            SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+                   (n_convs - 1) * CASE WHEN n.d = 0 THEN 0 ELSE octet_length(encode(n.path[n.d].text)) END AS saved
+            FROM nodes n LEFT JOIN children c ON c.d = n.d AND c.path = n.path
+        ), upward AS (
+            SELECT n_children, saved, up, path[1:up] AS path FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM sized)
+        ), sums AS (
+            SELECT up, path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM upward GROUP BY ALL
+        )
+        SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens,
+               sha256(n.ends) AS ends_sha256
+        FROM sized n JOIN sums s ON s.up = n.d AND s.path = n.path LEFT JOIN nodes p ON p.d = n.d - 1 AND p.path = n.path[1:n.d - 1]
+    """,
 }
