@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, prefix_trie, secrets, sharding, spelling, suffix_dedup, toxicity, url_filter
+from harborline.llm import bpe, decontaminate, exact_dedup, lm, minhash, prefix_trie, secrets, sharding, spelling, substring_dedup, suffix_dedup, toxicity, url_filter
 from harborline.llm.tables import documents, text_of
 
 
@@ -90,6 +90,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_passages(documents(spark, sf_dir)).select(
+        F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.words(documents(spark, sf_dir)))
 
@@ -109,6 +115,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_secrets": op10_secrets,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_spelling": op12_spelling,
     "op13_prefix_trie": op13_prefix_trie,
 }
@@ -159,6 +166,27 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM met WHERE place = 1
     """,
+    "op11_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS word,
+                   generate_subscripts(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), 1) AS i
+            FROM documents
+        ), windows AS (
+            SELECT doc_id, i, word, string_agg(word, ' ') OVER here AS text, count(*) OVER here AS n
+            FROM words WINDOW here AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+        ), late AS (
+            SELECT doc_id, i, word, n = 20 AND row_number() OVER (PARTITION BY text, n ORDER BY doc_id, i) > 1 AS late FROM windows
+        ), judged AS (
+            SELECT doc_id, i, word, bool_or(late) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone
+            FROM late
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+                   coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept
+            FROM judged GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+        FROM documents d LEFT JOIN kept k USING (doc_id)
+    """,
     "op12_spelling": f"""
         WITH RECURSIVE runs AS (
             SELECT doc_id, run, count(*) AS n FROM (

@@ -37,6 +37,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The rows, written like ``written`` as a table bucketed by ``key`` into as many buckets as a
+    shuffle has partitions: grouping or joining by the key then reads it without another shuffle."""
+    spark = df.sparkSession
+    table = f"harborline_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{table}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few literal rows, without a Python task."""
     types = T.StructType.fromDDL(schema)
