@@ -4,7 +4,8 @@ The caller passes a client factory: a picklable function without arguments that
 returns ``client(prompt) -> reply text``, or None if no model is available. Each
 task builds one client. Spark may run a task again, so a client must tolerate
 repeated prompts. Rows whose model call fails, or that have no client, get the
-deterministic fallback; no row is lost.
+deterministic fallback; no row is lost. With a ``ReplyStore`` every distinct prompt is asked once over all
+runs; without one each row is asked when it is read.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ from pyspark.sql import functions as F
 
 from harborline.config import Config
 from harborline.functions.num import fixed_text, money_text
+from harborline.functions.running import parts_of, with_running_total
 from harborline.operators import prompts as p
 from harborline.operators.nps import with_comments
 from harborline.operators.notes import INTELLIGENCE, note_intelligence
+from harborline.operators.replies import ReplyStore
 
 Client = Callable[[str], str]
 ATTEMPTS = 3
@@ -34,11 +37,12 @@ INTELLIGENCE_SCHEMA = (
 TRANSLATION_SCHEMA = (
     "translation string, original_language string, sentiment string, risk_signals array<string>"
 )
-OVERVIEW_SCHEMA = (
-    "high_risk_accounts array<struct<account_name string, risk_level string, "
-    "key_risks array<string>, competitors_mentioned array<string>, executive_involved boolean>>, "
-    "portfolio_themes array<string>, urgent_actions array<string>"
-)
+OVERVIEW_LISTS = {
+    "high_risk_accounts": "array<struct<account_name string, risk_level string, "
+    "key_risks array<string>, competitors_mentioned array<string>, executive_involved boolean>>",
+    "portfolio_themes": "array<string>", "urgent_actions": "array<string>",
+}
+OVERVIEW_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in OVERVIEW_LISTS.items())
 SILENT_CHURN_SCHEMA = (
     "is_silent_churn boolean, confidence double, pattern_type string, evidence array<string>, "
     "counter_evidence array<string>, recommended_investigation string"
@@ -74,10 +78,13 @@ def ask(client: Client | None, prompt: str, as_json: bool, sleep=time.sleep) ->
 
 
 def with_replies(
-    df: DataFrame, prompt: Column, factory: Callable[[], Client | None] | None, as_json: bool = True
+    df: DataFrame, prompt: Column, factory: Callable[[], Client | None] | None, as_json: bool = True,
+    store: ReplyStore | None = None,
 ) -> DataFrame:
-    """Adds ``reply`` (NULL where no valid answer came). Rows keep their partition. Without a
-    factory there is no Python stage."""
+    """Adds ``reply`` (NULL where no valid answer came). Without a store rows keep their partition,
+    and without a factory too there is no Python stage."""
+    if store is not None:
+        return store.answered(df, prompt, factory, ask, as_json)
     if factory is None:
         return df.withColumn("reply", F.lit(None).cast("string"))
 
@@ -98,28 +105,41 @@ def _parsed(schema: str) -> Column:
 # --- call notes -------------------------------------------------------------
 
 
-def account_texts(notes: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """Each account's notes joined by blank lines, in input order.
-
-    An account whose notes exceed ``prompt_characters`` is spread over several
-    parts of about that size; every note is in exactly one part, whole."""
-    matched = notes.where(F.col("matched_account_id").isNotNull()).select(
-        F.col("matched_account_id").alias("account_id"), "ord", "raw_text"
-    )
-    sizes = matched.groupBy("account_id").agg(
-        F.ceil(F.sum(F.length("raw_text")) / F.lit(cfg.prompt_characters)).alias("parts")
-    )
-    part = F.pmod(F.xxhash64("ord"), F.greatest("parts", F.lit(1)))
-    pieces = matched.join(sizes, "account_id").withColumn("part", part)
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "raw_text")))
-    return pieces.groupBy("account_id", "part").agg(
-        F.array_join(F.transform(ordered, lambda n: n["raw_text"]), "\n\n").alias("note_text"),
+#: Between two notes of one prompt.
+BETWEEN = "\n\n"
+
+
+def packed_texts(notes: DataFrame, limit: int, by_account: bool) -> DataFrame:
+    """Notes joined by blank lines, in the order of account and input, in parts of at most ``limit``
+    characters. Each note is in exactly one part, whole; only a single note exceeds the limit.
+
+    The parts of each account, or (``account_id`` is then the part's first) of all notes together.
+    They follow from running totals over the order alone, so any partitioning gives the same parts."""
+    matched = notes.where(F.col("raw_text").isNotNull()).select(F.col("matched_account_id").alias("account_id"), "ord", "raw_text")
+    size = (F.length("raw_text") + len(BETWEEN)).cast("bigint")
+    narrow = matched.select("account_id", "ord", size.alias("size"))
+    placed = with_running_total(narrow, ["account_id", "ord"], F.col("size"), "start")
+    if by_account:
+        first = placed.groupBy("account_id").agg(F.min("start").alias("first"))
+        placed = placed.join(first, "account_id").withColumn("start", F.col("start") - F.col("first"))
+    placed = placed.select("ord", parts_of(F.col("start"), F.col("size"), limit).alias("part"))
+    keys = ["account_id", "part"] if by_account else ["part"]
+    ordered = F.array_sort(F.collect_list(F.struct("account_id", "ord", "raw_text")))
+    return matched.join(placed, "ord").groupBy(*keys).agg(
+        *([] if by_account else [F.min("account_id").alias("account_id")]),
+        F.array_join(F.transform(ordered, lambda n: n["raw_text"]), BETWEEN).alias("note_text"),
         F.count(F.lit(1)).alias("note_count"), F.min("ord").alias("first_ord"),
     )
 
 
+def account_texts(notes: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """Each account's notes in parts of at most ``prompt_characters`` (see ``packed_texts``)."""
+    return packed_texts(notes.where(F.col("matched_account_id").isNotNull()), cfg.prompt_characters, by_account=True)
+
+
 def model_note_intelligence(
-    notes: DataFrame, accounts: DataFrame, factory, cfg: Config = Config()
+    notes: DataFrame, accounts: DataFrame, factory, cfg: Config = Config(),
+    store: ReplyStore | None = None,
 ) -> DataFrame:
     """One row per account in the shape of ``note_intelligence``, from a text model
     where it answers and from keywords where it does not.
@@ -127,7 +147,7 @@ def model_note_intelligence(
     An account in several parts is the model's only if every part was answered; otherwise, and
     without a factory, it is ``note_intelligence`` over all its notes, whatever the parts' size."""
     keyword = note_intelligence(notes).join(accounts.select("account_id").distinct(), "account_id", "left_semi")
-    if factory is None:
+    if factory is None and store is None:
         return keyword
     texts = account_texts(notes, cfg).join(
         accounts.select("account_id", "account_name", "plan_tier", "arr", "contract_end_date"),
@@ -139,7 +159,7 @@ def model_note_intelligence(
         contract_end=F.col("contract_end_date"), note_text=F.col("note_text"),
     )
     keys = ["account_id", "part", "note_count", "first_ord"]
-    asked = with_replies(texts.select(*keys, prompt.alias("_text")), F.col("_text"), factory)
+    asked = with_replies(texts.select(*keys, prompt.alias("_text")), F.col("_text"), factory, store=store)
     answered = asked.withColumn("m", _parsed(INTELLIGENCE_SCHEMA))
     empty = F.array().cast("array<string>")
     defaults = {
@@ -185,48 +205,30 @@ def _merge_parts(per_part: DataFrame) -> DataFrame:
     }).withColumn("key_quote", F.col("_parts")[0]["key_quote"]).drop("_parts")
 
 
-def notes_overview(notes: DataFrame, factory, cfg: Config = Config()) -> DataFrame:
-    """Portfolio-wide findings: each task sends its notes in groups of at most
-    ``prompt_characters`` and returns one row per group."""
-    limit = cfg.prompt_characters
-    blank = json.dumps({"high_risk_accounts": [], "portfolio_themes": [], "urgent_actions": []})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
-
-        def answer(group: list[str]) -> pd.DataFrame:
-            prompt = p.NOTES_OVERVIEW_TASK.replace("{notes}", "\n\n".join(group))
-            reply = ask(client, prompt, as_json=True)
-            return pd.DataFrame({"notes": [len(group)], "reply": [reply or blank]})
-
-        group, size = [], 0
-        for batch in batches:
-            for text in batch["raw_text"]:
-                if group and size + len(text) > limit:
-                    yield answer(group)
-                    group, size = [], 0
-                group.append(text)
-                size += len(text)
-        if group:
-            yield answer(group)
-
-    replies = notes.select("raw_text").where(F.col("raw_text").isNotNull()).mapInPandas(
-        run, "notes bigint, reply string"
+def notes_overview(notes: DataFrame, factory, cfg: Config = Config(), store: ReplyStore | None = None) -> DataFrame:
+    """Portfolio-wide findings: one row for each part of at most ``prompt_characters`` of all notes
+    (see ``packed_texts``), with empty lists where no answer came."""
+    parts = packed_texts(notes, cfg.prompt_characters, by_account=False)
+    keys = ["part", F.col("account_id").alias("first_account_id"), F.col("note_count").alias("notes")]
+    rows = parts.select(*keys, p.fill(p.NOTES_OVERVIEW_TASK, notes=F.col("note_text")).alias("_text"))
+    asked = with_replies(rows, F.col("_text"), factory, store=store).withColumn("m", _parsed(OVERVIEW_SCHEMA))
+    return asked.select(
+        "part", "first_account_id", "notes", F.col("m").isNotNull().alias("answered"),
+        *(F.coalesce(f"m.{name}", F.from_json(F.lit("[]"), kind)).alias(name) for name, kind in OVERVIEW_LISTS.items()),
     )
-    return replies.select("notes", _parsed(OVERVIEW_SCHEMA).alias("m")).select("notes", "m.*")
 
 
 # --- survey comments --------------------------------------------------------
 
 
-def translated_comments(nps: DataFrame, factory) -> DataFrame:
+def translated_comments(nps: DataFrame, factory, store: ReplyStore | None = None) -> DataFrame:
     """Translations of the comments that are not English; without an answer the
     comment itself with unknown language and sentiment."""
     foreign = nps.where("is_non_english").select("account_id", "ord", "verbatim_comment")
     prompt = p.fill(p.TRANSLATION_TASK, comment=F.col("verbatim_comment"))
     m = _parsed(TRANSLATION_SCHEMA)
     unknown = F.lit("unknown")
-    return with_replies(foreign, prompt, factory).withColumn("m", m).select(
+    return with_replies(foreign, prompt, factory, store=store).withColumn("m", m).select(
         "account_id", "ord",
         F.coalesce("m.translation", "verbatim_comment").alias("translation"),
         F.coalesce("m.original_language", unknown).alias("original_language"),
@@ -242,13 +244,13 @@ def explanation_text() -> Column:
     return p.fill(p.EXPLANATION_TEXT, **p.account_values())
 
 
-def explanations(summarised: DataFrame, factory) -> DataFrame:
+def explanations(summarised: DataFrame, factory, store: ReplyStore | None = None) -> DataFrame:
     """A written explanation per account (see ``details.with_summaries``)."""
     rows = summarised.select(
         "account_id", explanation_text().alias("_plain"),
         p.fill(p.EXPLANATION_TASK, **p.account_values()).alias("_task"),
     )
-    asked = with_replies(rows, F.col("_task"), factory, as_json=False)
+    asked = with_replies(rows, F.col("_task"), factory, as_json=False, store=store)
     return asked.select("account_id", F.coalesce("reply", "_plain").alias("explanation"))
 
 
@@ -257,7 +259,7 @@ def _percent(column: str) -> Column:
     return F.when(value == 0, "0").otherwise(fixed_text(value * F.lit(100), 1))
 
 
-def silent_churn(summarised: DataFrame, nps: DataFrame, factory) -> DataFrame:
+def silent_churn(summarised: DataFrame, nps: DataFrame, factory, store: ReplyStore | None = None) -> DataFrame:
     """Silent-churn assessment per account, with a constant fallback."""
     summarised = with_comments(summarised, nps)
     prompt = p.fill(
@@ -270,7 +272,7 @@ def silent_churn(summarised: DataFrame, nps: DataFrame, factory) -> DataFrame:
     )
     rows = summarised.select("account_id", prompt.alias("_task"))
     fallback = F.from_json(F.lit(json.dumps(p.SILENT_CHURN_FALLBACK)), SILENT_CHURN_SCHEMA)
-    asked = with_replies(rows, F.col("_task"), factory)
+    asked = with_replies(rows, F.col("_task"), factory, store=store)
     return asked.select("account_id", F.coalesce(_parsed(SILENT_CHURN_SCHEMA), fallback).alias("m")).select(
         "account_id", "m.*"
     )
@@ -287,7 +289,8 @@ def account_lines(top_accounts: DataFrame) -> Column:
 
 
 def portfolio_narrative(
-    summary: DataFrame, top_accounts: DataFrame, factory, signals: str = "", events: str = ""
+    summary: DataFrame, top_accounts: DataFrame, factory, signals: str = "", events: str = "",
+    store: ReplyStore | None = None,
 ) -> DataFrame:
     """One row: the portfolio text. ``top_accounts`` is the ten-row top list."""
     lines = top_accounts.agg(account_lines(top_accounts).alias("top_risk_accounts"))
@@ -299,5 +302,5 @@ def portfolio_narrative(
             portfolio_signals=F.lit(signals), product_risk_events=F.lit(events),
         ).alias("_task"),
     )
-    asked = with_replies(rows, F.col("_task"), factory, as_json=False)
+    asked = with_replies(rows, F.col("_task"), factory, as_json=False, store=store)
     return asked.select(F.coalesce("reply", "_plain").alias("narrative"))

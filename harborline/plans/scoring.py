@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from harborline.config import Config
 from harborline.functions.num import clamp_unit, round_product, round_product_sql
+from harborline.functions.running import with_position
 from harborline.functions.text import quote
 from harborline.operators.nps import (
     NO_ANSWER_DETERIORATION,
@@ -141,15 +142,8 @@ def with_score(signals: DataFrame, cfg: Config = Config()) -> DataFrame:
 def top_drivers(breakdown: Column, n: int = 5) -> Column:
     """The n largest positive contributions; equal ones keep the signal order."""
     positive = F.filter(breakdown, lambda d: d["contribution"] > 0)
-
-    def larger_first(a: Column, b: Column) -> Column:
-        return (
-            F.when(a["contribution"] > b["contribution"], -1)
-            .when(a["contribution"] < b["contribution"], 1)
-            .when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
-        )
-
-    return F.slice(F.array_sort(positive, larger_first), 1, n)
+    keyed = F.transform(positive, lambda d: F.struct(-d["contribution"], d["ord"], d.alias("driver")))
+    return F.transform(F.slice(F.array_sort(keyed), 1, n), lambda k: k["driver"])
 
 
 def score_accounts(
@@ -162,5 +156,15 @@ def score_accounts(
     return with_score(signals, cfg)
 
 
+def _report_order() -> list[Column]:
+    return [F.desc("risk_score"), F.asc("account_id")]
+
+
 def ranked(scored: DataFrame) -> DataFrame:
-    return scored.orderBy(F.desc("risk_score"), "account_id")
+    return scored.orderBy(*_report_order())
+
+
+def with_rank(scored: DataFrame) -> DataFrame:
+    """Adds ``rank``, the place of an account in report order from 0. Accounts are dealt out by ranges
+    of that order, so no task sees them all."""
+    return with_position(scored, _report_order(), "rank")

@@ -8,13 +8,15 @@ import __spark_entry__ as entry_point
 from tests.compare import connect, differences
 from harborline.plans.scoring import score_accounts
 from workload.fixtures import Inputs
+from workload.oracles import ORACLES
 from workload.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = sorted(set(entry_point.queries()) - set(entry_point.oracle_sql()))
+ROWS_ONLY = sorted(set(QUERIES) - set(ORACLES))
 PYTHON_STAGE = {
     "reconcile_fuzzy", "account_scores_reconciled", "enrich_notes", "enrich_notes_fallback",
     "translate_comments", "notes_overview", "explanation_fallback", "silent_churn", "portfolio_fallback",
+    "enrich_notes_stored", "translate_comments_stored", "silent_churn_stored",
 }
 
 
@@ -28,15 +30,19 @@ def inputs(spark):
     return Inputs(spark, SF)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(inputs, con, name):
-    assert differences(QUERIES[name](inputs), con, entry_point.oracle_sql()[name]) is None
+    assert differences(QUERIES[name](inputs), con, ORACLES[name]) is None
 
 
 @pytest.mark.parametrize("name", ROWS_ONLY)
-def test_rows(spark, name):
-    df = entry_point.queries()[name](spark, SF)
-    assert len(df.collect()) > 0
+def test_rows(inputs, name):
+    assert len(QUERIES[name](inputs).collect()) > 0
+
+
+def test_entry_registers_every_query(spark):
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
+    assert set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_entry(spark):

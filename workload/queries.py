@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 from harborline.config import SIGNALS
 from harborline.operators import enrich, nps, product, tickets, usage
 from harborline.operators.notes import marked_notes, note_intelligence, note_signals
+from harborline.functions.lineage import shared_folder
 from harborline.operators.reconcile import match_by_id, reconcile_notes
+from harborline.operators.replies import ReplyStore
 from harborline.plans import details, reports
-from harborline.plans.scoring import score_accounts
+from harborline.plans.scoring import score_accounts, with_rank
+from workload import standins
 from workload.fixtures import Inputs
 
 SIGNAL_NAMES = [name for name, _, _ in SIGNALS]
@@ -130,11 +134,11 @@ def reconcile_fuzzy(i: Inputs) -> DataFrame:
 
 
 def account_scores(i: Inputs) -> DataFrame:
-    return reports.ranked(i.scored).withColumns(
+    return with_rank(i.scored).orderBy("rank").withColumns(
         _double("arr") | {"contract_end_date": F.col("contract_end_date").cast("string")}
     ).select(
         "account_id", "account_name", "arr", "plan_tier", "industry", "region", "csm_name",
-        "contract_end_date", "days_to_renewal", "risk_score", "risk_tier", *SIGNAL_NAMES,
+        "contract_end_date", "days_to_renewal", "risk_score", "risk_tier", *SIGNAL_NAMES, "rank",
     )
 
 
@@ -210,8 +214,43 @@ def translate_comments(i: Inputs) -> DataFrame:
 
 
 def notes_overview(i: Inputs) -> DataFrame:
-    groups = enrich.notes_overview(i.known_notes, stub_client, i.cfg)
-    return groups.agg(F.sum("notes").alias("notes"))
+    parts = enrich.notes_overview(i.known_notes, standins.overview_client, i.cfg)
+    names = F.transform("high_risk_accounts", lambda a: a["account_name"])
+    return parts.select(
+        "part", "first_account_id", "notes", "answered", F.array_join(names, "; ").alias("high_risk_accounts"),
+        _joined("portfolio_themes"), _joined("urgent_actions"),
+    )
+
+
+def _store(i: Inputs, name: str) -> ReplyStore:
+    return ReplyStore(i.spark, f"{shared_folder(i.spark)}/replies-{name}-{uuid.uuid4().hex}", "stand-in")
+
+
+def enrich_notes_stored(i: Inputs) -> DataFrame:
+    """Answers of a stand-in by a reply store; accounts without a valid one get the keywords' facts."""
+    facts = enrich.model_note_intelligence(i.known_notes, i.accounts, standins.note_client, i.cfg, _store(i, "notes"))
+    return facts.select(
+        "account_id", "sentiment", _joined("competitors"), _joined("risk_factors", "; "), "executive_involved",
+        "budget_concern", "renewal_signal", "champion_status", "missed_qbrs", "note_count",
+    )
+
+
+def translate_comments_stored(i: Inputs) -> DataFrame:
+    """The second of two runs over one store: its client refuses to answer, so all comes from the store.
+    ``asked`` is the number of prompts of the first run, ``asked_again`` of the second."""
+    store = _store(i, "translations")
+    enrich.translated_comments(i.nps, standins.translation_client, store)
+    asked = store.asked
+    again = enrich.translated_comments(i.nps, standins.no_client, store)
+    return again.select(
+        "account_id", "ord", "translation", "original_language", "sentiment",
+        F.lit(asked).cast("bigint").alias("asked"), F.lit(store.asked - asked).cast("bigint").alias("asked_again"),
+    )
+
+
+def silent_churn_stored(i: Inputs) -> DataFrame:
+    rows = enrich.silent_churn(details.with_summaries(i.scored), i.nps, standins.churn_client, _store(i, "churn"))
+    return rows.select("account_id", "is_silent_churn", "confidence", "pattern_type", _joined("evidence"), "recommended_investigation")
 
 
 def explanation_fallback(i: Inputs) -> DataFrame:
@@ -289,6 +328,9 @@ QUERIES = {
     "enrich_notes_fallback": enrich_notes_fallback,
     "translate_comments": translate_comments,
     "notes_overview": notes_overview,
+    "enrich_notes_stored": enrich_notes_stored,
+    "translate_comments_stored": translate_comments_stored,
+    "silent_churn_stored": silent_churn_stored,
     "explanation_fallback": explanation_fallback,
     "silent_churn": silent_churn,
     "portfolio_fallback": portfolio_fallback,
