@@ -2,27 +2,27 @@
 
 The model. p(w) = (c(w) + 1) / (N + V + 1) over training tokens, unknown words included, and
 p(w | v) = L c(v w) / c(v) + (1 - L) p(w), or p(w) where the context v does not occur in training.
-p(w | u v) = L c(u v w) / c(u v) + (1 - L) p(w | v), or p(w | v) where u v does not occur in training and
+p(w | u v) = M c(u v w) / c(u v) + (1 - M) p(w | v), or p(w | v) where u v does not occur in training and
 for the first word. All sum to at most one. A text is its words and then one end; the first word's context
-is a start. ``MIX`` is L. ``score`` is of order two, ``trigram_score`` of order three.
+is a start. ``MIX`` is L, ``MIX_THREE`` is M. ``score`` is of order three, ``bigram_score`` of order two.
 
 The work, all of which grows with the corpus and is dealt out evenly:
 
 1. Blocks. Each task packs its texts into blocks of about ``BLOCK_BYTES`` and numbers the
-   distinct words of a block in the order of their hashes. The blocks are written as a table.
+   distinct words of a block in the order of their hashes. The blocks are written as a table bucketed by
+   block, so no later step moves texts.
 2. Words. Every block sends its distinct words with their training counts to shards by ranges of the
    hash, and a shard answers every block with the numbers and corpus counts of its words.
-3. Bigrams. Every block sends its distinct bigrams with their training counts to shards of contexts;
-   contexts with more than a shard's share of the corpus are dealt out by context and word. A shard
-   adds the counts up, builds the trie over the bigrams of the training texts (contexts, monotone
-   pointers, successors, quantised log probabilities), maps it into memory, and answers every block
-   with the codes of its bigrams by successor searches relative to their contexts.
-   It answers also with the bigrams' numbers in the trie and their counts.
-4. Trigrams. The same once more, one level up: a context is the number of a bigram. Contexts that do not
-   occur in training are not sent.
+3. Questions. Every block sends its distinct bigrams and trigrams with their training counts, as paths of
+   one trie, to the shard of their first word: rising numbers as differences in variable-length bytes. The
+   paths of a first word with more than a shard's share of the corpus are dealt out by the second word too, and
+   the trigrams of two such words by the third.
+4. Trie. A shard adds the counts up, builds the two levels over the training texts (contexts, monotone
+   pointers, successors, quantised log probabilities), maps them into memory, and answers every block with the
+   codes of its bigrams and trigrams by successor searches relative to their contexts.
 5. Scores. Each block scores its texts from the answers.
 
-A block sends a word or bigram once, however common it is, so neither a hot word nor a hot
+A block sends a path once, however common it is, so neither a hot word nor a hot
 pair nor a large group of copies makes a shard large. Texts never leave their block's row.
 
 Tokens: A to Z lower-cased; words are runs of characters other than blank and U+0009 to U+000D.
@@ -45,17 +45,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harborline.llm.elias_fano import BigramTrie
-from harborline.llm.tables import slices, text_of, written
+from harborline.llm.tables import bucketed, slices, text_of
 from harborline.llm.words import mixed
 
 BLOCK_BYTES = 12 * 1024 * 1024
 SHARD_WORDS = 1_500_000
-SHARD_BIGRAMS = 3_000_000
-#: L: the weight of the bigram's share.
+#: Tokens in all for which there is one shard of paths.
+SHARD_TOKENS = 1_500_000
+#: L and M: the weights of the bigram's and of the trigram's share.
 MIX = 0.5
+MIX_THREE = 0.5
 #: Steps of a quantised log10 in one unit.
 STEPS = 2048
 
+U64 = np.uint64
+GOLDEN = U64(0x9E3779B97F4A7C15)
 END = b" "
 words_of = re.compile(rb"[^\x20\x09-\x0D]+").findall
 BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, n_words int, tokens binary, words binary, counts binary"
@@ -122,7 +126,7 @@ def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def blocks(df: DataFrame, held: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     rows = df.select(F.col(id_column).cast("long").alias("id"), held.alias("held"), text_of(text).alias("text"))
-    return written(rows.mapInArrow(packed, BLOCK), "blocks")
+    return bucketed(rows.mapInArrow(packed, BLOCK), "blocks", "block")
 
 
 def _range_shards(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -152,179 +156,253 @@ def ask_words(shards: int):
     return ask
 
 
-def answer_words(shards: int):
-    def answer(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        numbers, counts, asked = _Numbers(), np.zeros(0, np.int64), []
-        for joined, own in zip(group.column("words").to_pylist(), group.column("counts").to_pylist()):
-            ids = np.fromiter(map(numbers.__getitem__, joined.split(b"\n")), np.int64)
-            if len(numbers) > len(counts):
-                counts = np.concatenate([counts, np.zeros(len(numbers), np.int64)])
-            counts[ids] += np.frombuffer(own, np.uint32)  # a block names a word once
-            asked.append(ids)
-        total, distinct = int(counts.sum()), int((counts > 0).sum())
-        n = len(asked)
-        return pa.table({
-            "block": group.column("block"), "shard": group.column("shard"),
-            "ids": _binary(ids.astype(np.uint64) * np.uint64(shards) + np.uint64(shard) for ids in asked),
-            "counts": _binary(counts[ids] for ids in asked),
-            "total": pa.array([total] + [0] * (n - 1), pa.int64()), "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64()),
-        })
-
-    return answer
+def answer_words(group: pa.Table) -> pa.Table:
+    """The numbers, within the shard, and the corpus counts of each block's words."""
+    numbers, counts, asked = _Numbers(), np.zeros(0, np.int64), []
+    for joined, own in zip(group.column("words").to_pylist(), group.column("counts").to_pylist()):
+        ids = np.fromiter(map(numbers.__getitem__, joined.split(b"\n")), np.int64)
+        if len(numbers) > len(counts):
+            counts = np.concatenate([counts, np.zeros(len(numbers), np.int64)])
+        counts[ids] += np.frombuffer(own, np.uint32)  # a block names a word once
+        asked.append(ids)
+    total, distinct = int(counts.sum()), int((counts > 0).sum())
+    n = len(asked)
+    return pa.table({
+        "block": group.column("block"), "shard": group.column("shard"),
+        "ids": _binary(packed_numbers(ids) for ids in asked), "counts": _binary(packed_numbers(counts[ids]) for ids in asked),
+        "total": pa.array([total] + [0] * (n - 1), pa.int64()), "distinct": pa.array([distinct] + [0] * (n - 1), pa.int64()),
+    })
 
 
 class _Known:
-    """A block with the numbers and counts of its words."""
+    """A block with the numbers and counts of its words. Words are renumbered in the order of their corpus
+    numbers, from 1; 0 is the start, in both numberings."""
 
-    def __init__(self, block: pa.Table, answers: pa.Table):
+    def __init__(self, block: pa.Table, answers: pa.Table, shards: int, start_count: int):
         column = lambda c: block.column(c)[0].as_py()
-        self.block, self.n_words = column("block"), column("n_words")
-        self.ids, self.held = column("ids"), np.array(column("held"), bool)
+        self.block, self.ids, self.held = column("block"), column("ids"), np.array(column("held"), bool)
         self.lengths = np.array(column("lengths"), np.int64)
-        self.tokens = np.frombuffer(column("tokens"), np.uint32)
         by_shard = sorted(zip(*(answers.column(c).to_pylist() for c in ("shard", "ids", "counts"))), key=lambda x: x[0])
-        self.numbers = np.concatenate([np.frombuffer(x[1], np.uint64) for x in by_shard])
-        self.counts = np.concatenate([np.frombuffer(x[2], np.int64) for x in by_shard])
-
-    def bigrams(self, inverse: bool = False):
-        """The distinct bigrams as local context and word; the start is one past the words."""
-        starts = np.cumsum(self.lengths) - self.lengths
-        before = np.empty(len(self.tokens), np.uint64)
+        numbers = np.concatenate([unpacked_numbers(x[1]) * U64(shards) + U64(x[0]) for x in by_shard])
+        counts = np.concatenate([unpacked_numbers(x[2]) for x in by_shard]).astype(np.int64)
+        order = np.argsort(numbers)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(1, len(order) + 1)
+        self.tokens = place[np.frombuffer(column("tokens"), np.uint32)]
+        self.numbers = np.concatenate([np.zeros(1, U64), numbers[order] + U64(1)])
+        self.counts = np.concatenate([[start_count], counts[order]])
+        self.train = np.repeat(~self.held, self.lengths)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def paths(self):
+        """The distinct bigrams (first << 32 | second) with the bigram of each token, the tokens that have two
+        words before them, and the distinct trigrams (bigram << 32 | third) with the trigram of each of these."""
+        before = np.empty(len(self.tokens), np.int64)
         before[1:] = self.tokens[:-1]
-        before[starts] = self.n_words
-        return np.unique(before << np.uint64(32) | self.tokens, return_inverse=inverse)
-
-    def train(self) -> np.ndarray:
-        return np.repeat(~self.held, self.lengths)
-
-
-def _asked(known: _Known, pairs: np.ndarray, shards: int, share: int, start_count: int):
-    """Context, word and their numbers, in the order in which they are sent, with the shards' cuts."""
-    context, word = _split(pairs)
-    numbers = np.append(known.numbers + np.uint64(1), np.uint64(0))  # 0 is the start
-    return _dealt(numbers[context], numbers[word], np.append(known.counts, start_count)[context], shards, share)
-
-
-def _split(pairs: np.ndarray):
-    return (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-
-
-def _dealt(v: np.ndarray, w: np.ndarray, totals: np.ndarray, shards: int, share: int):
-    key = mixed(v + np.uint64(0x9E3779B97F4A7C15))
-    hot = totals > share
-    key[hot] = mixed(key[hot] + w[hot])
-    shard = _range_shards(key, shards)
-    order = np.lexsort((w, v, shard))
-    return order, v[order], w[order], totals[order], np.searchsorted(shard[order], np.arange(shards + 1))
-
-
-def _questions(block: int, v, w, totals, cuts, counts) -> pa.Table:
-    """A row for each shard: its contexts with their totals and sizes, the successors and their counts."""
-    top = max(v.max(initial=0), w.max(initial=0))
-    width = np.uint32 if top < np.uint64(2**32 - 2) else np.uint64
-    rows = []
-    for s, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        if a < b:
-            first = np.flatnonzero(np.concatenate([[True], v[a + 1 : b] != v[a : b - 1]]))
-            sizes = np.diff(np.append(first, b - a)).astype(np.uint32)
-            rows.append((s, v[a:b][first].astype(width), totals[a:b][first], sizes, w[a:b].astype(width), counts[a:b]))
-    return pa.table({
-        "shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int64()),
-        "width": pa.array([np.dtype(width).itemsize] * len(rows), pa.int32()),
-        **{c: _binary(r[i + 1] for r in rows) for i, c in enumerate(("contexts", "totals", "sizes", "successors", "counts"))},
-    })
-
-
-def ask_bigrams(shards: int, share: int, start_count: int):
+        before[self.starts] = 0
+        pairs, of_pair = np.unique(before << 32 | self.tokens, return_inverse=True)
+        inside = np.ones(len(self.tokens), bool)
+        inside[self.starts] = False
+        at = np.flatnonzero(inside)
+        triples, of_triple = np.unique(of_pair[at - 1] << 32 | self.tokens[at], return_inverse=True)
+        return pairs, of_pair, at, triples, of_triple
+
+
+def packed_numbers(values: np.ndarray) -> np.ndarray:
+    """Numbers in seven bits a byte, the lowest first; the last byte of a number is below 128."""
+    v = np.asarray(values).astype(U64)
+    sizes, rest = np.ones(len(v), np.int64), v >> U64(7)
+    while rest.any():
+        sizes += rest > 0
+        rest >>= U64(7)
+    first = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        has = np.flatnonzero(sizes > k)
+        out[first[has] + k] = ((v[has] >> U64(7 * k)) & U64(127)).astype(np.uint8) | ((sizes[has] > k + 1).astype(np.uint8) << 7)
+    return out
+
+
+def unpacked_numbers(data: bytes) -> np.ndarray:
+    octets = np.frombuffer(data, np.uint8)
+    last = np.flatnonzero(octets < 128)
+    first = np.concatenate([np.zeros(min(len(last), 1), np.int64), last[:-1] + 1])
+    sizes = last - first + 1
+    out = (octets[first] & 127).astype(U64)
+    for k in range(1, int(sizes.max(initial=0))):
+        has = np.flatnonzero(sizes > k)
+        out[has] |= (octets[first[has] + k] & 127).astype(U64) << U64(7 * k)
+    return out
+
+
+def _steps(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Differences of values that rise within groups; ``new`` are the first places of the groups."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    out[new] = values[new]
+    return out
+
+
+def _summed(steps: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """The inverse of ``_steps``."""
+    sums = np.cumsum(steps)
+    base = np.zeros(len(new), U64)
+    base[1:] = sums[new[1:] - 1]
+    return sums - np.repeat(base, np.diff(np.append(new, len(steps))))
+
+
+class _Dealt:
+    """The paths of a block, dealt out to shards. An entry is a bigram in a shard, with its trigrams there."""
+
+    def __init__(self, known: _Known, pairs: np.ndarray, triples: np.ndarray, shards: int, share: int):
+        first, second = pairs >> 32, pairs & 0xFFFFFFFF
+        hot = known.counts > share
+        key = mixed(known.numbers[first] + GOLDEN)
+        spread = hot[first]
+        key[spread] = mixed(key[spread] + known.numbers[second[spread]])
+        self.split = spread & hot[second]
+        home = _range_shards(key, shards)
+        bigram, third = triples >> 32, triples & 0xFFFFFFFF
+        shard = home[bigram]
+        apart = np.flatnonzero(self.split[bigram])
+        shard[apart] = _range_shards(mixed(key[bigram[apart]] + known.numbers[third[apart]]), shards)
+        # every bigram at home, and split ones wherever their trigrams are
+        more = np.unique(shard[apart] << 32 | bigram[apart])
+        more = more[more >> 32 != home[more & 0xFFFFFFFF]]
+        self.pair = np.concatenate([np.arange(len(pairs)), more & 0xFFFFFFFF])
+        self.shard = np.concatenate([home, more >> 32])
+        self.at_home = np.arange(len(self.pair)) < len(pairs)
+        order = np.argsort(self.pair, kind="stable")
+        small = np.uint16 if shards <= 65536 else np.int64
+        order = order[np.argsort(self.shard[order].astype(small), kind="stable")]
+        self.pair, self.shard, self.at_home = self.pair[order], self.shard[order], self.at_home[order]
+        #: the order in which bigrams at home and trigrams are sent, and answered
+        self.homes = self.pair[self.at_home]
+        self.triples = np.argsort(shard.astype(small), kind="stable")
+        self.triple_shard = shard[self.triples]
+
+
+ASKED = "shard int, block long, contexts binary, totals binary, sizes binary, seconds binary, counts binary, thirds binary, third_counts binary, n_thirds binary"
+ANSWERED = "block long, shard int, codes binary, third_codes binary, split_counts binary"
+STREAMS = ("contexts", "totals", "sizes", "seconds", "counts", "n_thirds", "thirds", "third_counts")
+
+
+def ask_paths(word_shards: int, shards: int, share: int, start_count: int):
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _Known(block, answers)
-        pairs, inverse = known.bigrams(True)
-        counts = np.bincount(inverse[known.train()], minlength=len(pairs)).astype(np.uint32)
-        order, v, w, totals, cuts = _asked(known, pairs, shards, share, start_count)
-        return _questions(known.block, v, w, totals, cuts, counts[order])
+        known = _Known(block, answers, word_shards, start_count)
+        pairs, of_pair, at, triples, of_triple = known.paths()
+        counts = np.bincount(of_pair[known.train], minlength=len(pairs))
+        third_counts = np.bincount(of_triple[known.train[at]], minlength=len(triples))
+        dealt = _Dealt(known, pairs, triples, shards, share)
+        first, second = known.numbers[pairs[dealt.pair] >> 32], known.numbers[pairs[dealt.pair] & 0xFFFFFFFF]
+        word_counts = known.counts[pairs[dealt.pair] >> 32]
+        bigram, third = triples[dealt.triples] >> 32, known.numbers[triples[dealt.triples] & 0xFFFFFFFF]
+        own = 2 * np.where(dealt.at_home, counts[dealt.pair] + 1, 0) + dealt.split[dealt.pair]
+        cuts = np.searchsorted(dealt.shard, np.arange(shards + 1))
+        third_cuts = np.searchsorted(dealt.triple_shard, np.arange(shards + 1))
+        rows = []
+        for s in np.flatnonzero(np.diff(cuts)):
+            e, t = slice(cuts[s], cuts[s + 1]), slice(third_cuts[s], third_cuts[s + 1])
+            u, pair, of = first[e], dealt.pair[e], bigram[t]
+            new = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+            begin, end = np.searchsorted(of, pair), np.searchsorted(of, pair, side="right")
+            total = word_counts[e][new]
+            rows.append((
+                int(s), _steps(u[new], np.zeros(1, np.int64)), np.where(total > share, total, 0), np.diff(np.append(new, len(u))),
+                _steps(second[e], new), own[e], end - begin, _steps(third[t], np.unique(begin[begin < end])), third_counts[dealt.triples[t]],
+            ))
+        return pa.table({
+            "shard": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([known.block] * len(rows), pa.int64()),
+            **{name: _binary(packed_numbers(r[i + 1]) for r in rows) for i, name in enumerate(STREAMS)},
+        }).select([f.split()[0] for f in ASKED.split(", ")])
 
     return ask
 
 
-def _codes(answers: pa.Table, kind: int, order: np.ndarray) -> np.ndarray:
-    """The codes of a level in the order of the block's own distinct pairs."""
-    own = answers.filter(pa.array(answers.column("kind").to_numpy() == kind))
-    by_shard = sorted(zip(*(own.column(c).to_pylist() for c in ("shard", "codes"))), key=lambda x: x[0])
-    codes = np.zeros(len(order), np.uint16)
-    if by_shard:
-        codes[order] = np.concatenate([np.frombuffer(x[1], np.uint16) for x in by_shard])
-    return codes
-
-
-def _nodes(answers: pa.Table, shards: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers, from 1, and the counts of the block's distinct bigrams; 0 where not in training."""
-    own = answers.filter(pa.array(answers.column("kind").to_numpy() == 2))
-    by_shard = sorted(zip(*(own.column(c).to_pylist() for c in ("shard", "nodes", "totals"))), key=lambda x: x[0])
-    nodes, totals = np.zeros(len(order), np.uint64), np.zeros(len(order), np.int64)
-    found = []
-    for shard, places, _ in by_shard:
-        place = np.frombuffer(places, np.uint32).astype(np.uint64)
-        found.append(np.where(place > 0, (place - np.uint64(1)) * np.uint64(shards) + np.uint64(shard + 1), np.uint64(0)))
-    nodes[order] = np.concatenate(found)
-    totals[order] = np.concatenate([np.frombuffer(x[2], np.int64) for x in by_shard])
-    return nodes, totals
-
-
-def _trigrams(known: _Known, inverse: np.ndarray, nodes: np.ndarray):
-    """Places whose context of two words occurs in training, and the distinct trigrams (place of the
-    context among the block's bigrams, and word) with the trigram of each place."""
-    inside = np.ones(len(known.tokens), bool)
-    inside[np.cumsum(known.lengths) - known.lengths] = False
-    at = np.flatnonzero(inside)
-    at = at[nodes[inverse[at - 1]] > 0]
-    return at, *np.unique(inverse[at - 1].astype(np.uint64) << np.uint64(32) | known.tokens[at], return_inverse=True)
-
+def quantised(log10: np.ndarray) -> np.ndarray:
+    """Codes of log10 probabilities from 0 on downwards; 0 stands for none."""
+    return np.clip(np.rint(-log10 * STEPS) + 1, 1, 65535).astype(np.uint16)
 
-def _asked_trigrams(known: _Known, triples: np.ndarray, nodes: np.ndarray, totals: np.ndarray, shards: int, share: int):
-    context, word = _split(triples)
-    return _dealt(nodes[context], known.numbers[word] + np.uint64(1), totals[context], shards, share)
 
+def probability(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, 10.0 ** (-(codes.astype(np.float64) - 1) / STEPS), 0.0)
 
-def ask_trigrams(shards: int, share: int, start_count: int):
-    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _Known(block, answers.filter(pa.array(answers.column("kind").to_numpy() == 1)))
-        pairs, inverse = known.bigrams(True)
-        nodes, totals = _nodes(answers, shards, _asked(known, pairs, shards, share, start_count)[0])
-        at, triples, back = _trigrams(known, inverse, nodes)
-        counts = np.bincount(back[known.train()[at]], minlength=len(triples)).astype(np.uint32)
-        order, v, w, totals, cuts = _asked_trigrams(known, triples, nodes, totals, shards, share)
-        return _questions(known.block, v, w, totals, cuts, counts[order])
 
-    return ask
+class _Asked:
+    """What a block asked of a shard."""
 
+    def __init__(self, streams: tuple[bytes, ...]):
+        contexts, totals, sizes, seconds, own, n_thirds, thirds, third_counts = map(unpacked_numbers, streams)
+        sizes, n_thirds = sizes.astype(np.int64), n_thirds.astype(np.int64)
+        self.first = np.repeat(np.cumsum(contexts), sizes)
+        self.total = np.repeat(totals.astype(np.int64), sizes)
+        self.second = _summed(seconds, np.cumsum(sizes) - sizes)
+        self.split = (own & U64(1)).astype(bool)
+        own = (own >> U64(1)).astype(np.int64)
+        self.at_home, self.counts = own > 0, np.maximum(own - 1, 0)
+        some = np.flatnonzero(n_thirds)
+        self.entry = np.repeat(np.arange(len(n_thirds)), n_thirds)
+        self.third = _summed(thirds, (np.cumsum(n_thirds) - n_thirds)[some]) if len(thirds) else thirds
+        self.third_counts = third_counts.astype(np.int64)
 
-def quantised(log10: np.ndarray) -> np.ndarray:
-    """Codes of log10 probabilities from 0 on downwards; 0 stands for none."""
-    return np.clip(np.rint(-log10 * STEPS) + 1, 1, 65535).astype(np.uint16)
 
+def _places(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows in order, by column, and the place of each row among them."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return [c[new] for c in columns], place
 
-def probability(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes > 0, 10.0 ** (-(codes.astype(np.float64) - 1) / STEPS), 0.0)
 
+def _level(contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> BigramTrie:
+    head = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(contexts) else np.zeros(0, np.int64)
+    return BigramTrie.mapped(contexts[head], np.diff(np.append(head, len(contexts))), successors, codes)
 
-def answer_bigrams(group: pa.Table) -> pa.Table:
-    """The codes of a shard's bigrams with their numbers in the trie, from 1, and their counts."""
-    asked, trie, counts = _answered(group)
-    found = [trie.find(x[0], x[1]) for x in asked]
-    return pa.table({
-        "block": group.column("block"), "shard": group.column("shard"),
-        "codes": _binary(_taken(trie.codes, f) for f in found), "nodes": _binary((f + 1).astype(np.uint32) for f in found),
-        "totals": _binary(_taken(counts, f) for f in found),
-    })
 
+def answer_paths(tokens: int):
+    """``tokens``: all training tokens, the measure of the trigrams of split bigrams."""
+    def answer(group: pa.Table) -> pa.Table:
+        asked = [_Asked(streams) for streams in zip(*(group.column(c).to_pylist() for c in STREAMS))]
+        whole = lambda name: np.concatenate([getattr(a, name) for a in asked])
+        (first, second), place = _places(whole("first"), whole("second"))
+        counts = np.bincount(place, whole("counts"), len(first)).astype(np.int64)
+        total, split = np.zeros(len(first), np.int64), np.zeros(len(first), bool)
+        total[place], split[place] = whole("total"), whole("split")
+        ends = np.append(np.flatnonzero(first[1:] != first[:-1]) + 1, len(first)) if len(first) else np.zeros(0, np.int64)
+        sums = np.diff(np.concatenate([[0], np.cumsum(counts)[ends - 1]]))
+        total = np.where(total > 0, total, np.repeat(sums, np.diff(np.concatenate([[0], ends]))))
+        offset = np.cumsum([0, *(len(a.first) for a in asked)])
+        (bigram, third), third_place = _places(place[np.concatenate([a.entry + o for a, o in zip(asked, offset)])], whole("third"))
+        third_counts = np.bincount(third_place, whole("third_counts"), len(bigram)).astype(np.int64)
+        trained = third_counts > 0
+        bigram, third, third_counts = bigram[trained], third[trained], third_counts[trained]
+        kept = counts > 0
+        kept[bigram] = True
+        number = np.cumsum(kept) - 1
+        log = np.log10(MIX * np.maximum(counts, 1) / np.maximum(total, 1))
+        codes = np.where(counts > 0, quantised(log), np.uint16(0)).astype(np.uint16)
+        seconds = _level(first[kept], second[kept], codes[kept])
+        measure = np.where(split[bigram], tokens, counts[bigram])
+        thirds = _level(number[bigram].astype(U64), third, quantised(np.log10(MIX_THREE * third_counts / np.maximum(measure, 1))))
+        split_counts = counts[kept]
+        answers = []
+        for a in asked:
+            found = seconds.find(a.first, a.second)
+            of_third = found[a.entry]
+            third_codes = np.zeros(len(a.entry), np.uint16)
+            known = np.flatnonzero(of_third >= 0)
+            third_codes[known] = thirds.lookup(of_third[known].astype(U64), a.third[known])
+            home = found[a.at_home]
+            answers.append((_taken(seconds.codes, home), third_codes, packed_numbers(_taken(split_counts, found[a.at_home & a.split]))))
+        return pa.table({
+            "block": group.column("block"), "shard": group.column("shard"),
+            **{name: _binary(x[i] for x in answers) for i, name in enumerate(("codes", "third_codes", "split_counts"))},
+        })
 
-def answer_trigrams(group: pa.Table) -> pa.Table:
-    asked, trie, _ = _answered(group)
-    return pa.table({
-        "block": group.column("block"), "shard": group.column("shard"),
-        "codes": _binary(trie.lookup(x[0], x[1]) for x in asked),
-    })
+    return answer
 
 
 def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -332,61 +410,45 @@ def _taken(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.append(values, values.dtype.type(0))[at]
 
 
-def _answered(group: pa.Table):
-    """What the blocks asked of a shard, the trie over all training counts, and the counts by number."""
-    asked = []
-    columns = ("width", "contexts", "totals", "sizes", "successors", "counts")
-    for width, contexts, total, sizes, successors, counts in zip(*(group.column(c).to_pylist() for c in columns)):
-        kind = np.uint32 if width == 4 else np.uint64
-        v = np.repeat(np.frombuffer(contexts, kind).astype(np.uint64), np.frombuffer(sizes, np.uint32))
-        t = np.repeat(np.frombuffer(total, np.int64), np.frombuffer(sizes, np.uint32))
-        asked.append((v, np.frombuffer(successors, kind).astype(np.uint64), np.frombuffer(counts, np.uint32), t))
-    trained = [c > 0 for _, _, c, _ in asked]
-    v, w, c, t = (np.concatenate([x[i][m] for x, m in zip(asked, trained)]) for i in range(4))
-    order = np.lexsort((w, v))
-    v, w, c, t = v[order], w[order], c[order].astype(np.int64), t[order]
-    new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])])) if len(v) else np.zeros(0, np.int64)
-    counts = np.add.reduceat(c, new) if len(new) else c
-    v, w, t = v[new], w[new], t[new]
-    codes = quantised(np.log10(MIX * counts / t))
-    head = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else new
-    return asked, BigramTrie.mapped(v[head], np.diff(np.append(head, len(v))), w, codes), counts
-
+SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bigram_score double"
 
-SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, trigram_score double"
 
-
-def score_block(shards: int, share: int, start_count: int, total: int, distinct: int):
+def score_block(word_shards: int, shards: int, share: int, start_count: int, total: int, distinct: int):
     def scored(block: pa.Table, answers: pa.Table) -> pa.Table:
-        kind = answers.column("kind").to_numpy()
-        known = _Known(block, answers.filter(pa.array(kind == 1)))
-        pairs, inverse = known.bigrams(True)
-        order = _asked(known, pairs, shards, share, start_count)[0]
-        codes = _codes(answers, 2, order)
-        nodes, totals = _nodes(answers, shards, order)
-        at, triples, back = _trigrams(known, inverse, nodes)
-        third = _codes(answers, 3, _asked_trigrams(known, triples, nodes, totals, shards, share)[0])
+        of_words = answers.column("counts").is_valid()
+        known = _Known(block, answers.filter(of_words), word_shards, start_count)
+        pairs, of_pair, at, triples, of_triple = known.paths()
+        dealt = _Dealt(known, pairs, triples, shards, share)
+        mine = answers.filter(answers.column("codes").is_valid())
+        by_shard = sorted(zip(*(mine.column(c).to_pylist() for c in ("shard", "codes", "third_codes", "split_counts"))), key=lambda x: x[0])
+        codes, third_codes = np.zeros(len(pairs), np.uint16), np.zeros(len(triples), np.uint16)
+        codes[dealt.homes] = np.concatenate([np.frombuffer(x[1], np.uint16) for x in by_shard])
+        third_codes[dealt.triples] = np.concatenate([np.frombuffer(x[2], np.uint16) for x in by_shard])
+        of_split = np.ones(len(pairs))
+        of_split[dealt.homes[dealt.split[dealt.homes]]] = np.concatenate([unpacked_numbers(x[3]) for x in by_shard])
         single = (known.counts + 1) / (total + distinct + 1)
-        seen = np.append(known.counts, start_count)[(pairs >> np.uint64(32)).astype(np.int64)] > 0
-        mixed_in = np.where(seen, 1 - MIX, 1.0) * single[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        starts = np.cumsum(known.lengths) - known.lengths
-        second = (mixed_in + probability(codes))[inverse]
-        log = np.log10(second)
-        second[at] = probability(third)[back] + (1 - MIX) * second[at]
-        n = len(known.ids)
+        own = known.tokens
+        mixed_in = np.where(known.counts[pairs >> 32] > 0, 1 - MIX, 1.0) * single[pairs & 0xFFFFFFFF]
+        second = (mixed_in + probability(codes))[of_pair]
+        log_second = np.log10(second)
+        context = of_pair[at - 1]
+        share_of_three = probability(third_codes)[of_triple]
+        apart = dealt.split[context]
+        share_of_three[apart] *= total / np.maximum(of_split[context[apart]], 1)
+        third = second.copy()
+        third[at] = np.where(codes[context] > 0, share_of_three + (1 - MIX_THREE) * second[at], second[at])
+        sums = lambda x: pa.array(np.add.reduceat(x, known.starts))
         return pa.table({
-            "id": pa.array(known.ids, pa.int64()), "held_out": pa.array(known.held),
-            "n_tokens": pa.array(known.lengths), "n_known": pa.array(np.add.reduceat((known.counts > 0).astype(np.int64)[known.tokens], starts)),
-            "train_tokens": pa.array([total] * n, pa.int64()),
-            "base_score": pa.array(np.add.reduceat(np.log10(single)[known.tokens], starts)),
-            "score": pa.array(np.add.reduceat(log, starts)), "trigram_score": pa.array(np.add.reduceat(np.log10(second), starts)),
+            "id": pa.array(known.ids, pa.int64()), "held_out": pa.array(known.held), "n_tokens": pa.array(known.lengths),
+            "n_known": sums((known.counts[own] > 0).astype(np.int64)), "train_tokens": pa.array([total] * len(known.ids), pa.int64()),
+            "base_score": sums(np.log10(single)[own]), "score": sums(np.log10(third)), "bigram_score": sums(log_second),
         })
 
     return scored
 
 
 def score(df: DataFrame, held: Column | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and trigram_score of every row.
+    """id, held_out, n_tokens, n_known, train_tokens, base_score, score and bigram_score of every row.
 
     Texts for which ``held`` is true are scored but not learned from."""
     table = blocks(df, held_out(id_column) if held is None else held, id_column, text)
@@ -397,34 +459,19 @@ def score(df: DataFrame, held: Column | None = None, id_column: str = "doc_id",
     if not sums.tokens:
         return df.sparkSession.createDataFrame([], SCORES)
     word_shards = sums.words // SHARD_WORDS + 1
-    numbers = written(
+    numbers = bucketed(
         table.select("block", "words", "counts").mapInArrow(ask_words(word_shards), "shard int, block long, words binary, counts binary")
-        .groupBy("shard").applyInArrow(answer_words(word_shards), "block long, shard int, ids binary, counts binary, total long, distinct long"),
-        "words",
+        .groupBy("shard").applyInArrow(answer_words, "block long, shard int, ids binary, counts binary, total long, distinct long"),
+        "words", "block",
     )
     totals = numbers.agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
-    shards = sums.tokens // SHARD_BIGRAMS + 1
-    share = sums.tokens // (4 * shards)
-    packed_texts = table.select("block", "ids", "held", "lengths", "n_words", "tokens")
+    shards = sums.tokens // SHARD_TOKENS + 1
+    settings = (word_shards, shards, sums.tokens // (4 * shards), sums.trained)
+    texts = table.select("block", "ids", "held", "lengths", "tokens").groupBy("block")
     known = numbers.select("block", "shard", "ids", "counts")
-    settings = (shards, share, sums.trained)
-    asked = "shard int, block long, width int, contexts binary, totals binary, sizes binary, successors binary, counts binary"
-    bigrams = written(
-        packed_texts.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(ask_bigrams(*settings), asked)
-        .groupBy("shard").applyInArrow(answer_bigrams, "block long, shard int, codes binary, nodes binary, totals binary"),
-        "bigrams",
-    )
-
-    def of_kind(answers: DataFrame, kind: int) -> DataFrame:
-        return answers.withColumn("kind", F.lit(kind))
-
-    answers = of_kind(known, 1).unionByName(of_kind(bigrams, 2), allowMissingColumns=True)
-    trigrams = (
-        packed_texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_trigrams(*settings), asked)
-        .groupBy("shard").applyInArrow(answer_trigrams, "block long, shard int, codes binary")
-    )
-    answers = answers.unionByName(of_kind(trigrams, 3), allowMissingColumns=True)
-    return (
-        packed_texts.groupBy("block").cogroup(answers.groupBy("block"))
-        .applyInArrow(score_block(*settings, totals.total, totals.distinct), SCORES)
+    answers = (
+        texts.cogroup(known.groupBy("block")).applyInArrow(ask_paths(*settings), ASKED)
+        .groupBy("shard").applyInArrow(answer_paths(totals.total), ANSWERED)
     )
+    both = known.unionByName(answers, allowMissingColumns=True)
+    return texts.cogroup(both.groupBy("block")).applyInArrow(score_block(*settings, totals.total, totals.distinct), SCORES)

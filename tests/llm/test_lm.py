@@ -42,6 +42,11 @@ def test_trie():
     assert BigramTrie.mapped(none, none.astype(int), none, none.astype(np.uint16)).lookup(asked[:, 0], asked[:, 1]).tolist() == [0] * len(asked)
 
 
+@pytest.mark.parametrize("values", [[], [0], [127, 128, 0, 2**14, 2**40, 1], list(range(0, 70000, 7))])
+def test_packed_numbers(values):
+    assert lm.unpacked_numbers(lm.packed_numbers(np.array(values, np.uint64)).tobytes()).tolist() == values
+
+
 def brute(rows):
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
     tokens = [[*re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower()), None] for _, t in rows]
@@ -68,7 +73,7 @@ def check(found, want):
     for f, w in zip(found, want):
         assert f[:5] == w[:5]
         assert f[5] == pytest.approx(w[5], abs=1e-6)
-        assert f[6] == pytest.approx(w[6], abs=f[2] * 0.5 / lm.STEPS + 1e-6)
+        assert f[7] == pytest.approx(w[6], abs=f[2] * 0.5 / lm.STEPS + 1e-6)
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -76,7 +81,7 @@ def test_query_by_brute_force(spark, monkeypatch, small):
     if small:  # many blocks, many shards, hot contexts dealt out by word
         monkeypatch.setattr(lm, "BLOCK_BYTES", 30_000)
         monkeypatch.setattr(lm, "SHARD_WORDS", 5_000)
-        monkeypatch.setattr(lm, "SHARD_BIGRAMS", 5_000)
+        monkeypatch.setattr(lm, "SHARD_TOKENS", 5_000)
     path = "/root/testdata/sf0.001"
     check(QUERIES["op2_lm_score"](spark, path).collect(), brute(texts(documents(spark, path))))
 
@@ -114,7 +119,7 @@ def brute_trigrams(rows):
             p = (single[w] + 1) / below
             p = lm.MIX * pairs[v, w] / contexts[v] + (1 - lm.MIX) * p if contexts[v] else p
             seen = pairs[t[i - 2], v] if i > 1 else 0
-            score += math.log10(lm.MIX * triples[t[i - 2], v, w] / seen + (1 - lm.MIX) * p if seen else p)
+            score += math.log10(lm.MIX_THREE * triples[t[i - 2], v, w] / seen + (1 - lm.MIX_THREE) * p if seen else p)
         out.append(score)
     return out
 
@@ -123,15 +128,15 @@ def brute_trigrams(rows):
 def test_order_three_by_brute_force(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(lm, "BLOCK_BYTES", 30_000)
-        monkeypatch.setattr(lm, "SHARD_BIGRAMS", 5_000)
+        monkeypatch.setattr(lm, "SHARD_TOKENS", 5_000)
     rows = texts(documents(spark, "/root/testdata/sf0.001"))
     found = {r.doc_id: r for r in QUERIES["op2_lm_score"](spark, "/root/testdata/sf0.001").collect()}
     for (i, _), want in zip(rows, brute_trigrams(rows), strict=True):
-        assert found[i].trigram_score == pytest.approx(want, abs=found[i].n_tokens * 1.0 / lm.STEPS + 1e-6)
+        assert found[i].score == pytest.approx(want, abs=found[i].n_tokens * 1.0 / lm.STEPS + 1e-6)
 
 
 def test_words_before_the_last_count(spark):
     """Two texts that differ only two words before a word have the same bigrams, but not the same trigrams."""
     rows = [(i, "a b c" if i % 2 else "x b d") for i in range(40)] + [(100, "a b d"), (101, "x b d")]
     found = {r.id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") >= 100).collect()}
-    assert found[101].trigram_score > found[100].trigram_score + 0.2
+    assert found[101].score > found[100].score + 0.2
