@@ -8,6 +8,8 @@ row over to the next piece. No task ever sorts a whole heavy key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,30 +92,33 @@ def with_positions(
     )
 
 
-def with_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """Adds the position of each row across the scanned files (path, then offset).
+def with_file_order(scans: DataFrame | list[DataFrame], name: str = "ord", file: str | None = None) -> DataFrame:
+    """Adds the position of each row across the scanned files (path, then offset), and the path too
+    where ``file`` names its column. Several scans of different files are united by column name.
 
-    Must be applied to a file scan. Rows of one input split are numbered
+    Must be applied to file scans. Rows of one input split are numbered
     consecutively by Spark; one row per split gives each split its starting
     position. That table is broadcast while it is known to be short."""
+    scans = scans if isinstance(scans, list) else [scans]
     split = ("_path", "_start")
-    marked = df.withColumns({
-        "_path": F.col("_metadata.file_path"),
-        "_start": F.col("_metadata.file_block_start"),
-        "_row": F.monotonically_increasing_id(),
-    })
+    marked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [
+        df.withColumns({
+            "_path": F.col("_metadata.file_path"),
+            "_start": F.col("_metadata.file_block_start"),
+            "_row": F.monotonically_increasing_id(),
+        }) for df in scans
+    ])
     splits = marked.groupBy(*split).agg(F.min("_row").alias("_low"), F.count(F.lit(1)).alias("_n"))
     running = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_offset", F.coalesce(F.sum("_n").over(running), F.lit(0))).drop("_n")
     # A file is cut into pieces of a task's size and one remainder.
-    most_splits = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    most_splits = sum(len(df.inputFiles()) + df.rdd.getNumPartitions() for df in scans)
     if most_splits <= MAX_BROADCAST_SPLITS:
         starts = F.broadcast(starts)
-    return (
-        marked.join(starts, list(split))
-        .withColumn(name, F.col("_offset") + F.col("_row") - F.col("_low"))
-        .drop(*split, "_row", "_low", "_offset")
-    )
+    placed = marked.join(starts, list(split)).withColumn(name, F.col("_offset") + F.col("_row") - F.col("_low"))
+    if file is not None:
+        placed = placed.withColumn(file, F.col("_path"))
+    return placed.drop(*split, "_row", "_low", "_offset")
 
 
 def latest(value: Column, *order: str) -> Column:

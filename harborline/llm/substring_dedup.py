@@ -11,9 +11,10 @@ starts earlier: in a document of a smaller id, or earlier in the same document.
 3. First places. Every block sends, for each distinct window with a repeated anchor, a hash and its first
    place in the block to the shard of the anchor; the shard answers where each window occurs first.
    So a passage goes out once a block, however often the block repeats it. This finds candidates only.
-4. Reference shards. The passages that hold the first places are cut out of their blocks and sent to the
-   blocks that may repeat them, each once: they are the reference shard of that block, and a passage
-   that many documents repeat is thereby broadcast to just the blocks in need of it.
+4. Reference shards. The distinct passages that hold first places are cut out of their blocks, each once, and joined
+   to the blocks that may repeat them: they are the reference shard of that block, and a passage
+   that many documents repeat is thereby broadcast to just the blocks in need of it (an ordinary join, whose hot
+   passages adaptive execution splits).
 5. Automata. A block builds suffix automata over its reference shard, at most ``REFERENCE_WORDS`` words at a time,
    in the order of the documents, so each state knows its first place. It streams its documents through them
    for matching statistics, capped at the window's length: where a match is that long and its first place is earlier,
@@ -43,14 +44,15 @@ from harborline.llm.words import mixed
 LENGTH = 20
 GRAM = 8
 PLACES = LENGTH - GRAM + 1
-BLOCK_BYTES = 2 * 1024 * 1024
-#: Bytes or windows that are hashed at once.
-STEP = 1 << 22
+BLOCK_BYTES = 1024 * 1024
+#: Windows that are worked on at once, and bytes that are hashed at once.
+STEP = 1 << 20
+HASHED_BYTES = 1 << 18
 #: Anchors in a shard, and words in all for which one shard is made.
 SHARD_WORDS = 2_500_000
 #: Words in one automaton, and windows in one piece.
-REFERENCE_WORDS = 50_000
-PIECE_WINDOWS = 20_000
+REFERENCE_WORDS = 20_000
+PIECE_WINDOWS = 10_000
 
 BLOCK = "block long, ids array<long>, data binary, n_words long"
 RESULT = "id long, n_words long, n_removed long, starts array<long>, ends array<long>, kept string"
@@ -59,6 +61,8 @@ WINDOWS = "shard int, block long, ids binary, places binary, sizes binary, width
 FIRSTS = "block long, places binary, sizes binary, t_blocks binary, t_places binary, t_ids binary"
 PIECES = "block long, word long, windows long, t_block long, t_place long, bytes long, t_id long, asks boolean"
 
+PASSAGES = "t_block long, t_place long, bytes long, passage binary"
+
 U64 = np.uint64
 _GOLDEN = U64(0x9E3779B97F4A7C15)
 _LETTERS = mixed(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95))
@@ -113,9 +117,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     out = np.empty(len(starts), U64)
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASHED_BYTES, side="right")))
         a, b = starts[i], ends[j - 1]
-        up, down = _powers(max(b - a, STEP if len(data) > STEP else len(data)))
+        up, down = _powers(max(b - a, HASHED_BYTES))
         sums = np.zeros(b - a + 1, U64)
         np.cumsum(_LETTERS[data[a:b]] * up[: b - a], out=sums[1:])
         out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * down[starts[i:j] - a]
@@ -343,6 +347,14 @@ def find_pieces(block: pa.Table, answers: pa.Table) -> pa.Table:
     )
 
 
+def cut_passages(block: pa.Table, asked: pa.Table) -> pa.Table:
+    """The distinct passages that other blocks ask of a block."""
+    data = block.column("data")[0].as_py()
+    places, sizes = asked.column("t_place"), asked.column("bytes")
+    cut = [data[a : a + n] for a, n in zip(places.to_pylist(), sizes.to_pylist())]
+    return pa.table([asked.column("t_block"), places, sizes, pa.array(cut, pa.binary())], names=["t_block", "t_place", "bytes", "passage"])
+
+
 class SuffixAutomaton:
     """The suffix automaton of passages of words; every state knows where its strings first end.
 
@@ -501,9 +513,9 @@ def remove_passages(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     )
     pieces = written(texts.cogroup(firsts.groupBy("block")).applyInArrow(find_pieces, PIECES), "pieces")
     key = ["t_block", "t_place", "bytes"]
-    passages = (
-        pieces.where("asks").select("block", *key).join(table.select(F.col("block").alias("t_block"), "data"), "t_block")
-        .select("block", *key, F.expr("substring(data, cast(t_place + 1 as int), cast(bytes as int))").alias("passage"))
-    )
+    asked = pieces.where("asks").select("block", *key)
+    sources = table.select(F.col("block").alias("t_block"), "data").groupBy("t_block")
+    cut = sources.cogroup(asked.select(*key).distinct().groupBy("t_block")).applyInArrow(cut_passages, PASSAGES)
+    passages = asked.join(cut, key).select("block", *key, "passage")
     found = pieces.drop("asks").unionByName(passages, allowMissingColumns=True)
     return texts.cogroup(found.groupBy("block")).applyInArrow(without_repeats, RESULT)

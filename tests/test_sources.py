@@ -1,8 +1,10 @@
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
 from harborline.operators.nps import nps_summary
-from harborline.sources.readers import read_all, read_csv, read_usage
+from harborline.sources.readers import read_accounts, read_all, read_csv, read_lenient, read_nps, read_tickets, read_usage
 from harborline.sources.sinks import write_by_account, write_scores
 from tests.conftest import by_key
 
@@ -82,12 +84,64 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "rows")).count() == 3
 
 
-def test_files_of_another_column_order_raise(spark, tmp_path):
-    """Spark matches columns by position; a header in another order must not pass unseen."""
-    (tmp_path / "a.csv").write_text("account_id,month,value\n1,2024-01,5\n")
-    (tmp_path / "b.csv").write_text("account_id,month,value\n2,2024-02,6\n")
-    same = read_csv(spark, str(tmp_path))
-    assert same.count() == 2 and {r["value"] for r in same.select("value").collect()} == {"5", "6"}
-    (tmp_path / "c.csv").write_text("month,account_id,value\n2024-03,3,7\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        read_csv(spark, str(tmp_path)).collect()
+def test_files_are_read_by_their_own_headers(spark, tmp_path):
+    """Other orders, missing optional columns, additional ones, packed files; positions over all files."""
+    (tmp_path / "a.csv").write_text("account_id,month,api_calls,content_entries_created,active_users,workflows_triggered,sdk_version\n1,2026-01,5,1,2,3,v4\n1,2026-02,6,1,2,3,\n")
+    (tmp_path / "b.csv").write_text("active_users,month,account_id,workflows_triggered,api_calls,content_entries_created\n20,2026-03,2,30,50,10\n")
+    (tmp_path / "c d.csv").write_text("\ufeffmonth,account_id,extra,api_calls,\"content_entries_created\",active_users,workflows_triggered,sdk_version\n2026-04,3,x,7,8,9,10,v5\n")
+    (tmp_path / "e.csv").write_text("")
+    with gzip.open(tmp_path / "f.csv.gz", "wt") as file:
+        file.write("active_users,month,account_id,workflows_triggered,api_calls,content_entries_created\n21,2026-05,2,31,51,11\n")
+    rows = read_usage(spark, str(tmp_path)).orderBy("ord").collect()
+    found = [(r.ord, r.account_id, r.month, r.api_calls, r.content_entries_created, r.active_users, r.workflows_triggered, r.sdk_version) for r in rows]
+    assert found == [
+        (0, 1, "2026-01", 5, 1, 2, 3, "v4"), (1, 1, "2026-02", 6, 1, 2, 3, None), (2, 2, "2026-03", 50, 10, 20, 30, "unknown"),
+        (3, 3, "2026-04", 7, 8, 9, 10, "v5"), (4, 2, "2026-05", 51, 11, 21, 31, "unknown"),
+    ]
+    assert [r.extra for r in rows] == [None, None, None, "x", None]
+
+
+def test_headers_that_cannot_be_read_raise(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("account_id,verbatim_comment\n1,x\n")
+    with pytest.raises(ValueError, match="lacks score"):
+        read_nps(spark, str(tmp_path))
+    (tmp_path / "n.csv").write_text("account_id,score,score\n1,2,3\n")
+    with pytest.raises(ValueError, match="twice"):
+        read_nps(spark, str(tmp_path))
+
+
+BAD = {
+    "accounts": ("account_id,account_name,plan_tier,arr,contract_end_date\n1,a,Pro,5.5,2026-07-01\nx,b,Pro,many,2026-13-01\n3,c,Pro,,\n4,d\n5,e,Pro,1,2026-07-01,more\n",
+                 [(1, "account_id", "x", "not a bigint"), (1, "arr", "many", "not a decimal"), (1, "contract_end_date", "2026-13-01", "not a date"),
+                  (3, None, "4,d", "does not fit the header"), (4, None, "5,e,Pro,1,2026-07-01,more", "does not fit the header")], [1, 3]),
+    "usage": ("account_id,month,api_calls,content_entries_created,active_users,workflows_triggered\n1,2026-01,n/a,bad,1,1\n2,26/01,1,1,1,1\n",
+              [(1, "month", "26/01", "not a month")], [1]),
+    "tickets": ("account_id,created_date,priority,status,resolution_time_hours\n1,2026-05-01 10:00:00,p1,open,\n2,soon,p1,open,2\n3,,p1,open,long\n4,,p2,open,1.5\n",
+                [(1, "created_date", "soon", "not a timestamp"), (2, "resolution_time_hours", "long", "not a double")], [1, 4]),
+    "nps": ("account_id,score\n1,9\n2,ten\n3,\n", [(1, "score", "ten", "not a double")], [1, 3]),
+}
+STRICT = {"accounts": read_accounts, "usage": read_usage, "tickets": read_tickets, "nps": read_nps}
+
+
+@pytest.mark.parametrize("kind", sorted(BAD))
+def test_lenient_reading_sets_bad_records_aside(spark, tmp_path, kind):
+    text, bad, ids = BAD[kind]
+    (tmp_path / "in.csv").write_text(text)
+    rows, rejects = read_lenient(spark, kind, str(tmp_path))
+    assert sorted(r.account_id for r in rows.collect()) == ids
+    assert rows.where("account_id = 1").count() == 1  # a pushed filter meets no bad value
+    found = rejects.collect()
+    assert sorted((r.position, r.column or "", r.raw_text, r.reason) for r in found) == sorted((p, c or "", t, w) for p, c, t, w in bad)
+    assert all(r.file.endswith("in.csv") for r in found)
+    assert rows.count() + len({r.position for r in found}) == text.count("\n") - 1
+    if any(c for _, c, _, _ in bad):
+        with pytest.raises(Exception):
+            STRICT[kind](spark, str(tmp_path)).collect()
+
+
+def test_lenient_reading_of_good_files_equals_strict_reading(spark, folder):
+    for kind in BAD:
+        rows, rejects = read_lenient(spark, kind, folder[kind])
+        strict = STRICT[kind](spark, folder[kind])
+        assert rejects.count() == 0
+        assert sorted(map(str, rows.select(*strict.columns).collect())) == sorted(map(str, strict.collect()))
