@@ -110,6 +110,21 @@ TICKET_EVENT_LINKS = (
     ("custom field rendering issue", "custom_field_xss_patch"),
 )
 
+# What is said of a version that a product change hits; {version} is the version.
+VERSION_IMPACT_DETAILS = {
+    "sdk_deprecated": (
+        "Running {version} — SDK v3.x is deprecated. Security patches ended April 30, 2026. "
+        "REST API v2 endpoints sunset. Must migrate to v4.2.3+ immediately."
+    ),
+    "sdk_risky_version": (
+        "Running {version} — hit by locale fallback bug (fixed in v4.2.3) and affected by v4.2.0 "
+        "breaking change (response.entry → response.data). Upgrade recommended."
+    ),
+    "rest_api_sunset": "REST Content Delivery API v2 sunset April 30, 2026",
+    "breaking_change_impact": "SDK v4.2.0 changed response envelope (entry → data). Must update API integrations.",
+    "locale_fallback_bug": "Missing locale fallback null fix (available in v4.2.3)",
+}
+
 # Call-note header formats.
 NOTE_SEPARATOR = "---"
 NOTE_FILE_HEADER = "CSM Call Notes"

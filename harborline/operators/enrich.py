@@ -137,6 +137,15 @@ def account_texts(notes: DataFrame, cfg: Config = Config()) -> DataFrame:
     return packed_texts(notes.where(F.col("matched_account_id").isNotNull()), cfg.prompt_characters, by_account=True)
 
 
+def note_prompt() -> Column:
+    """The prompt of a row of ``account_texts`` with its account's columns."""
+    return p.fill(
+        p.NOTE_TASK, account_name=F.col("account_name"), account_id=F.col("account_id"),
+        plan_tier=F.col("plan_tier"), arr=money_text(F.col("arr")),
+        contract_end=F.col("contract_end_date"), note_text=F.col("note_text"),
+    )
+
+
 def model_note_intelligence(
     notes: DataFrame, accounts: DataFrame, factory, cfg: Config = Config(),
     store: ReplyStore | None = None,
@@ -153,11 +162,7 @@ def model_note_intelligence(
         accounts.select("account_id", "account_name", "plan_tier", "arr", "contract_end_date"),
         "account_id",
     )
-    prompt = p.fill(
-        p.NOTE_TASK, account_name=F.col("account_name"), account_id=F.col("account_id"),
-        plan_tier=F.col("plan_tier"), arr=money_text(F.col("arr")),
-        contract_end=F.col("contract_end_date"), note_text=F.col("note_text"),
-    )
+    prompt = note_prompt()
     keys = ["account_id", "part", "note_count", "first_ord"]
     asked = with_replies(texts.select(*keys, prompt.alias("_text")), F.col("_text"), factory, store=store)
     answered = asked.withColumn("m", _parsed(INTELLIGENCE_SCHEMA))

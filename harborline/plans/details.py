@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harborline.functions.digest import sum_digest
 from harborline.functions.num import fixed_text, money_text
 from harborline.operators.tickets import ticket_timeline
 from harborline.operators.usage import usage_series
@@ -122,3 +123,9 @@ def account_bundle(
         section(nps, "nps", F.col("ord")), section(notes_by_account, "notes", F.col("ord")),
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def bundle_digests(bundle: DataFrame, text: Column) -> DataFrame:
+    """account_id, section, rows and an order-free digest of ``text`` over the rows of each account and
+    section, for comparing bundles without moving them."""
+    return bundle.groupBy("account_id", "section").agg(F.count(F.lit(1)).alias("rows"), sum_digest(text).alias("digest"))

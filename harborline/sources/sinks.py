@@ -10,8 +10,15 @@ def write_scores(scored: DataFrame, path: str, mode: str = "overwrite") -> None:
     scored.write.mode(mode).partitionBy("risk_tier").parquet(path)
 
 
-def write_by_account(rows: DataFrame, path: str, order: list[str], mode: str = "overwrite") -> None:
-    """Detail rows as parquet, range-partitioned by account and ``order``. A point
-    lookup then reads few files, and one heavy account spans several of them."""
+def write_by_account(
+    rows: DataFrame, path: str, order: list[str], mode: str = "overwrite", row_group_bytes: int = 8 * 1024 * 1024
+) -> None:
+    """Detail rows as parquet, range-partitioned by account and ``order``, with statistics and a bloom
+    filter of the account in every row group. A point lookup then opens few files and reads one row group of
+    an ordinary account, and one heavy account spans several files."""
     ordered = ["account_id", *order]
-    rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered).write.mode(mode).parquet(path)
+    (
+        rows.repartitionByRange(*ordered).sortWithinPartitions(*ordered).write.mode(mode)
+        .option("parquet.bloom.filter.enabled#account_id", "true").option("parquet.block.size", row_group_bytes)
+        .parquet(path)
+    )

@@ -126,9 +126,13 @@ class Inputs:
     def usage(self) -> DataFrame:
         return clean_usage(self._raw("fx_usage"))
 
+    @cached_property
+    def raw_tickets(self) -> DataFrame:
+        return self._raw("fx_tickets")
+
     @cached_property
     def tickets(self) -> DataFrame:
-        return clean_tickets(self._raw("fx_tickets"))
+        return clean_tickets(self.raw_tickets)
 
     @cached_property
     def nps(self) -> DataFrame:

@@ -305,15 +305,21 @@ _COUNTS = (
     "total_tickets, recent_tickets, older_tickets, p1_count, p2_count, recent_p1_count, open_count, "
     "escalated_count, recurring_count, blocking_count, linked_tickets, volume_change, avg_resolution_hours"
 )
+
+
+def _detail(kind: str) -> str:
+    return f"replace({_quote(c.VERSION_IMPACT_DETAILS[kind])}, '{{version}}', sdk_version)"
+
+
 _IMPACTS = f"""
-SELECT sdk_version, accounts, type, severity FROM (
+SELECT sdk_version, accounts, type, severity, detail FROM (
   SELECT latest_sdk AS sdk_version, count(*) AS accounts FROM uh GROUP BY latest_sdk) v,
 LATERAL (
-  SELECT 'sdk_deprecated' AS type, 'critical' AS severity, sdk_version IN {_DEP} AS hit
-  UNION ALL SELECT 'sdk_risky_version', 'high', sdk_version = 'v4.0.0'
-  UNION ALL SELECT 'rest_api_sunset', 'critical', starts_with(sdk_version, 'v3')
-  UNION ALL SELECT 'breaking_change_impact', 'medium', sdk_version IN ('v4.0.0', 'v4.1.0')
-  UNION ALL SELECT 'locale_fallback_bug', 'medium', {_below_fix('sdk_version')}) i
+  SELECT 'sdk_deprecated' AS type, 'critical' AS severity, {_detail('sdk_deprecated')} AS detail, sdk_version IN {_DEP} AS hit
+  UNION ALL SELECT 'sdk_risky_version', 'high', {_detail('sdk_risky_version')}, sdk_version = 'v4.0.0'
+  UNION ALL SELECT 'rest_api_sunset', 'critical', {_detail('rest_api_sunset')}, starts_with(sdk_version, 'v3')
+  UNION ALL SELECT 'breaking_change_impact', 'medium', {_detail('breaking_change_impact')}, sdk_version IN ('v4.0.0', 'v4.1.0')
+  UNION ALL SELECT 'locale_fallback_bug', 'medium', {_detail('locale_fallback_bug')}, {_below_fix('sdk_version')}) i
 WHERE hit"""
 _EVENT_ROWS = ", ".join("(" + ", ".join(_quote(x) for x in e) + ")" for e in c.CHANGELOG_EVENTS)
 _EVENTS = f"""
@@ -397,6 +403,30 @@ def _found(names) -> str:
     return f"array_to_string(list_filter([{listed}], lambda x: x IS NOT NULL), ', ')"
 
 
+def _fields(columns: str) -> str:
+    """Columns, split at top-level commas, as text joined by bars; NULL is a tilde."""
+    parts, depth = [""], 0
+    for ch in columns:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return " || '|' || ".join(f"coalesce(CAST({x.strip()} AS VARCHAR), '~')" for x in parts)
+
+
+def _prompt(template: str, **values: str) -> str:
+    """A template filled in by SQL."""
+    import re
+
+    pieces = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"coalesce({values[x]}, '')" if k % 2 else _quote(x) for k, x in enumerate(pieces))
+
+
+_PAGE_HEADER = (
+    f"account_name, risk_tier, {_text('risk_score', 3)}, {_money('arr')}, plan_tier, days_to_renewal, csm_name, region, decline_severity, "
+    f"{_text('overall_change * 100', 1)} || '%', trend_sdk, usage_summary, ticket_summary, nps_summary, csm_intelligence, product_risk_summary"
+)
 _PROMPT_FRAME = len(prompts.NOTES_OVERVIEW_TASK) - len("{notes}")
 _OVERVIEW = f"""
 SELECT part, min(account_id) AS first_account_id, count(*) AS notes, true AS answered,
@@ -466,13 +496,45 @@ LEFT JOIN (SELECT event_version, title AS t, sum(accounts) AS n FROM ({_EVENTS})
     "sdk_impact": f"SELECT account_id, account_name AS \"Account\", current_sdk AS \"SDK\", CASE WHEN is_deprecated_sdk THEN 'Deprecated' ELSE 'Risky' END AS \"Risk\", {_money('arr')} AS \"ARR\", days_to_renewal || ' days' AS \"Renewal\", linked_tickets AS \"Linked Tickets\" FROM sc WHERE is_deprecated_sdk OR is_risky_sdk",
     "arr_deprecated": "SELECT CAST(coalesce(sum(arr) FILTER (is_deprecated_sdk), 0) AS DOUBLE) AS arr_on_deprecated, count(*) FILTER (is_deprecated_sdk) AS accounts_on_deprecated FROM sc",
     "cohorts": "SELECT * FROM (SELECT 'silent_churn' AS cohort, account_id, risk_tier, risk_score FROM sc WHERE nps_score >= 7 AND decline_severity IN ('mild', 'moderate', 'severe') UNION ALL SELECT 'sdk_cluster', account_id, risk_tier, risk_score FROM sc WHERE is_deprecated_sdk UNION ALL SELECT 'contradiction', account_id, risk_tier, risk_score FROM sc WHERE contradiction_detected UNION ALL SELECT 'merger', account_id, risk_tier, risk_score FROM sc WHERE list_contains(factors, 'M&A activity') UNION ALL SELECT 'champion_at_risk', account_id, risk_tier, risk_score FROM sc WHERE champion_status = 'at_risk') x",
-    "account_360": """
-SELECT acc.account_id, CAST(1 AS BIGINT) AS account_rows, coalesce(u, 0) AS usage_rows, coalesce(t, 0) AS ticket_rows,
-       coalesce(n, 0) AS nps_rows, coalesce(m, 0) AS note_rows
-FROM acc LEFT JOIN (SELECT account_id, count(*) AS u FROM us GROUP BY 1) a ON a.account_id = acc.account_id
-LEFT JOIN (SELECT account_id, count(*) AS t FROM tk GROUP BY 1) b ON b.account_id = acc.account_id
-LEFT JOIN (SELECT account_id, count(*) AS n FROM np0 GROUP BY 1) d ON d.account_id = acc.account_id
-LEFT JOIN (SELECT true_account_id AS account_id, count(*) AS m FROM fx_notes GROUP BY 1) e ON e.account_id = acc.account_id""",
+    "account_360": f"""
+SELECT account_id, section, count(*) AS rows,
+       sum(('0x' || substr(md5(t), 1, 15))::UBIGINT)::VARCHAR || ':' || sum(('0x' || substr(md5(t), 16, 15))::UBIGINT)::VARCHAR AS digest
+FROM (SELECT account_id, 'account' AS section, {_fields("account_name, arr, plan_tier, industry, csm_name, region, contract_end_date, ord, days_to_renewal, in_renewal_window")} AS t FROM acc
+      UNION ALL SELECT account_id, 'usage', {_fields("ord, month, month_dt, api_calls, active_users, content_entries_created, workflows_triggered, sdk_version")} FROM us
+      UNION ALL SELECT account_id, 'tickets', {_fields("ticket_id, priority, status, resolution_time_hours, subject, description, (resolution_time_hours IS NULL OR coalesce(status IN ('Open', 'Escalated'), false))")} FROM tk
+      UNION ALL SELECT account_id, 'nps', {_fields("ord, score, verbatim_comment, nps_category, is_non_english")} FROM np
+      UNION ALL SELECT true_account_id, 'notes', {_fields("ord, raw_text")} FROM fx_notes) x
+WHERE account_id IN (SELECT account_id FROM acc) GROUP BY account_id, section""",
+    "account_page": f"""
+SELECT section, account_id, t AS text FROM (
+  SELECT 'header' AS section, account_id, {_fields(_PAGE_HEADER)} AS t FROM sm
+  UNION ALL SELECT 'breakdown', account_id, {_fields("place, signal, label, class")}
+    FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY contribution DESC, ord) AS place,
+                 CASE WHEN contribution > 0.1 THEN 'danger' WHEN contribution > 0.05 THEN 'warning' ELSE 'info' END AS class
+          FROM br WHERE contribution > 0) b
+  UNION ALL SELECT 'usage', account_id, {_fields("month, api_calls, active_users, content_entries_created")} FROM up WHERE n >= 4
+  UNION ALL SELECT 'tickets', account_id, {_fields("ticket_id, priority, subject, marker, class")}
+    FROM (SELECT *, CASE WHEN status = 'Resolved' THEN 'circle' ELSE 'x' END AS marker,
+                 CASE priority WHEN 'P1' THEN 'danger' WHEN 'P2' THEN 'warning' WHEN 'P3' THEN 'info' ELSE 'muted' END AS class
+          FROM tk WHERE priority IN ('P1', 'P2', 'P3', 'P4')) m
+  UNION ALL SELECT 'notes', true_account_id, {_fields("ord, raw_text")} FROM fx_notes) x
+WHERE account_id = (SELECT account_id FROM sm ORDER BY CAST({_text('risk_score', 3)} AS DOUBLE) DESC, account_id LIMIT 1)""",
+    "unresolved_tickets": "SELECT resolution_time_hours IS NULL OR coalesce(status IN ('Open', 'Escalated'), false) AS is_unresolved, status, count(*) AS tickets FROM tk GROUP BY ALL",
+    "filtered_view": """
+SELECT show_all, risk_tier AS tier, plan_tier, count(*) AS accounts, CAST(sum(arr) AS DOUBLE) AS arr
+FROM sc, (VALUES (true), (false)) v(show_all)
+WHERE plan_tier IN ('BUILDING', 'MACHINERY') AND (show_all OR days_to_renewal BETWEEN -30 AND 90) GROUP BY ALL""",
+    "note_prompts": f"""
+SELECT account_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS note_count, CAST(length(prompt) AS INT) AS characters, md5(prompt) AS prompt_md5
+FROM (SELECT acc.account_id, {_prompt(prompts.NOTE_TASK, account_name='account_name', account_id='CAST(acc.account_id AS VARCHAR)',
+      plan_tier='plan_tier', arr=_money('arr'), contract_end='CAST(contract_end_date AS VARCHAR)', note_text='raw_text')} AS prompt
+      FROM fx_notes JOIN acc ON acc.account_id = true_account_id) x""",
+    "tickets_lenient": f"""
+SELECT ticket_id, account_id, CAST(CAST(created_date AS DATE) AS VARCHAR) AS created_date, priority, status, subject,
+       CASE WHEN account_id % 2 = 0 THEN description END AS description, NULL AS "column", NULL AS raw_text, NULL AS reason
+FROM tk WHERE account_id % 50 <> 7
+UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'created_date', 'about ' || CAST(CAST(created_date AS DATE) AS VARCHAR), 'not a timestamp'
+FROM tk WHERE account_id % 50 = 7""",
     "account_detail": f"SELECT account_id, account_name, risk_tier, {_text('risk_score', 3)} AS score, {_money('arr')} AS arr, plan_tier, days_to_renewal, csm_name, region, decline_severity, {_text('overall_change * 100', 1)} || '%' AS overall_change, trend_sdk AS sdk_version, total_tickets, p1_count, open_count, recurring_count, nps_score, nps_category, contradiction_detail, competitors, note_count, usage_summary, ticket_summary, nps_summary, csm_intelligence, product_risk_summary FROM sm",
     "enrich_notes_fallback": "SELECT account_id, sentiment, competitors, array_to_string(factors, '; ') AS risk_factors, exec_f AS executive_involved, budget_f AS budget_concern, renewal_signal, champion_status, missed_qbrs, note_count FROM ni WHERE account_id IN (SELECT account_id FROM acc)",
     "translate_comments": "SELECT account_id, ord, verbatim_comment AS translation, 'unknown' AS original_language, 'unknown' AS sentiment FROM np WHERE is_non_english",

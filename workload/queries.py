@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from harborline.operators.notes import marked_notes, note_intelligence, note_sig
 from harborline.functions.lineage import shared_folder
 from harborline.operators.reconcile import match_by_id, reconcile_notes
 from harborline.operators.replies import ReplyStore
-from harborline.plans import details, reports
+from harborline.plans import account_store, details, reports
 from harborline.plans.scoring import score_accounts, with_rank
+from harborline.sources import readers
 from workload import standins
 from workload.fixtures import Inputs
 
@@ -90,7 +92,7 @@ def _latest_versions(i: Inputs) -> DataFrame:
 def version_impacts(i: Inputs) -> DataFrame:
     counted = _latest_versions(i).groupBy("sdk_version").agg(F.count(F.lit(1)).alias("accounts"))
     impacts = F.inline(product.version_impacts(F.col("sdk_version"), i.cfg))
-    return counted.select("sdk_version", "accounts", impacts).drop("detail")
+    return counted.select("sdk_version", "accounts", impacts)
 
 
 def product_risk(i: Inputs) -> DataFrame:
@@ -158,14 +160,92 @@ def _in_view(i: Inputs) -> DataFrame:
     return reports.view(i.scored, i.cfg)
 
 
+#: The fields of each section that the digests of ``account_360`` cover.
+BUNDLE_FIELDS = {
+    "account": ("account_name", "arr", "plan_tier", "industry", "csm_name", "region", "contract_end_date", "ord", "days_to_renewal", "in_renewal_window"),
+    "usage": ("ord", "month", "month_dt", "api_calls", "active_users", "content_entries_created", "workflows_triggered", "sdk_version"),
+    "tickets": ("ticket_id", "priority", "status", "resolution_time_hours", "subject", "description", "is_unresolved"),
+    "nps": ("ord", "score", "verbatim_comment", "nps_category", "is_non_english"),
+    "notes": ("ord", "raw_text"),
+}
+
+
 def account_360(i: Inputs) -> DataFrame:
+    """The bundle's rows and a digest of their fields, by account and section."""
     rows = details.account_bundle(i.accounts, i.usage, i.tickets, i.nps, i.known_notes)
-    def of(section: str, name: str):
-        return F.count_if(F.col("section") == section).alias(name)
-    return rows.groupBy("account_id").agg(
-        of("account", "account_rows"), of("usage", "usage_rows"), of("tickets", "ticket_rows"),
-        of("nps", "nps_rows"), of("notes", "note_rows"),
-    )
+
+    def field(name):
+        value = F.get_json_object("payload", f"$.{name}")
+        # JSON numbers drop zeros at the end.
+        return F.coalesce(value.cast("decimal(18,2)").cast("string") if name == "arr" else value, F.lit("~"))
+
+    def fields(names):
+        return F.concat_ws("|", *map(field, names))
+
+    texts = [F.when(F.col("section") == name, fields(names)) for name, names in BUNDLE_FIELDS.items()]
+    return details.bundle_digests(rows, F.coalesce(*texts))
+
+
+def account_page(i: Inputs) -> DataFrame:
+    """The stored detail page of the account at the head of the ranking."""
+    path = f"{shared_folder(i.spark)}/pages-{uuid.uuid4().hex}"
+    account_store.write_pages(path, i.scored, i.usage, i.tickets, i.known_notes.withColumns({
+        "match_method": F.lit("known"), "match_confidence": F.lit(100.0),
+    }), i.cfg)
+    headers = i.spark.read.parquet(f"{path}/header")
+    first = headers.orderBy(F.desc(F.col("score").cast("double")), "account_id").select("account_id").first()
+    page = account_store.read_page(i.spark, path, first.account_id if first else -1)
+    shown = {
+        "header": ("account_name", "risk_tier", "score", "arr", "plan_tier", "days_to_renewal", "csm_name", "region", "decline_severity",
+                   "overall_change", "sdk_version", "usage_summary", "ticket_summary", "nps_summary", "csm_intelligence", "product_risk_summary"),
+        "breakdown": ("rank", "signal", "label", "display_class"), "usage": ("month", "api_calls", "active_users", "content_entries_created"),
+        "tickets": ("ticket_id", "priority", "subject", "marker", "display_class"), "notes": ("ord", "raw_text"),
+    }
+    text = F.coalesce(*(
+        F.when(F.col("section") == name, F.concat_ws("|", *(F.coalesce(F.get_json_object("payload", f"$.{n}"), F.lit("~")) for n in names)))
+        for name, names in shown.items()
+    ))
+    return account_store.page_rows(page).select("section", "account_id", text.alias("text"))
+
+
+def unresolved_tickets(i: Inputs) -> DataFrame:
+    return i.tickets.groupBy("is_unresolved", "status").agg(F.count(F.lit(1)).alias("tickets"))
+
+
+def filtered_view(i: Inputs) -> DataFrame:
+    """All accounts or those in the window, of one tier and of each plan: the three filters of the list."""
+    views = []
+    for show_all in (True, False):
+        for tier in ("High", "Medium", "Low"):
+            seen = reports.view(i.scored, i.cfg, show_all=show_all, tiers=(tier,), plans=("BUILDING", "MACHINERY"))
+            views.append(seen.groupBy("plan_tier").agg(F.count(F.lit(1)).alias("accounts"), F.sum("arr").cast("double").alias("arr"))
+                         .select(F.lit(show_all).alias("show_all"), F.lit(tier).alias("tier"), "plan_tier", "accounts", "arr"))
+    return reduce(DataFrame.unionByName, views)
+
+
+def note_prompts(i: Inputs) -> DataFrame:
+    """The prompts that a model would get for each account's notes, as length and digest."""
+    texts = enrich.account_texts(i.known_notes, i.cfg).join(i.accounts, "account_id")
+    prompt = enrich.note_prompt()
+    return texts.select("account_id", "part", "note_count", F.length(prompt).alias("characters"), F.md5(prompt.cast("binary")).alias("prompt_md5"))
+
+
+def tickets_lenient(i: Inputs) -> DataFrame:
+    """Tickets by way of CSV files with two orders of columns, one of them without descriptions, and with
+    dates that are none: the rows, and the rejected fields with their text."""
+    folder = f"{shared_folder(i.spark)}/tickets-{uuid.uuid4().hex}"
+    date = F.when(F.col("account_id") % 50 == 7, F.concat(F.lit("about "), F.col("created_date"))).otherwise(F.col("created_date").cast("string"))
+    raw = i.raw_tickets.withColumn("created_date", date)
+    even = F.col("account_id") % 2 == 0
+    raw.where(even).write.option("header", True).csv(f"{folder}/ordered")
+    turned = [c for c in reversed(raw.columns) if c != "description"]
+    raw.where(~even).select(*turned).write.option("header", True).csv(f"{folder}/turned")
+    rows, rejects = readers.read_lenient(i.spark, "tickets", [f"{folder}/ordered", f"{folder}/turned"])
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "ticket_id", "account_id", F.to_date("created_date").cast("string").alias("created_date"), "priority", "status", "subject", "description",
+        none.alias("column"), none.alias("raw_text"), none.alias("reason"),
+    ).unionByName(rejects.select("column", "raw_text", "reason"), allowMissingColumns=True)
 
 
 # --- enrichment, with a model stand-in ---------------------------------------
@@ -323,6 +403,11 @@ QUERIES = {
     ),
     "cohorts": lambda i: reports.cohorts(i.scored),
     "account_360": account_360,
+    "account_page": account_page,
+    "unresolved_tickets": unresolved_tickets,
+    "filtered_view": filtered_view,
+    "note_prompts": note_prompts,
+    "tickets_lenient": tickets_lenient,
     "account_detail": lambda i: details.account_headers(i.scored),
     "enrich_notes": enrich_notes,
     "enrich_notes_fallback": enrich_notes_fallback,
