@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.functions.lineage import cut_lineage
+
 _PIECE = ("_piece_major", "_piece_minor")
 MAX_BROADCAST_SPLITS = 200_000
 
@@ -46,7 +48,10 @@ def with_positions(
     df: DataFrame, key: str, major: str, ord_col: str, carry: list[str], heavy_rows: int
 ) -> DataFrame:
     """Adds ``pos`` (1-based, by major then ord), ``series_length`` and ``prev``,
-    a struct of the ``carry`` columns of the preceding row (NULL on the first)."""
+    a struct of the ``carry`` columns of the preceding row (NULL on the first).
+
+    The rows are needed several times, so they are written once first."""
+    df = cut_lineage(df)
     heavy = heavy_keys(df, key, heavy_rows)
     piece = piece_columns(major, ord_col, heavy_rows)
     group = Window.partitionBy(key, *_PIECE)
