@@ -34,7 +34,6 @@ Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,7 +60,6 @@ STEPS = 2048
 U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 END = b" "
-words_of = re.compile(rb"[^\x20\x09-\x0D]+").findall
 BLOCK = "block long, ids array<long>, held array<boolean>, lengths array<int>, n_words int, tokens binary, words binary, counts binary"
 
 
@@ -82,7 +80,7 @@ class _Block:
 
     def add(self, id_, held: bool, text: str) -> None:
         data = text.encode().lower()
-        words = words_of(data)
+        words = data.split()  # bytes: blank and U+0009 to U+000D only
         words.append(END)
         self.ids.append(id_)
         self.held.append(held)
@@ -346,15 +344,18 @@ class _Asked:
         self.third_counts = third_counts.astype(np.int64)
 
 
-def _places(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows in order, by column, and the place of each row among them."""
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
+def _places(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs in order, by column, and the place of each pair among them."""
+    if max(a.max(initial=0), b.max(initial=0)) < 2**32:
+        pairs, place = np.unique(a.astype(U64) << U64(32) | b.astype(U64), return_inverse=True)
+        return pairs >> U64(32), pairs & U64(0xFFFFFFFF), place
+    order = np.lexsort((b, a))
+    first, second = a[order], b[order]
     new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
     place = np.empty(len(order), np.int64)
     place[order] = np.cumsum(new) - 1
-    return [c[new] for c in columns], place
+    return first[new].astype(U64), second[new].astype(U64), place
 
 
 def _level(contexts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> BigramTrie:
@@ -367,36 +368,38 @@ def answer_paths(tokens: int):
     def answer(group: pa.Table) -> pa.Table:
         asked = [_Asked(streams) for streams in zip(*(group.column(c).to_pylist() for c in STREAMS))]
         whole = lambda name: np.concatenate([getattr(a, name) for a in asked])
-        (first, second), place = _places(whole("first"), whole("second"))
+        first, second, place = _places(whole("first"), whole("second"))
         counts = np.bincount(place, whole("counts"), len(first)).astype(np.int64)
         total, split = np.zeros(len(first), np.int64), np.zeros(len(first), bool)
         total[place], split[place] = whole("total"), whole("split")
-        ends = np.append(np.flatnonzero(first[1:] != first[:-1]) + 1, len(first)) if len(first) else np.zeros(0, np.int64)
+        ends = np.append(np.flatnonzero(first[1:] != first[:-1]) + 1, len(first))
         sums = np.diff(np.concatenate([[0], np.cumsum(counts)[ends - 1]]))
         total = np.where(total > 0, total, np.repeat(sums, np.diff(np.concatenate([[0], ends]))))
         offset = np.cumsum([0, *(len(a.first) for a in asked)])
-        (bigram, third), third_place = _places(place[np.concatenate([a.entry + o for a, o in zip(asked, offset)])], whole("third"))
+        bigram, third, third_place = _places(place[np.concatenate([a.entry + o for a, o in zip(asked, offset)])], whole("third"))
+        bigram = bigram.astype(np.int64)
         third_counts = np.bincount(third_place, whole("third_counts"), len(bigram)).astype(np.int64)
         trained = third_counts > 0
-        bigram, third, third_counts = bigram[trained], third[trained], third_counts[trained]
         kept = counts > 0
-        kept[bigram] = True
+        kept[bigram[trained]] = True
         number = np.cumsum(kept) - 1
         log = np.log10(MIX * np.maximum(counts, 1) / np.maximum(total, 1))
         codes = np.where(counts > 0, quantised(log), np.uint16(0)).astype(np.uint16)
         seconds = _level(first[kept], second[kept], codes[kept])
-        measure = np.where(split[bigram], tokens, counts[bigram])
-        thirds = _level(number[bigram].astype(U64), third, quantised(np.log10(MIX_THREE * third_counts / np.maximum(measure, 1))))
-        split_counts = counts[kept]
-        answers = []
-        for a in asked:
-            found = seconds.find(a.first, a.second)
-            of_third = found[a.entry]
-            third_codes = np.zeros(len(a.entry), np.uint16)
-            known = np.flatnonzero(of_third >= 0)
-            third_codes[known] = thirds.lookup(of_third[known].astype(U64), a.third[known])
-            home = found[a.at_home]
-            answers.append((_taken(seconds.codes, home), third_codes, packed_numbers(_taken(split_counts, found[a.at_home & a.split]))))
+        under = bigram[trained]
+        measure = np.maximum(np.where(split[under], tokens, counts[under]), 1)
+        thirds = _level(number[under].astype(U64), third[trained], quantised(np.log10(MIX_THREE * third_counts[trained] / measure)))
+        # Each distinct path is searched once, however many blocks ask for it.
+        found = seconds.find(first, second)
+        third_codes = np.zeros(len(bigram), np.uint16)
+        inside = np.flatnonzero(found[bigram] >= 0)
+        third_codes[inside] = thirds.lookup(found[bigram[inside]].astype(U64), third[inside])
+        codes, split_counts = _taken(seconds.codes, found), _taken(counts[kept], found)
+        answers, third_offset = [], 0
+        for a, o in zip(asked, offset):
+            own, after = place[o : o + len(a.first)], third_offset + len(a.entry)
+            answers.append((codes[own[a.at_home]], third_codes[third_place[third_offset:after]], packed_numbers(split_counts[own[a.at_home & a.split]])))
+            third_offset = after
         return pa.table({
             "block": group.column("block"), "shard": group.column("shard"),
             **{name: _binary(x[i] for x in answers) for i, name in enumerate(("codes", "third_codes", "split_counts"))},
