@@ -27,3 +27,14 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, support: float = SUPPORT
     heavy = F.broadcast(heavy_values(rows.select(key), key, support))
     frequent = rows.join(heavy, key, "left_semi").join(F.broadcast(table.join(heavy, key, "left_semi")), key, "left")
     return frequent.unionByName(rows.join(heavy, key, "left_anti").join(table, key, "left"))
+
+
+def salted_lookup(rows: DataFrame, table: DataFrame, key: str, spread_by: str, salts: int = 32, support: float = SUPPORT) -> DataFrame:
+    """``lookup`` for a table whose rows may be large: the rows of a heavy key are dealt to ``salts``
+    groups by ``spread_by``, and its one table row is repeated for each of them. Nothing but the heavy keys is broadcast."""
+    heavy = F.broadcast(heavy_values(rows.select(key), key, support).withColumn("_heavy", F.lit(True)))
+    salt = F.when(F.col("_heavy"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    own = rows.join(heavy, key, "left").withColumn("_salt", salt).drop("_heavy")
+    every = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    other = table.join(heavy, key, "left").withColumn("_salt", F.explode(every)).drop("_heavy")
+    return own.join(other, [key, "_salt"], "left").drop("_salt")
