@@ -6,15 +6,18 @@ oracle read the same rows. Every view reads its whole tables.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from harborline.config import Config
+from harborline.functions.lineage import shared_folder
 from harborline.operators.clean import clean_accounts, clean_nps, clean_tickets, clean_usage
 from harborline.operators.notes import extract_fields
 from harborline.plans.scoring import score_accounts
+from harborline.sources.sinks import write_scores
 
 TABLES = {
     "fx_accounts": ("region", "nation", "customer", "part"), "fx_usage": ("events",),
@@ -96,6 +99,10 @@ FROM documents LEFT JOIN fx_accounts ON account_id = doc_id""",
 }
 
 
+#: The folders of the score tables of this process, by application, input and state of the input.
+_SCORES: dict[tuple, str] = {}
+
+
 @dataclass
 class Inputs:
     """The cleaned inputs of one scale factor, all lazy."""
@@ -153,8 +160,30 @@ class Inputs:
         return self.note_records.withColumnRenamed("true_account_id", "matched_account_id")
 
     @cached_property
-    def scored(self) -> DataFrame:
+    def fresh_scores(self) -> DataFrame:
+        """All accounts scored from the sources, lazily."""
         return score_accounts(
             self.accounts, self.usage, self.tickets, self.nps, self.known_notes,
             self.cfg, window_only=False,
         )
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """The written score table that the reports read. It is written by the first report of a Spark
+        application, and again once an input file has changed."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.cfg, self._state())
+        if key not in _SCORES:
+            path = f"{shared_folder(self.spark)}/scores-{uuid.uuid4().hex}"
+            write_scores(self.fresh_scores, path)
+            _SCORES[key] = path
+        return self.spark.read.parquet(_SCORES[key])
+
+    def _state(self) -> tuple:
+        """Size and time of each input table."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        state = []
+        for name in sorted({table for tables in TABLES.values() for table in tables}):
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            files = path.getFileSystem(conf)
+            state.append((files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime()))
+        return tuple(state)

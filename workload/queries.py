@@ -136,7 +136,7 @@ def reconcile_fuzzy(i: Inputs) -> DataFrame:
 
 
 def account_scores(i: Inputs) -> DataFrame:
-    return with_rank(i.scored).orderBy("rank").withColumns(
+    return with_rank(i.fresh_scores).orderBy("rank").withColumns(
         _double("arr") | {"contract_end_date": F.col("contract_end_date").cast("string")}
     ).select(
         "account_id", "account_name", "arr", "plan_tier", "industry", "region", "csm_name",
