@@ -115,27 +115,28 @@ class Inputs:
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
         self._tables: dict[str, DataFrame] = {}
 
-    def _raw(self, view: str) -> DataFrame:
+    def raw(self, view: str) -> DataFrame:
+        """A view over the tables, before the clean-up."""
         for name in TABLES[view]:
             if name not in self._tables:
                 self._tables[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
             # Views are per session and another Inputs may have replaced them.
             self._tables[name].createOrReplaceTempView(name)
         if view == "fx_notes":
-            self._raw("fx_accounts").createOrReplaceTempView("fx_accounts")
+            self.raw("fx_accounts").createOrReplaceTempView("fx_accounts")
         return self.spark.sql(VIEWS[view])
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return clean_accounts(self._raw("fx_accounts"), self.cfg)
+        return clean_accounts(self.raw("fx_accounts"), self.cfg)
 
     @cached_property
     def usage(self) -> DataFrame:
-        return clean_usage(self._raw("fx_usage"))
+        return clean_usage(self.raw("fx_usage"))
 
     @cached_property
     def raw_tickets(self) -> DataFrame:
-        return self._raw("fx_tickets")
+        return self.raw("fx_tickets")
 
     @cached_property
     def tickets(self) -> DataFrame:
@@ -143,11 +144,11 @@ class Inputs:
 
     @cached_property
     def nps(self) -> DataFrame:
-        return clean_nps(self._raw("fx_nps"))
+        return clean_nps(self.raw("fx_nps"))
 
     @cached_property
     def note_records(self) -> DataFrame:
-        return self._raw("fx_notes")
+        return self.raw("fx_notes")
 
     @cached_property
     def notes(self) -> DataFrame:

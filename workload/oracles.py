@@ -505,6 +505,17 @@ FROM (SELECT account_id, 'account' AS section, {_fields("account_name, arr, plan
       UNION ALL SELECT account_id, 'nps', {_fields("ord, score, verbatim_comment, nps_category, is_non_english")} FROM np
       UNION ALL SELECT true_account_id, 'notes', {_fields("ord, raw_text")} FROM fx_notes) x
 WHERE account_id IN (SELECT account_id FROM acc) GROUP BY account_id, section""",
+    "read_all_inputs": f"""
+SELECT input, count(*) AS rows,
+       sum(('0x' || substr(md5(t), 1, 15))::UBIGINT)::VARCHAR || ':' || sum(('0x' || substr(md5(t), 16, 15))::UBIGINT)::VARCHAR AS digest
+FROM (SELECT 'accounts' AS input, {_fields("account_id, account_name, plan_tier, arr, contract_end_date, in_renewal_window")} AS t FROM acc
+      UNION ALL SELECT 'usage', {_fields("account_id, month, api_calls, workflows_triggered, sdk_version")} FROM us
+      UNION ALL SELECT 'tickets', {_fields("ticket_id, account_id, priority, status, resolution_time_hours, subject")} FROM tk
+      UNION ALL SELECT 'nps', {_fields("account_id, score, regexp_replace(verbatim_comment, '[' || chr(13) || chr(10) || ']', ' ', 'g'), nps_category")} FROM np
+      UNION ALL SELECT 'csm_notes', t FROM (
+        SELECT trim(regexp_replace(raw_text, '-{{2,}}', '- ', 'g'), chr(32) || chr(9) || chr(10) || chr(13)) AS t FROM fx_notes) r WHERE length(t) >= 10
+      UNION ALL SELECT 'changelog', version || ' ' || date || ' ' || title FROM (VALUES {_EVENT_ROWS}) e(version, date, type, title, affects, severity)) x
+GROUP BY input""",
     "account_page": f"""
 SELECT section, account_id, t AS text FROM (
   SELECT 'header' AS section, account_id, {_fields(_PAGE_HEADER)} AS t FROM sm

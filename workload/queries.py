@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from harborline.config import SIGNALS
 from harborline.operators import enrich, nps, product, tickets, usage
 from harborline.operators.notes import marked_notes, note_intelligence, note_signals
+from harborline.functions.digest import sum_digest
 from harborline.functions.lineage import shared_folder
 from harborline.operators.reconcile import match_by_id, reconcile_notes
 from harborline.operators.replies import ReplyStore
@@ -248,6 +249,42 @@ def tickets_lenient(i: Inputs) -> DataFrame:
     ).unionByName(rejects.select("column", "raw_text", "reason"), allowMissingColumns=True)
 
 
+def _on_one_line(column: str):
+    return F.regexp_replace(column, r"[\r\n]", " ")
+
+
+def read_all_inputs(i: Inputs) -> DataFrame:
+    """All inputs by way of files, as users keep them: the rows of each and a digest of their main fields."""
+    folder = f"{shared_folder(i.spark)}/inputs-{uuid.uuid4().hex}"
+    names = ("accounts", "usage", "tickets", "nps", "csm_notes", "changelog")
+    paths = {name: f"{folder}/{name}" for name in names}
+    raw = {
+        "accounts": i.raw("fx_accounts"), "usage": i.raw("fx_usage"), "tickets": i.raw_tickets,
+        "nps": i.raw("fx_nps").withColumn("verbatim_comment", _on_one_line("verbatim_comment")),
+    }
+    for name, df in raw.items():
+        df.drop("ord").write.option("header", True).option("escape", '"').csv(paths[name])
+    # One record a row; the separators of records do not occur inside them.
+    records = F.concat(F.regexp_replace("raw_text", "-{2,}", "- "), F.lit("\n---"))
+    i.note_records.repartitionByRange("ord").sortWithinPartitions("ord").select(records).write.text(paths["csm_notes"])
+    events = product.events_table(i.spark, i.cfg)
+    events.select(F.concat_ws(" ", "version", "date", "title")).write.text(paths["changelog"])
+    read = readers.read_all(i.spark, paths, i.cfg)
+    fields = {
+        "accounts": ("account_id", "account_name", "plan_tier", "arr", "contract_end_date", "in_renewal_window"),
+        "usage": ("account_id", "month", "api_calls", "workflows_triggered", "sdk_version"),
+        "tickets": ("ticket_id", "account_id", "priority", "status", "resolution_time_hours", "subject"),
+        "nps": ("account_id", "score", "verbatim_comment", "nps_category"),
+        "csm_notes": ("raw_text",), "changelog": ("line",),
+    }
+    return reduce(DataFrame.unionByName, [
+        read[name].agg(F.count(F.lit(1)).alias("rows"), sum_digest(F.concat_ws("|", *(
+            F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in columns
+        ))).alias("digest")).select(F.lit(name).alias("input"), "rows", "digest")
+        for name, columns in fields.items()
+    ])
+
+
 # --- enrichment, with a model stand-in ---------------------------------------
 
 
@@ -408,6 +445,7 @@ QUERIES = {
     "filtered_view": filtered_view,
     "note_prompts": note_prompts,
     "tickets_lenient": tickets_lenient,
+    "read_all_inputs": read_all_inputs,
     "account_detail": lambda i: details.account_headers(i.scored),
     "enrich_notes": enrich_notes,
     "enrich_notes_fallback": enrich_notes_fallback,
