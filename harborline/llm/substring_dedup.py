@@ -49,7 +49,7 @@ BLOCK_BYTES = 1024 * 1024
 STEP = 1 << 20
 HASHED_BYTES = 1 << 18
 #: Anchors in a shard, and words in all for which one shard is made.
-SHARD_WORDS = 2_500_000
+SHARD_WORDS = 1_000_000
 #: Words in one automaton, and windows in one piece.
 REFERENCE_WORDS = 20_000
 PIECE_WINDOWS = 10_000
@@ -59,7 +59,9 @@ RESULT = "id long, n_words long, n_removed long, starts array<long>, ends array<
 ANCHORS = "shard int, block long, anchors binary, several binary"
 WINDOWS = "shard int, block long, ids binary, places binary, sizes binary, width int, steps binary, hashes binary"
 FIRSTS = "block long, places binary, sizes binary, t_blocks binary, t_places binary, t_ids binary"
-PIECES = "block long, word long, windows long, t_block long, t_place long, bytes long, t_id long, asks boolean"
+#: One row a block with its pieces (word, windows, t_block, t_place, bytes, t_id as numbers), and one for each
+#: passage that it asks another block for.
+PIECES = "block long, pieces binary, t_block long, t_place long, bytes long"
 
 PASSAGES = "t_block long, t_place long, bytes long, passage binary"
 
@@ -332,19 +334,19 @@ def find_pieces(block: pa.Table, answers: pa.Table) -> pa.Table:
     line = scan.line[at]
     change = (at[1:] != at[:-1] + 1) | (line[1:] != line[:-1]) | (t_block[at[1:]] != t_block[at[:-1]]) | (shift[1:] != shift[:-1]) | (t_id[at[1:]] != t_id[at[:-1]])
     new = np.flatnonzero(np.concatenate([[True], change])) if len(at) else np.zeros(0, np.int64)
-    rows, asked = [], set()
-    for a, b in zip(new, np.append(new, len(at))[1:]):
-        for c in range(a, b, PIECE_WINDOWS):
-            head, n = at[c], min(PIECE_WINDOWS, b - c)
-            size = int(scan.ends[head + n - 1 + LENGTH - 1] - scan.starts[head])
-            key = (int(t_block[head]), int(t_place[head]), size)
-            rows.append((number, int(head), int(n), *key, int(t_id[head]), key[0] != number and key not in asked))
-            asked.add(key)
-    columns = list(zip(*rows)) or [()] * 8
-    return pa.table(
-        [*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.bool_())],
-        names=["block", "word", "windows", "t_block", "t_place", "bytes", "t_id", "asks"],
-    )
+    first, sizes = at[new], np.diff(np.append(new, len(at)))
+    parts = -(-sizes // PIECE_WINDOWS)
+    of = np.repeat(np.arange(len(first)), parts)
+    skipped = PIECE_WINDOWS * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    word, windows = first[of] + skipped, np.minimum(sizes[of] - skipped, PIECE_WINDOWS)
+    size = scan.ends[word + windows + LENGTH - 2] - scan.starts[word] if len(word) else word
+    pieces = np.stack([word, windows, t_block[word], t_place[word], size, t_id[word]], axis=1).astype(np.int64)
+    asked = np.unique(pieces[pieces[:, 2] != number][:, 2:5], axis=0)
+    none = [None] * len(asked)
+    return pa.table([
+        pa.array([number] * (1 + len(asked)), pa.int64()), pa.array([pieces.tobytes(), *none], pa.binary()),
+        *(pa.array([None, *asked[:, i].tolist()], pa.int64()) for i in range(3)),
+    ], names=["block", "pieces", "t_block", "t_place", "bytes"])
 
 
 def cut_passages(block: pa.Table, asked: pa.Table) -> pa.Table:
@@ -449,10 +451,11 @@ def _united(pieces: list[tuple], passage) -> list[tuple]:
 def without_repeats(block: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block without their repeated passages."""
     number, data, ids = block.column("block")[0].as_py(), block.column("data")[0].as_py(), _ids(block)
-    columns = ("word", "windows", "t_block", "t_place", "bytes", "t_id", "passage")
+    columns = ("t_block", "t_place", "bytes", "passage", "pieces")
     rows = list(zip(*(found.column(c).to_pylist() for c in columns)))
-    sent = {r[2:5]: r[6] for r in rows if r[6] is not None}
-    pieces = sorted(r[:6] for r in rows if r[6] is None)
+    sent = {r[:3]: r[3] for r in rows if r[4] is None}
+    packed = b"".join(r[4] for r in rows if r[4] is not None)
+    pieces = sorted(map(tuple, np.frombuffer(packed, np.int64).reshape(-1, 6).tolist()))
 
     def passage(key: tuple[int, int, int]) -> bytes:
         return sent[key] if key[0] != number else data[key[1] : key[1] + key[2]]
@@ -513,9 +516,9 @@ def remove_passages(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     )
     pieces = written(texts.cogroup(firsts.groupBy("block")).applyInArrow(find_pieces, PIECES), "pieces")
     key = ["t_block", "t_place", "bytes"]
-    asked = pieces.where("asks").select("block", *key)
+    asked = pieces.where("pieces IS NULL").select("block", *key)
     sources = table.select(F.col("block").alias("t_block"), "data").groupBy("t_block")
     cut = sources.cogroup(asked.select(*key).distinct().groupBy("t_block")).applyInArrow(cut_passages, PASSAGES)
     passages = asked.join(cut, key).select("block", *key, "passage")
-    found = pieces.drop("asks").unionByName(passages, allowMissingColumns=True)
+    found = pieces.where("pieces IS NOT NULL").unionByName(passages, allowMissingColumns=True)
     return texts.cogroup(found.groupBy("block")).applyInArrow(without_repeats, RESULT)
