@@ -4,7 +4,9 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 
 from harborline.llm import prefix_trie
@@ -67,8 +69,7 @@ def conversations():
 
 
 @pytest.mark.parametrize("bound", [40, 50_000])
-def test_nodes_equal_brute_force(spark, monkeypatch, bound):
-    monkeypatch.setattr(prefix_trie, "PIECE_IDS", 3)
+def test_nodes_equal_brute_force(spark, bound):
     rows = conversations()
     assert found(prefix_trie.trie_nodes(frame(spark, rows), bound)) == plain(rows)
 
@@ -106,3 +107,68 @@ def test_components_are_taken_apart_to_subtree_sums():
                 below[parents[v]] += below[v]
                 sums[parents[v]] += sums[v]
             assert prefix_trie.taken_apart(parents, below, values, [1] * n)[0] == sums
+
+
+@pytest.mark.parametrize("piece, batch", [(1, 1), (3, 2), (3, 100), (8192, 7)])
+def test_pieces_of_ids_give_the_digest_of_the_whole_list(monkeypatch, piece, batch):
+    """Lists cut into pieces and batches anywhere, even pieces of a node on both sides of a batch's end."""
+    monkeypatch.setattr(prefix_trie, "PIECE_IDS", piece)
+    nodes = {(d, d * 7, -d): list(range(d, 5 * d, d)) + [10**15 + d] for d in (1, 2, 5, 30)}
+    nodes[(40, 1, 1)] = [-3]
+    rows = [(*node, i) for node, ids in sorted(nodes.items()) for i in sorted(ids)]
+
+    def batches(rows, names):
+        for at in range(0, len(rows), batch):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + batch])], names=names)
+
+    names = ["depth", "a", "b"]
+    pieces = [tuple(r.values()) for b in prefix_trie._pieces(batches(rows, [*names, "conv_id"])) for r in b.to_pylist()]
+    assert max(p[4].count(",") for p in pieces) < piece
+    found = {(r["depth"], r["a"], r["b"]): r["ends_sha256"] for b in prefix_trie._digests(batches(sorted(pieces), [*names, "first", "piece"])) for r in b.to_pylist()}
+    assert found == {n: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest() for n, ids in nodes.items()}
+
+
+@pytest.mark.parametrize("cut", [1, 2, 5, 17, 40])
+def test_sequences_go_on_in_the_next_partition(monkeypatch, cut):
+    """The numbers and hashes of turns do not depend on where the sorted turns are cut into partitions."""
+    draw = random.Random(1)
+    rows = sorted((draw.choice([1, 1, 1, 2, 9]), i, draw.getrandbits(60), draw.getrandbits(60)) for i in range(40))
+
+    def table(cut):
+        parts = []
+        for part, at in enumerate(range(0, 40, cut)):
+            monkeypatch.setattr(prefix_trie.TaskContext, "get", lambda part=part: type("T", (), {"partitionId": lambda self: part})())
+            own = [(r[0], r[2], r[3], 1) for r in rows[at : at + cut]]
+            batch = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*own[k : k + 3])], names=["conv_id", "x", "y", "bytes"]) for k in range(0, len(own), 3)]
+            parts += prefix_trie._in_sequence(iter(batch))
+        return parts
+
+    class Collected:
+        """As much of a DataFrame as the carries need."""
+
+        def __init__(self, batches):
+            self.rows = [r for b in batches for r in b.to_pylist()]
+
+        def groupBy(self, key):  # noqa: N802
+            return self
+
+        def agg(self, *_):
+            return self
+
+        def collect(self):
+            out = []
+            for part in sorted({r["part"] for r in self.rows}):
+                own = [r for r in self.rows if r["part"] == part]
+                last = max(own, key=lambda r: (r["conv_id"], r["depth"]))
+                out.append(SimpleNamespace(part=part, first=min(r["conv_id"] for r in own), last=SimpleNamespace(**last)))
+            return out
+
+    whole = [r for b in table(40) for r in b.to_pylist()]
+    monkeypatch.setattr(prefix_trie.F, "min", lambda c: SimpleNamespace(alias=lambda n: c))
+    monkeypatch.setattr(prefix_trie.F, "max", lambda c: SimpleNamespace(alias=lambda n: c))
+    monkeypatch.setattr(prefix_trie.F, "struct", lambda *c: c)
+    batches = table(cut)
+    carried = prefix_trie._carried(Collected(batches))
+    found = [r for b in prefix_trie._continued(carried)(iter(batches)) for r in b.to_pylist()]
+    strip = lambda rows: [{k: v for k, v in r.items() if k != "part"} for r in rows]
+    assert strip(found) == strip(whole)
