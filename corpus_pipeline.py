@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -24,6 +25,13 @@ from harborline.llm.tables import documents, text_of, written  # noqa: E402
 VOCABULARY = "word_bpe_49k.json"
 
 
+def _private(docs: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The rows with all columns but the used ones under private names, so no column that an operator
+    adds can meet one of the caller's, and the way back to the caller's names."""
+    names = [c if c in used else f"keep_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda rows: rows.select(*names).toDF(*docs.columns)
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
@@ -31,7 +39,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def _only(numbered: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows that the decisions keep; the narrow side is the one that is hashed."""
     kept = decisions.where("kept").select(F.col("row").alias("_row"))
-    return numbered.join(kept.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
+    return numbered.join(kept.hint("shuffle_hash"), "_row", "left_semi")
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,28 +48,32 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(toxicity.training_rows(documents(spark, sf_dir), labels))
-    return toxicity.score(docs, model).where(~F.col("rejected")).select(*docs.columns)
+    rows, back = _private(docs, "text", "lang")
+    return back(toxicity.score(rows, model).where(~F.col("rejected")))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest id."""
-    numbered = _numbered(docs)
+    rows, back = _private(docs, "doc_id", "text")
+    numbered = _numbered(rows)
     groups = exact_dedup.exact_groups(exact_dedup.digests(numbered, row="_row"))
-    return _only(numbered, groups)
+    return back(_only(numbered, groups))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates, the row with the smallest id."""
     ship_package(spark)
-    numbered = _numbered(docs)
-    return _only(numbered, minhash.classes(numbered, row="_row"))
+    rows, back = _private(docs, "doc_id", "text")
+    numbered = _numbered(rows)
+    return back(_only(numbered, minhash.classes(numbered, row="_row")))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in which no benchmark item is found."""
     ship_package(spark)
-    found = decontaminate.with_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    rows, back = _private(docs, "text")
+    found = decontaminate.with_matches(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return back(found.where(F.size("matches") == 0))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
