@@ -21,7 +21,7 @@ than reading it; a text with an empty coordinate raises its limit until all are
    pass: components its links join have no further pair to compare. Nothing is capped. From the second round on, texts and pivots carry sketches, the
    counts of their elements by hash group: the sum of the smaller counts bounds the common elements
    from above, so a pair whose bound is too low is no link and is left out before it becomes a row.
-3. Each pair is verified once on its exact sets; links are those of at least ``THRESHOLD``.
+3. Each pair is verified once on its whole sets of 32-bit element hashes; links are those of at least ``THRESHOLD``.
 4. Connected components of the links are the classes. Each round contracts them: texts move to
    their smallest neighbour until no edge is left, and only new edges between components go on.
 
@@ -44,6 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from harborline.functions.heavy import lookup
 from harborline.llm.tables import add_columns, text_of, written
 from harborline.llm.words import mixed, shingle_hashes, word_hashes
 
@@ -442,12 +443,12 @@ def classes(df: DataFrame, id_column: str = "doc_id", text: str = "text", row: s
     )
     labels = components_of_texts(texts, threshold)
     rows = written(
-        table.select("row", "id", "digest").join(first, "digest").join(labels, "text", "left")
+        lookup(table.select("row", "id", "digest"), first, "digest").join(labels, "text", "left")
         .select("row", "id", F.coalesce("label", "text").alias("label")),
         "rows",
     )
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("row").alias("row")))
     of_class = rows.groupBy("label").agg(best.alias("best"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(of_class, "label").select(
+    return lookup(rows, of_class, "label").select(
         "row", "id", F.col("best.id").alias("class_id"), "class_size", (F.col("best.row") == F.col("row")).alias("kept")
     )
