@@ -1,10 +1,13 @@
 """Decontamination against plain edit distance, toxicity on held-out rows, and the pipeline."""
 
+import math
 import random
 import zlib
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from harborline.llm import decontaminate as dc
 from harborline.llm import toxicity
@@ -172,3 +175,59 @@ def test_stages_take_edge_rows(spark, name, stage):
     else:
         assert count == len({(t or "").lower() if name == "exact_dedup" else " ".join((t or "").lower().split()) for _, t, _ in ROWS})
     assert stage(spark, empty_rows(spark), SF).count() == 0
+
+
+CLASHING = ("score", "matches", "_row", "threshold", "rejected", "_matches_0", "keep_0", "row", "digest", "label", "kept", "id")
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_clashing_columns(spark, name, stage):
+    """Columns named like those that the operators use come out with the values they went in with."""
+    docs = documents(spark, SF).select("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select(*(F.lit(f"own {c} ") .alias(c) for c in CLASHING[:6]), "*", *(F.concat(F.lit(c), F.col("doc_id")).alias(c) for c in CLASHING[6:]))
+    kept = stage(spark, docs, SF)
+    assert kept.columns == docs.columns
+    rows = kept.collect()
+    assert 0 < len(rows) <= docs.count()
+    for r in rows:
+        assert all(r[c] == f"own {c} " for c in CLASHING[:6]) and all(r[c] == f"{c}{r.doc_id}" for c in CLASHING[6:])
+
+
+def plain_score(model, text):
+    """The classifier's forward pass word by word, without batches or numpy sums."""
+    rows = toxicity.buckets(text).tolist()
+    words = len(rows) - max(toxicity.WIDTHS)
+    vectors = [[float(model.table[a][d]) + float(model.table[b][d]) for d in range(toxicity.DIMENSIONS)] for a, b in rows]
+    z, at = float(model.offset), 0
+    for filters, bias in zip(model.filters, model.bias):
+        for k in range(toxicity.FILTERS):
+            best = max(
+                sum(vectors[start + j][d] * float(filters[j][d][k]) for j in range(len(filters)) for d in range(toxicity.DIMENSIONS))
+                for start in range(words + 1)
+            )
+            z += max(best + float(bias[k]), 0.0) * float(model.out[at])
+            at += 1
+    return 1 / (1 + math.exp(-z))
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    docs = documents(spark, SF).select("doc_id", "text", "lang")
+    data = toxicity.train(toxicity.training_rows(docs, spark.read.parquet(f"{SF}/labels.parquet")))
+    model = toxicity.Classifier.from_bytes(data)
+    rows = toxicity.score(docs.union(edge_rows(spark).select("doc_id", "text", "lang")), data).select("text", "score").collect()
+    short = sorted(rows, key=lambda r: len(r.text or ""))[:60]
+    assert {r.text for r in short} >= {None, "", "x"}
+    for r in short:
+        assert r.score == pytest.approx(plain_score(model, r.text or ""), abs=2e-5)
+    labelled = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    scores = {r.score for r in rows}
+    assert labelled and min(scores) < 0.3 < max(scores)
+
+
+def test_the_fit_is_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 3000)
+    monkeypatch.setattr(toxicity, "TRAIN_TEXT_BYTES", 400)
+    rows = spark.createDataFrame([(i, "w" * (i * 37 % 600), "en") for i in range(200)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    found = toxicity.training_rows(rows, labels).collect()
+    assert found and max(len(r.text) for r in found) <= 400 and 2500 < sum(len(r.text) for r in found) <= 3000
