@@ -74,7 +74,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = secrets.scan_all(documents(spark, sf_dir), secrets.empty_ledger(spark))
+    _, found = secrets.scan_batches(documents(spark, sf_dir), secrets.empty_ledger(spark))
     spans = F.coalesce("spans", F.array().cast("array<struct<start:bigint,order:bigint,kind:string,end:bigint>>"))
     listed = lambda xs: F.array_join(
         F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ","
@@ -86,7 +86,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(
             F.size(F.filter(spans, of_kind(k))).cast("long").alias(f"n_{k}") for k in secrets.BASE
         ),
-        F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed(spans).alias("spans"), "batch", "reused",
     )
 
 

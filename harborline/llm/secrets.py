@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harborline.functions.heavy import salted_lookup
 from harborline.llm.tables import small_table, text_of, written
 
 
@@ -52,6 +53,8 @@ RULES = (
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, "gh"),
 )
 BASE = ("assign", "access", "hex")
+#: Matches of a text that are walked at a time.
+RUN = 256
 
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 LEDGER = T.StructType([
@@ -64,9 +67,10 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in LEDGER))
 
 
-def blobs(versions: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """path and blob of every version."""
-    return versions.select(F.col(path).alias("path"), F.sha2(text_of(text).cast("binary"), 256).alias("blob"))
+def blobs(versions: DataFrame, path: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
+    """path and blob of every version, and its batch where there is one."""
+    more = [] if batch is None else [F.col(batch).alias("batch")]
+    return versions.select(F.col(path).alias("path"), F.sha2(text_of(text).cast("binary"), 256).alias("blob"), *more)
 
 
 def spans_of(rule: Rule, text: str = "text") -> Column:
@@ -83,22 +87,31 @@ def spans_of(rule: Rule, text: str = "text") -> Column:
         F.transform(matches, F.length).alias("size"), counted.alias("counted"),
     )
     empty = F.array().cast(T.ArrayType(SPAN))
-    walked = F.aggregate(
-        both,
-        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")),
-        lambda state, x: F.struct(
-            (state["at"] + x["gap"] + x["size"]).cast("long").alias("at"),
-            F.when(
-                x["counted"] >= rule.least,
-                F.concat(state["spans"], F.array(F.struct(
-                    (state["at"] + x["gap"]).cast("long").alias("start"),
-                    (state["at"] + x["gap"] + x["size"]).cast("long").alias("end"),
-                ))),
-            ).otherwise(state["spans"]).alias("spans"),
-        ),
-    )["spans"]
+
+    def walked(run: Column) -> Column:
+        """The end of a run of matches and its spans, from 0 on."""
+        def step(state: Column, x: Column) -> Column:
+            start = (state["at"] + x["gap"]).cast("long")
+            end = (start + x["size"]).cast("long")
+            span = F.array(F.struct(start.alias("start"), end.alias("end")))
+            kept = F.when(x["counted"] >= rule.least, F.concat(state["spans"], span)).otherwise(state["spans"])
+            return F.struct(end.alias("at"), kept.alias("spans"))
+
+        return F.aggregate(run, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step)
+
+    # Appending copies a list, so matches are walked in runs of bounded length and the runs are joined.
+    runs = F.greatest(F.ceil(F.size(both) / RUN).cast("int"), F.lit(1))
+    each = F.transform(F.sequence(F.lit(0), runs - 1), lambda i: walked(F.slice(both, i * RUN + 1, RUN)))
+
+    def joined(state: Column, run: Column) -> Column:
+        at = state["at"]
+        moved = F.transform(run["spans"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end")))
+        return F.struct((at + run["at"]).cast("long").alias("at"), F.concat(state["spans"], F.array(moved)).alias("spans"))
+
+    nothing = F.array().cast(T.ArrayType(T.ArrayType(SPAN)))
+    whole = F.flatten(F.aggregate(each, F.struct(F.lit(0).cast("long").alias("at"), nothing.alias("spans")), joined)["spans"])
     has = F.col(text).contains(rule.hint) if rule.hint else F.col(text).rlike(rule.pattern)
-    return F.when(has, walked).otherwise(empty)
+    return F.when(has, whole).otherwise(empty)
 
 
 def scan(versions: DataFrame, ledger: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
@@ -140,10 +153,25 @@ def findings(paths: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
         ).alias("spans"))
         .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
-    return paths.join(hits, "blob", "left")
+    return salted_lookup(paths, hits, "blob", "path")
 
 
 def scan_all(versions: DataFrame, ledger: DataFrame, rules=RULES, path: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """The ledger with the new pairs, written to the shared folder, and the findings."""
     grown = written(ledger.unionByName(scan(versions, ledger, rules, text)), "ledger")
-    return grown, findings(blobs(versions, path, text), grown, rules)
+    return grown, findings(written(blobs(versions, path, text), "paths"), grown, rules)
+
+
+def scan_batches(
+    versions: DataFrame, ledger: DataFrame, batches: int = 3, rules=RULES, path: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """``scan_all`` of versions that come in batches, dealt out by a hash of the path: each batch scans what the
+    ledger of those before lacks. The findings tell the batch of a version, and whether its blob was
+    scanned with an earlier one."""
+    number = F.pmod(F.xxhash64(path), F.lit(batches)).cast("int")
+    paths = written(blobs(versions.withColumn("_batch", number), path, text, "_batch"), "paths")
+    for i in range(batches):
+        ledger = written(ledger.unionByName(scan(versions.where(number == i), ledger, rules, text)), "ledger")
+    first = paths.groupBy("blob").agg(F.min("batch").alias("first"))
+    found = salted_lookup(findings(paths, ledger, rules), first, "blob", "path")
+    return ledger, found.withColumn("reused", F.col("batch") > F.col("first")).drop("first")
