@@ -14,7 +14,7 @@ import json
 import time
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ from harborline.operators.replies import ReplyStore
 
 Client = Callable[[str], str]
 ATTEMPTS = 3
+#: Bytes of prompts whose answers a Python worker holds at a time.
+SLICE_BYTES = 4 * 1024 * 1024
 
 INTELLIGENCE_SCHEMA = (
     "sentiment string, competitors array<string>, risk_factors array<string>, "
@@ -79,23 +81,43 @@ def ask(client: Client | None, prompt: str, as_json: bool, sleep=time.sleep) ->
 
 def with_replies(
     df: DataFrame, prompt: Column, factory: Callable[[], Client | None] | None, as_json: bool = True,
-    store: ReplyStore | None = None,
+    store: ReplyStore | None = None, carried: list[str] | None = None,
 ) -> DataFrame:
     """Adds ``reply`` (NULL where no valid answer came). Without a store rows keep their partition,
-    and without a factory too there is no Python stage."""
+    and without a factory too there is no Python stage. Prompts become Python texts a few megabytes at a
+    time, whatever Spark sends at once, and only the ``carried`` columns (default: all) go with them."""
+    others = df.columns if carried is None else carried
     if store is not None:
-        return store.answered(df, prompt, factory, ask, as_json)
+        return store.answered(df, prompt, factory, ask, as_json).select(*others, "reply")
     if factory is None:
-        return df.withColumn("reply", F.lit(None).cast("string"))
+        return df.select(*others, F.lit(None).cast("string").alias("reply"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = factory()
         for batch in batches:
-            replies = [ask(client, text, as_json) for text in batch["_prompt"]]
-            yield batch.drop(columns="_prompt").assign(reply=pd.Series(replies, dtype=object))
-
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.withColumn("_prompt", prompt).mapInPandas(run, f"{keys}, reply string")
+            for part in _slices(batch, len(others)):
+                # One text at a time: a prompt may be long.
+                replies = [ask(client, text.as_py(), as_json) for text in part.column(len(others))]
+                columns = [part.column(i) for i in range(len(others))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(replies, pa.string())], names=[*others, "reply"])
+
+    rows = df.select(*others, prompt.alias("_prompt"))
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(run, f"{keys}, reply string")
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of at most ``SLICE_BYTES`` of the column, or of one row."""
+    sizes = [v.as_buffer().size if v.is_valid else 0 for v in batch.column(column)]
+    start = size = 0
+    for i, own in enumerate(sizes):
+        if i > start and size + own > SLICE_BYTES:
+            yield batch.slice(start, i - start)
+            start = i
+            size = 0
+        size += own
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _parsed(schema: str) -> Column:
@@ -216,7 +238,8 @@ def notes_overview(notes: DataFrame, factory, cfg: Config = Config(), store: Rep
     parts = packed_texts(notes, cfg.prompt_characters, by_account=False)
     keys = ["part", F.col("account_id").alias("first_account_id"), F.col("note_count").alias("notes")]
     rows = parts.select(*keys, p.fill(p.NOTES_OVERVIEW_TASK, notes=F.col("note_text")).alias("_text"))
-    asked = with_replies(rows, F.col("_text"), factory, store=store).withColumn("m", _parsed(OVERVIEW_SCHEMA))
+    asked = with_replies(rows, F.col("_text"), factory, store=store, carried=["part", "first_account_id", "notes"])
+    asked = asked.withColumn("m", _parsed(OVERVIEW_SCHEMA))
     return asked.select(
         "part", "first_account_id", "notes", F.col("m").isNotNull().alias("answered"),
         *(F.coalesce(f"m.{name}", F.from_json(F.lit("[]"), kind)).alias(name) for name, kind in OVERVIEW_LISTS.items()),

@@ -153,3 +153,23 @@ def test_parts_are_bounded_and_do_not_depend_on_partitions(spark, partitions):
     everything = [(o, t) for o, a, t in sorted(notes, key=lambda n: (n[1] is not None, n[1] or 0, n[0])) if t is not None]
     found = enrich.packed_texts(df, limit, by_account=False).collect()
     assert [r.note_text for r in sorted(found, key=lambda r: r.part)] == packed(everything, limit)
+
+
+def test_prompts_reach_the_client_in_bounded_runs(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(enrich, "SLICE_BYTES", 100)
+    texts = ["x" * n for n in (10, 90, 1, 300, 40, 40, 40)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(texts, pa.string())], names=["id", "p"])
+    runs = [part.column(1).to_pylist() for part in enrich._slices(batch, 1)]
+    assert [t for run in runs for t in run] == texts
+    assert all(len(run) == 1 or sum(len(t or "") for t in run) <= 100 for run in runs)
+
+
+def test_only_carried_columns_go_with_a_prompt(spark):
+    df = spark.createDataFrame([(i, "w" * i) for i in range(20)], "id long, text string")
+    asked = enrich.with_replies(df, F.col("text"), lambda: lambda prompt: '"%d"' % len(prompt), carried=["id"])
+    assert asked.columns == ["id", "reply"]
+    assert {r.id: r.reply for r in asked.collect()} == {i: f'"{i}"' for i in range(20)}
+    plain = enrich.with_replies(df, F.col("text"), None, carried=["id"])
+    assert plain.columns == ["id", "reply"] and plain.count() == 20
