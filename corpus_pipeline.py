@@ -47,7 +47,7 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled rows among the source documents."""
     ship_package(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.training_rows(documents(spark, sf_dir), labels))
+    model = toxicity.train(toxicity.labelled_rows(documents(spark, sf_dir), labels))
     rows, back = _private(docs, "text", "lang")
     return back(toxicity.score(rows, model).where(~F.col("rejected")))
 

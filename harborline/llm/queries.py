@@ -66,7 +66,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(toxicity.training_rows(docs, labels))
+    model = toxicity.train(toxicity.labelled_rows(docs, labels))
     return toxicity.score(docs, model).select(
         "doc_id", (toxicity.fold() == 2).alias("held_out"), "score",
         (F.col("score") >= toxicity.PREDICT_AT).cast("int").alias("predicted"), "threshold", "rejected",

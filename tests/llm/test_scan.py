@@ -231,3 +231,19 @@ def test_the_fit_is_bounded_by_bytes(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     found = toxicity.training_rows(rows, labels).collect()
     assert found and max(len(r.text) for r in found) <= 400 and 2500 < sum(len(r.text) for r in found) <= 3000
+
+
+def test_the_fit_reads_every_labelled_row(spark, monkeypatch):
+    """Rows beyond one piece teach too: a word that marks toxic texts in a few of many rows is learned, and
+    the pieces' order and number of partitions change nothing."""
+    rows = [(i, ("vile " if i % 5 == 0 else "mild ") + f"word{i % 37} thing{i % 11}", "en") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1200)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 200)
+    monkeypatch.setattr(toxicity, "TRAIN_TEXT_BYTES", 5)
+    taught = toxicity.labelled_rows(docs, labels)
+    assert taught.count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(1200)) > 3 * 200
+    model = toxicity.train(taught)
+    assert model == toxicity.train(toxicity.labelled_rows(docs.repartition(7), labels.repartition(3)))
+    for r in toxicity.score(docs, model).collect():
+        assert (r.score > 0.5) == (r.doc_id % 5 == 0) == r.rejected
