@@ -247,3 +247,33 @@ def test_the_fit_reads_every_labelled_row(spark, monkeypatch):
     assert model == toxicity.train(toxicity.labelled_rows(docs.repartition(7), labels.repartition(3)))
     for r in toxicity.score(docs, model).collect():
         assert (r.score > 0.5) == (r.doc_id % 5 == 0) == r.rejected
+
+
+def test_the_fit_moves_the_labelled_texts_once(spark, monkeypatch):
+    """Texts without a label stay where they are before the fit, and the labelled ones are looked up once."""
+    monkeypatch.setattr(toxicity, "KEY_BITS", 1 << 17)
+    keys = spark.createDataFrame([(i,) for i in range(0, 3000, 3)] + [(None,)], "id long")
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(None, "none")], "id long, text string")
+    passed = [r.id for r in toxicity.perhaps_in(rows, keys, "id").collect()]
+    assert set(passed) >= set(range(0, 3000, 3)) and len(passed) == len(set(passed)) < 1100
+    monkeypatch.setattr(toxicity, "KEY_BITS", 1)
+    assert toxicity.perhaps_in(rows, keys, "id").where("id IS NOT NULL").count() == 3000
+
+    read = spark.sparkContext.accumulator(0)
+    taught = spark.createDataFrame([(i, f"word{i % 5}", "en", int(i % 5 == 0)) for i in range(100)], "id long, text string, lang string, toxic int")
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    toxicity.train(taught.mapInArrow(counted, taught.schema))
+    assert read.value == 100
+
+
+def test_ids_of_another_type_find_their_labels(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", "en") for i in range(50)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id int, toxic int")
+    want = {i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {r.id for r in toxicity.labelled_rows(docs, labels).collect()} == want
+    assert {r.id for r in toxicity.labelled_rows(docs, labels.withColumn("doc_id", F.col("doc_id").cast("long"))).collect()} == want
