@@ -16,7 +16,8 @@ from harborline.functions.lineage import cut_lineage
 def with_running_total(df: DataFrame, order: list[Column | str], size: Column, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``size`` over the rows before this one. ``order`` must tell all rows
     apart. Whole rows are sorted, so pass narrow ones. The table of carries has one row a partition."""
-    ranged = df.withColumn("_size", size).repartitionByRange(*order)
+    # Dealing by ranges reads the rows twice, for the bounds and for the rows, so they are made once before.
+    ranged = cut_lineage(df.withColumn("_size", size)).repartitionByRange(*order)
     placed = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()))
     per_part = placed.groupBy("_part").agg(F.sum("_size").alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

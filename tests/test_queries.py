@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as entry_point
 from tests.compare import connect, differences
-from harborline.plans.scoring import score_accounts
+from harborline.plans.scoring import score_accounts, with_rank
+from workload import queries as workload_queries
 from workload.fixtures import Inputs
 from workload.oracles import ORACLES
 from workload.queries import QUERIES
@@ -82,3 +83,11 @@ def test_scoring_plan_shuffles_each_source_once(spark, inputs):
     for i, line in enumerate(lines):
         if f"Exchange hashpartitioning(account_id#{tickets}L" in line or "hashpartitioning(matched_account_id#" in line:
             assert "partial_" in lines[i + 1]
+
+
+def test_account_scores_ranks_narrow_rows(spark, monkeypatch):
+    """The ranking writes the rows it gets: the breakdown and other columns that are not returned stay out of it."""
+    seen = []
+    monkeypatch.setattr(workload_queries, "with_rank", lambda rows: seen.append(rows.columns) or with_rank(rows))
+    result = workload_queries.run("account_scores", spark, SF)
+    assert [[*seen[0], "rank"]] == [result.columns] and "score_breakdown" not in seen[0]

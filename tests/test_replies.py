@@ -125,6 +125,21 @@ def test_running_totals_and_positions(spark, partitions):
     assert {r.id: (r.rank, r.before) for r in placed.collect()} == expected
 
 
+def test_running_totals_make_each_row_once(spark):
+    """The bounds of the ranges are found on written rows: what the rows come from runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(500).repartition(5)
+    placed = with_position(rows.mapInArrow(counted, rows.schema), [F.desc("id")])
+    assert {r.id: r.rank for r in placed.collect()} == {i: 499 - i for i in range(500)}
+    assert made.value == 500
+
+
 def packed(notes, limit):
     """Items with their start in order to parts, by the rule: whole cells, and items across a border alone."""
     parts, start = [], 0

@@ -137,11 +137,13 @@ def reconcile_fuzzy(i: Inputs) -> DataFrame:
 
 
 def account_scores(i: Inputs) -> DataFrame:
-    return with_rank(i.fresh_scores).orderBy("rank").withColumns(
-        _double("arr") | {"contract_end_date": F.col("contract_end_date").cast("string")}
-    ).select(
+    # The ranking writes whole rows, so it gets the columns of the result only.
+    scored = i.fresh_scores.select(
         "account_id", "account_name", "arr", "plan_tier", "industry", "region", "csm_name",
-        "contract_end_date", "days_to_renewal", "risk_score", "risk_tier", *SIGNAL_NAMES, "rank",
+        "contract_end_date", "days_to_renewal", "risk_score", "risk_tier", *SIGNAL_NAMES,
+    )
+    return with_rank(scored).orderBy("rank").withColumns(
+        _double("arr") | {"contract_end_date": F.col("contract_end_date").cast("string")}
     )
 
 
