@@ -10,13 +10,17 @@ same anchor form a run, and a run with its text is a segment of less than two wi
    learns which occur elsewhere; all other windows occur once.
 3. Segments. Every block sends its distinct segments with repeated anchors, each once, to the shard of
    the anchor. A shard keeps each distinct segment once: equal ones are repeated as a whole. The
-   rest goes in batches into a logarithmic family of suffix arrays: a batch's array, sorted by ranks of
+   rest goes, so many whole anchors at a time as fill ``ANCHOR_BYTES``, since equal windows have one anchor, in batches into a
+   logarithmic family of suffix arrays: a batch's array, sorted by ranks of
    prefixes that double or triple in length, is merge-scanned with every level for common prefixes of a window's length, and levels of
    like size merge, so each window is sorted again a logarithmic number of times.
    Anchors found in more than ``HOT_BLOCKS`` blocks go another way, exact but for collisions of hashes, so that no
    shard grows with them: each block sends the distinct 128-bit hashes of their windows, dealt out by that hash.
 4. Each block marks the bytes under repeated windows and returns its texts without them.
 
+A worker keeps a few bytes for each byte of its block or shard: what takes words for each window (places, hashes, ranks) is
+made for at most ``STEP`` windows or ``ANCHOR_BYTES`` at a time, however many of the windows are repeated.
+
 Matches never cross texts; strings are judged on the input. Texts are UTF-8, a null text is empty.
 Defined results: texts shorter than a window are kept whole; repeated rows of at least that length
 lose all their bytes; null ids are kept as they are; an empty table gives an empty result. Columns other than
@@ -33,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harborline.llm.tables import slices, text_of, written
+from harborline.llm.tables import give_back, slices, text_of, written
 from harborline.llm.words import mixed
 
 LENGTH = 200
@@ -46,6 +50,10 @@ SHARD_ANCHORS = 1_000_000
 #: Bytes of text for which there is one segment shard; few shards then need a second batch.
 SHARD_BYTES = 4 * 1024 * 1024
 BATCH_BYTES = 4 * 1024 * 1024
+#: Bytes of segments whose anchors get one family; a single anchor may have more.
+ANCHOR_BYTES = 1 << 20
+#: Bytes of rows in a row group of the blocks' table, with two rows at least.
+GROUP_BYTES = 16 * 1024 * 1024
 HOT_BLOCKS = 128
 
 BLOCK = "block long, ids array<long>, lengths array<long>, data binary, n_runs long, starts binary, sizes binary, hashes binary"
@@ -142,10 +150,10 @@ def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
 
-ASK = "kind int, shard int, block long, hashes binary, seconds binary, repeated binary, sizes binary, data binary"
+ASK = "kind int, part int, shard int, block long, hashes binary, seconds binary, repeated binary, sizes binary, data binary"
 
 
-def _rows(kind: int, block: int, shards: np.ndarray, total: int, **columns) -> pa.Table:
+def _rows(kind: int, block: int, shards: np.ndarray, total: int, part: int = 0, **columns) -> pa.Table:
     """A row for each shard that occurs in the rising list of shards, with its part of each column.
 
     A column is an array in step with the list, or a function of the part's bounds."""
@@ -154,7 +162,7 @@ def _rows(kind: int, block: int, shards: np.ndarray, total: int, **columns) -> p
     empty = [b""] * len(own)
     take = lambda c: empty if c is None else [c(a, b) if callable(c) else c[a:b] for _, a, b in own]
     return pa.table({
-        "kind": pa.array([kind] * len(own), pa.int32()), "shard": pa.array([s for s, _, _ in own], pa.int32()),
+        "kind": pa.array([kind] * len(own), pa.int32()), "part": pa.array([part] * len(own), pa.int32()), "shard": pa.array([s for s, _, _ in own], pa.int32()),
         "block": pa.array([block] * len(own), pa.int64()),
         **{c: _binary(take(columns.get(c))) for c in ("hashes", "seconds", "repeated", "sizes", "data")},
     })
@@ -171,43 +179,69 @@ def ask_anchors(shards: int):
 
 
 def _answer_hashes(group: pa.Table) -> list[np.ndarray]:
-    """For each block's list: 0 for a hash that occurs once, 1 if it occurs again, 2 if it does in
-    more than ``HOT_BLOCKS`` blocks."""
-    lists = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-    first = np.concatenate(lists)
-    second = np.concatenate([np.frombuffer(x, np.uint64) for x in group.column("seconds").to_pylist()])
-    again = np.concatenate([np.frombuffer(x, np.uint8) for x in group.column("repeated").to_pylist()])
-    second = second if len(second) else np.zeros(len(first), np.uint64)
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    heads = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    member = np.cumsum(heads) - 1
-    blocks, twice = np.bincount(member), np.bincount(member, weights=again[order])
-    code = np.where(blocks > HOT_BLOCKS, 2, (blocks > 1) | (twice > 0)).astype(np.uint8)
-    out = np.empty(len(first), np.uint8)
-    out[order] = code[member]
-    return np.split(out, np.cumsum([len(x) for x in lists])[:-1])
+    """For each list, which is in order: 0 for a hash that occurs once, 1 if it occurs again, 2 if it does in
+    more than ``HOT_BLOCKS`` lists. Hashes are worked on by ranges of about ``STEP`` of them."""
+    arrays = lambda column, kind: [np.frombuffer(x, kind) for x in group.column(column).to_pylist()]
+    firsts, seconds, again = arrays("hashes", np.uint64), arrays("seconds", np.uint64), arrays("repeated", np.uint8)
+    out = [np.empty(len(x), np.uint8) for x in firsts]
+    filled = [x for x in firsts if len(x)]
+    if not filled:
+        return out
+    low, high = min(int(x[0]) for x in filled), max(int(x[-1]) for x in filled)
+    ranges = sum(map(len, filled)) // STEP + 1
+    edges = np.array([low + (high - low) * i // ranges for i in range(1, ranges)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in firsts]
+    for r in range(ranges):
+        parts = [slice(c[r], c[r + 1]) for c in cuts]
+        first = np.concatenate([x[p] for x, p in zip(firsts, parts)])
+        if not len(first):
+            continue
+        second = np.concatenate([x[p] if len(x) else np.zeros(p.stop - p.start, np.uint64) for x, p in zip(seconds, parts)])
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        heads = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+        member = np.cumsum(heads) - 1
+        lists, twice = np.bincount(member), np.bincount(member, weights=np.concatenate([x[p] for x, p in zip(again, parts)])[order])
+        code = np.where(lists > HOT_BLOCKS, 2, (lists > 1) | (twice > 0)).astype(np.uint8)
+        found = np.empty(len(first), np.uint8)
+        found[order] = code[member]
+        at = 0
+        for x, p in zip(out, parts):
+            x[p] = found[at : at + p.stop - p.start]
+            at += p.stop - p.start
+    return out
+
+
+def _ranked(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each key among the distinct ones, with a window's length of zeros behind, and their number."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    heads = np.concatenate([[False], ordered[1:] != ordered[:-1]])
+    del ordered
+    ranks = np.cumsum(heads, dtype=np.uint32)
+    out = np.zeros(len(keys) + LENGTH, np.uint32)
+    out[order] = ranks
+    return out, int(ranks[-1]) + 1
 
 
 def _window_ranks(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Keys that order the windows like their bytes, by ranking ever longer prefixes."""
     n = len(text)
-    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([text, np.zeros(LENGTH, np.uint8)])
     keys = np.zeros(n, np.uint64)
     for i in range(8):
-        keys = keys << np.uint64(8) | padded[i : i + n]
+        keys <<= np.uint64(8)
+        keys |= padded[i : i + n]
     length = 8
     while True:
-        distinct, rank = np.unique(keys, return_inverse=True)
-        rank = np.concatenate([rank.astype(np.uint64), np.zeros(LENGTH, np.uint64)])
+        rank, distinct = _ranked(keys)
         # Three ranks fit a key while there are few of them, else two do.
-        parts = 3 if len(distinct) < 1 << 21 else 2
-        bits = np.uint64(64 // parts)
+        parts = 3 if distinct < 1 << 21 else 2
         last = parts * length >= LENGTH
-        at = starts if last else np.arange(n)
-        keys = rank[at]
+        keys = (rank[starts] if last else rank[:n]).astype(np.uint64)
         for i in range(1, parts):
-            keys = keys << bits | rank[at + (min(i * length, LENGTH - length) if last else i * length)]
+            keys <<= np.uint64(64 // parts)
+            keys |= rank[starts + min(i * length, LENGTH - length)] if last else rank[i * length : i * length + n]
         if last:
             return keys
         length *= parts
@@ -219,8 +253,8 @@ class Family:
     A level holds each distinct window once, in the order of its bytes. ``repeated`` marks the windows,
     by their numbers, that are equal to another one added before or after."""
 
-    def __init__(self, windows: int):
-        self.repeated = np.zeros(windows, bool)
+    def __init__(self, windows: int, repeated: np.ndarray | None = None):
+        self.repeated = np.zeros(windows, bool) if repeated is None else repeated
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def _scanned(self, text: np.ndarray, starts: np.ndarray, numbers: np.ndarray):
@@ -276,43 +310,45 @@ def _answer_segments(group: pa.Table) -> list[np.ndarray]:
     weights, sizes, anchors = np.array(weights), np.array(sizes, np.int64), np.array(anchors, np.uint64)
     _, inverse, groups = np.unique(anchors, return_inverse=True, return_counts=True)
     first = np.cumsum(sizes) - sizes
-    family = Family(int(sizes.sum()))
-    family.repeated |= np.repeat(weights > 1, sizes)
-    texts, batch, size = [t for _, t in numbers], [], 0
+    repeated = np.repeat(weights > 1, sizes)
+    texts = [t for _, t in numbers]
     shared = np.flatnonzero(groups[inverse] > 1)
+    shared = shared[np.argsort(inverse[shared], kind="stable")]
+    family, batch, size, held = Family(0, repeated), [], 0, 0
     for i, n in enumerate(shared):
         batch.append(n)
         size += len(texts[n])
-        if size >= BATCH_BYTES or i == len(shared) - 1:
+        ends = i == len(shared) - 1 or inverse[shared[i + 1]] != inverse[n]
+        full = ends and (held + size >= ANCHOR_BYTES or i == len(shared) - 1)
+        if size >= BATCH_BYTES or full:
             lengths = np.array([len(texts[n]) for n in batch])
             begin, own = np.cumsum(lengths) - lengths, sizes[batch]
-            step = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
-            family.add(
-                np.frombuffer(b"".join(texts[n] for n in batch), np.uint8), np.repeat(begin, own) + step, np.repeat(first[batch], own) + step
-            )
-            batch, size = [], 0
+            family.add(np.frombuffer(b"".join(texts[n] for n in batch), np.uint8), _windows(begin, own), _windows(first[batch], own))
+            held, batch, size = held + size, [], 0
+        if full:
+            family, held = Family(0, repeated), 0
     out = []
     for own in members:
-        n = sizes[own]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        out.append(np.packbits(family.repeated[np.repeat(first[own], n) + step]))
+        out.append(np.packbits(repeated[_windows(first[own], sizes[own])]))
     return out
 
 
 def answer(group: pa.Table) -> pa.Table:
+    give_back()
     found = _answer_segments(group) if group.column("kind")[0].as_py() == 2 else _answer_hashes(group)
     return pa.table({
-        "kind": group.column("kind"), "block": group.column("block"), "shard": group.column("shard"), "found": _binary(found),
+        "kind": group.column("kind"), "part": group.column("part"), "block": group.column("block"), "shard": group.column("shard"),
+        "found": _binary(found),
     })
 
 
-ANSWER = "kind int, block long, shard int, found binary"
+ANSWER = "kind int, part int, block long, shard int, found binary"
 
 
-def _in_order(answers: pa.Table, kind: int, dtype=np.uint8) -> list[np.ndarray]:
-    rows = answers.filter(pa.array(answers.column("kind").to_numpy() == kind))
+def _in_order(answers: pa.Table, kind: int, part: int = 0) -> list[np.ndarray]:
+    rows = answers.filter(pa.array((answers.column("kind").to_numpy() == kind) & (answers.column("part").to_numpy() == part)))
     pairs = sorted(zip(rows.column("shard").to_pylist(), rows.column("found").to_pylist()), key=lambda x: x[0])
-    return [np.frombuffer(x, dtype) for _, x in pairs]
+    return [np.frombuffer(x, np.uint8) for _, x in pairs]
 
 
 class _Known:
@@ -343,25 +379,27 @@ class _Known:
             own[i] = numbers.setdefault((h, data[a : a + n + LENGTH - 1]), len(numbers))
         return at, own, numbers
 
-    def hot_windows(self):
-        """The windows of hot anchors, their distinct hashes in order, and for each window its hash."""
-        at = np.flatnonzero(self.code == 2)
-        windows = _windows(self.starts[at], self.sizes[at])
-        if not len(windows):
-            return windows, np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        hashes = np.empty((2, len(windows)), np.uint64)
-        for begin in range(0, len(self.bytes), STEP):
-            a, b = np.searchsorted(windows, [begin, begin + STEP])
-            if a < b:
-                part = self.bytes[begin : begin + STEP + LENGTH - 1]
-                for side, letters in enumerate(_LETTERS):
-                    hashes[side, a:b] = run_hashes(part, LENGTH, letters)[windows[a:b] - begin]
-        order = np.lexsort((hashes[1], hashes[0]))
-        first, second = hashes[0][order], hashes[1][order]
-        heads = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-        member = np.empty(len(windows), np.int64)
-        member[order] = np.cumsum(heads) - 1
-        return windows, first[heads], second[heads], member, np.bincount(member)
+    def hot_parts(self):
+        """The windows of hot anchors in parts of whole anchors, as equal windows have one; of each part its windows,
+        their distinct hashes in order, for each window its hash, and how many windows have each hash."""
+        hot = np.flatnonzero(self.code == 2)
+        hot = hot[np.argsort(self.hashes[hot], kind="stable")]
+        for at in _parts(hot, self.sizes[hot], self.hashes[hot]):
+            sizes = self.sizes[at]
+            windows, spans = _windows(self.starts[at], sizes), sizes + LENGTH - 1
+            text, own = self.bytes[_windows(self.starts[at], spans)], _windows(np.cumsum(spans) - spans, sizes)
+            hashes = np.empty((2, len(windows)), np.uint64)
+            for begin in range(0, len(text), STEP):
+                a, b = np.searchsorted(own, [begin, begin + STEP])
+                if a < b:
+                    for side, letters in enumerate(_LETTERS):
+                        hashes[side, a:b] = run_hashes(text[begin : begin + STEP + LENGTH - 1], LENGTH, letters)[own[a:b] - begin]
+            order = np.lexsort((hashes[1], hashes[0]))
+            first, second = hashes[0][order], hashes[1][order]
+            heads = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+            member = np.empty(len(windows), np.int64)
+            member[order] = np.cumsum(heads) - 1
+            yield windows, first[heads], second[heads], member, np.bincount(member)
 
 
 def _windows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -370,8 +408,33 @@ def _windows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
+def _parts(runs: np.ndarray, sizes: np.ndarray, keys: np.ndarray | None = None) -> list[np.ndarray]:
+    """Neighbouring runs of about ``STEP`` windows together; those with equal keys too, up to as many."""
+    if not len(runs):
+        return []
+    before = np.cumsum(sizes) - sizes
+    cut = np.diff(before // STEP) > 0
+    if keys is not None:
+        heads = np.concatenate([[True], keys[1:] != keys[:-1]])
+        group = before[heads][np.cumsum(heads) - 1]
+        cut = (np.diff(group // STEP) > 0) | (np.diff((before - group) // STEP) > 0)
+    return np.split(runs, np.flatnonzero(cut) + 1)
+
+
+def _covered(marks: np.ndarray) -> np.ndarray:
+    """For each byte, whether a marked window lies over it."""
+    out = np.empty(len(marks), bool)
+    for a in range(0, len(marks), STEP):
+        low, b = max(a - LENGTH + 1, 0), min(a + STEP, len(marks))
+        sums = np.concatenate([[0], np.cumsum(marks[low:b], dtype=np.int64)])
+        place = np.arange(a, b)
+        out[a:b] = sums[place + 1 - low] > sums[np.maximum(place - LENGTH + 1, 0) - low]
+    return out
+
+
 def ask_windows(shards: int):
     def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         known = _Known(block, answers)
         at, own, numbers = known.segments(shards)
         keys = list(numbers)
@@ -382,15 +445,19 @@ def ask_windows(shards: int):
             2, known.block, _shard_of(mixed(hashes), shards), shards, hashes=hashes, repeated=again, sizes=sizes,
             data=lambda a, b: b"".join(t for _, t in keys[a:b]),
         )
-        _, first, second, _, counts = known.hot_windows()
-        hot = _rows(3, known.block, _shard_of(first, shards), shards, hashes=first, seconds=second, repeated=(counts > 1).astype(np.uint8))
-        return pa.concat_tables([segments, hot])
+        # A hash in two parts of a block, which is of an anchor that fills several, is in two rows of its shard, as one in two blocks is.
+        hot = [
+            _rows(3, known.block, _shard_of(first, shards), shards, part, hashes=first, seconds=second, repeated=(counts > 1).astype(np.uint8))
+            for part, (_, first, second, _, counts) in enumerate(known.hot_parts())
+        ]
+        return pa.concat_tables([segments, *hot])
 
     return ask
 
 
 def without_repeats(shards: int):
     def cut(block: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         known = _Known(block, answers)
         at, own, numbers = known.segments(shards)
         sizes = np.fromiter((len(t) - LENGTH + 1 for _, t in numbers), np.int64, len(numbers))
@@ -402,14 +469,13 @@ def without_repeats(shards: int):
         ]
         flags = np.concatenate([*bits, np.zeros(0, np.uint8)]).astype(bool)
         first = np.cumsum(sizes) - sizes
-        repeated = _windows(known.starts[at], known.sizes[at])[flags[_windows(first[own], sizes[own])]]
-        windows, _, _, member, _ = known.hot_windows()
-        hot = np.concatenate([*_in_order(answers, 3), np.zeros(0, np.uint8)])
-        repeated = np.concatenate([repeated, windows[hot[member] > 0]])
-        change = np.zeros(len(known.bytes) + 1, np.int32)
-        np.add.at(change, repeated, 1)
-        np.add.at(change, repeated + LENGTH, -1)
-        removed = np.cumsum(change[:-1]) > 0
+        marks = np.zeros(len(known.bytes), bool)
+        for part in _parts(np.arange(len(at)), known.sizes[at]):
+            windows = _windows(known.starts[at[part]], known.sizes[at[part]])
+            marks[windows[flags[_windows(first[own[part]], sizes[own[part]])]]] = True
+        for part, (windows, _, _, member, _) in enumerate(known.hot_parts()):
+            marks[windows[np.concatenate(_in_order(answers, 3, part))[member] > 0]] = True
+        removed = _covered(marks)
         ends = np.cumsum(known.lengths)
         rows = {"starts": [], "ends": [], "kept": [], "n_removed": []}
         for a, b in zip(ends - known.lengths, ends):
@@ -432,7 +498,8 @@ def without_repeats(shards: int):
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, the removed spans' starts and ends, and the kept bytes of every row."""
     rows = df.select(F.col(id_column).cast("long").alias("id"), text_of(text).alias("text"))
-    table = written(rows.mapInArrow(packed, BLOCK), "blocks")
+    # Else a row group is a hundred rows or more of a block each, which a task writes and reads in memory.
+    table = written(rows.mapInArrow(packed, BLOCK), "blocks", **{"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 2})
     sums = table.select(F.sum("n_runs").alias("runs"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).alias("bytes")).first()
     if sums.runs is None:
         return df.sparkSession.createDataFrame([], RESULT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,13 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written as Parquet to a new folder below the shared one and read again.
+def written(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """The rows, written as Parquet, with the writer's options, to a new folder below the shared one and read again.
 
     This cuts the lineage: a lost executor costs the work since this table, and values such
     as row ids are the same for every reader. The folder belongs to the caller's run."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/harborline-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +49,15 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed, so that a Python worker that lives for many groups does
+    not keep the sum of what each of them left in pieces."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A table of a few literal rows, without a Python task."""
     types = T.StructType.fromDDL(schema)

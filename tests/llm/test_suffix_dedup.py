@@ -117,3 +117,73 @@ def test_edge_rows(spark):
     assert found(edge_rows(spark)) == brute([(i, t or "") for i, t, _ in ROWS])
     assert sd.remove_repeats(empty_rows(spark)).count() == 0
     assert found(edge_rows(spark).where("doc_id in (4, 7, 9)")) == brute([(4, ""), (7, " \t\n "), (9, "x")])
+
+
+@pytest.mark.parametrize("hot", [128, 0])
+def test_memory_is_bounded_if_all_windows_repeat(monkeypatch, hot):
+    """A worker's peak for a block whose windows all occur twice, by segments and by hashes."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(sd, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(sd, "STEP", 1 << 16)
+    text = bytes(np.random.default_rng(1).integers(97, 123, 1 << 20).astype(np.uint8))
+    texts = [text[i : i + 4096] for i in range(0, len(text), 4096)] * 2
+    size, peaks = 2 * len(text), {}
+
+    def measured(name, f):
+        tracemalloc.start()
+        out = f()
+        peaks[name] = tracemalloc.get_traced_memory()[1] / size
+        tracemalloc.stop()
+        return out
+
+    block = pa.Table.from_batches([sd._block_row(0, list(range(len(texts))), texts)])
+    anchors = sd.answer(pa.concat_tables([pa.Table.from_batches([b]) for b in sd.ask_anchors(1)(block.to_batches())]))
+    asked = measured("ask", lambda: sd.ask_windows(1)(block, anchors))
+    # A hash counts once for a block, so it is 17 bytes for a window of one of the two copies.
+    assert hot or asked.nbytes < 18 * size / 2
+    answers = measured("answer", lambda: sd.answer(asked))
+    cut = measured("cut", lambda: sd.without_repeats(1)(block, pa.concat_tables([anchors, answers])))
+    assert sum(cut.column("n_removed").to_pylist()) == size
+    assert max(peaks.values()) < 25, peaks
+
+
+def test_memory_of_a_shard_of_near_copies_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = bytes(np.random.default_rng(2).integers(97, 123, 1 << 20).astype(np.uint8))
+    texts = [text[i : i + 500] + bytes([65 + copy]) + text[i + 500 : i + 1000] for copy in range(4) for i in range(0, len(text), 1000)]
+    block = pa.Table.from_batches([sd._block_row(0, list(range(len(texts))), texts)])
+    anchors = sd.answer(pa.concat_tables([pa.Table.from_batches([b]) for b in sd.ask_anchors(1)(block.to_batches())]))
+    asked = sd.ask_windows(1)(block, anchors)
+    tracemalloc.start()
+    answers = sd.answer(asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    cut = sd.without_repeats(1)(block, pa.concat_tables([anchors, answers]))
+    assert Counter(zip(cut.column("n_bytes").to_pylist(), cut.column("n_removed").to_pylist()))[(1001, 1000)] > 4000
+
+
+def test_row_groups_of_blocks_are_few_rows(spark, monkeypatch):
+    from pyarrow import parquet
+    from pyspark.sql import functions as F
+
+    class Written(Exception):
+        pass
+
+    def stop(*args, original=sd.written, **options):
+        raise Written(original(*args, **options))
+
+    monkeypatch.setattr(sd, "written", stop)
+    text = F.concat_ws("", F.transform(F.sequence(F.lit(1), F.lit(128)), lambda x: F.sha2(F.concat_ws(" ", "id", x.cast("string")), 256)))
+    texts = spark.range(0, 6500, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    with pytest.raises(Written) as raised:
+        sd.remove_repeats(texts)
+    files = [parquet.ParquetFile(f.removeprefix("file://")) for f in raised.value.args[0].inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == 7 and max(groups) <= 3
